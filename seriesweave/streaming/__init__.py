@@ -1,0 +1,5 @@
+"""Nothing to offer here: the feature set is batch only.
+
+The nearest idea, leaving out the bucket that is still being filled, is the
+cutoff rule in ``operators.generate``.
+"""
