@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import numbers, times
-from ..functions.predicates import state_unavailable
+from ..functions.predicates import state_unavailable, statistics_available
 from ..functions.text import gap_text, reset_text, span_text
 from ..operators import attributes, diff, profile, quality
 from ..operators.generate import copied_rows, generate, generated_counts, preview
@@ -219,14 +219,15 @@ def generated_preview(spark, sf_dir):
 
 
 def _edited(statistics: DataFrame) -> DataFrame:
-    """A later version of the statistics: rows removed, shifted and changed."""
-    row = F.col("row_id")
-    return statistics.where(row % 11 != 0).withColumns(
+    """A later version of the statistics: empty rows removed, others moved or changed."""
+    state, mark = F.col("state"), F.col("last_reset_ts")
+    moved = F.when(mark.isNull(), F.col("start_ts") + F.col("interval_s") * 1000).otherwise(F.col("start_ts"))
+    return statistics.where(statistics_available()).withColumns(
         {
-            "start_ts": F.when(row % 13 == 0, F.col("start_ts") + F.col("interval_s") * 1000).otherwise(F.col("start_ts")),
-            "state": F.when(row % 7 == 0, F.col("state") + 1.5).otherwise(F.col("state")),
+            "start_ts": moved,
+            "state": F.when(state < 200_000, state + 1.5).otherwise(state),
             "sum": F.col("sum") + 10,
-            "last_reset_ts": F.when(row % 5 == 0, F.col("last_reset_ts") + 0.25).otherwise(F.col("last_reset_ts")),
+            "last_reset_ts": F.when(state > 600_000, mark + 0.25).otherwise(mark),
             "created_ts": F.lit(fx.RUN_TS),
         }
     )
@@ -306,8 +307,9 @@ def replace_series_target_rows(spark, sf_dir):
 
 
 def pairs_without_target_id(spark, sf_dir):
-    # Sensors known to the dictionary only if they have old rows that day one.
-    meta = fx.recorder_statistics(spark, sf_dir)["statistics_meta"].where(F.col("id") % 7 != 1)
+    # A dictionary that knows only the sensors that count something.
+    counting = fx.classes(spark, sf_dir).where("state_class <> 'measurement'")
+    meta = counting.select(F.col("series_id").alias("statistic_id"))
     return without_target_id(fx.replacements(spark, sf_dir), meta)
 
 

@@ -18,35 +18,38 @@ from ..functions.numbers import bucket, counted_delta, leading_number
 from ..functions.predicates import state_available
 from ..functions.times import reset_epoch
 from ..functions.variants import json_field
-from ..plans.timeline import CELL, DEFAULT_CHUNKING, PART, Chunking, split_cells
+from ..plans.timeline import DEFAULT_CHUNKING, Chunking, split_cells
 from ..schema import INTERVALS, STATISTICS, TOTAL_KINDS
 from .profile import latest_statistics
 
-_SERIES = ["series_id", "kind", "started_from_0"]
 
+def _fold_buckets(
+    states: DataFrame, replacements: DataFrame, interval: int, chunking: Chunking
+) -> tuple[DataFrame, list[str]]:
+    """One row per (series, bucket) of the usable states of all successors.
 
-def _fold_buckets(states: DataFrame, replacements: DataFrame, interval: int, chunking: Chunking) -> DataFrame:
-    """One row per (series, bucket) of the usable states of all successors."""
+    A bucket with too many readings for one task gives several rows. Also returns
+    the columns that order the rows of a series.
+    """
     wanted = replacements.select(F.col("new_id").alias("series_id"), "kind", "started_from_0")
     reset = F.coalesce(json_field(F.col("attrs"), "last_reset"), json_field(F.col("attrs_fallback"), "last_reset"))
     readings = (
         states.where(state_available())
         .join(wanted, "series_id")
         .select(
-            *_SERIES,
+            "series_id",
+            "kind",
+            "started_from_0",
             "ts",
             "row_id",
             leading_number("state").alias("v"),
             F.when(F.col("kind") == "total", reset).alias("reset"),
         )
     )
-    split = split_cells(
-        readings, _SERIES, ["ts", "row_id"], bucket("ts", interval), chunking.max_rows, chunking.broadcast_cells
-    )
-    cell = [*_SERIES, CELL, PART]
-    inside = Window.partitionBy(*cell).orderBy("ts", "row_id")
+    split, chunk = split_cells(readings, ["series_id"], ["ts", "row_id"], bucket("ts", interval), chunking)
+    inside = Window.partitionBy("series_id", *chunk).orderBy("ts", "row_id")
     previous = F.lag("v").over(inside)
-    return (
+    folded = (
         split.withColumns(
             {
                 "bucket": bucket("ts", interval),
@@ -55,8 +58,10 @@ def _fold_buckets(states: DataFrame, replacements: DataFrame, interval: int, chu
                 "_delta": counted_delta(F.col("v"), previous, F.col("reset"), F.lag("reset").over(inside), F.col("kind")),
             }
         )
-        .groupBy(*cell)
+        .groupBy("series_id", *chunk)
         .agg(
+            F.max("kind").alias("kind"),
+            F.max("started_from_0").alias("started_from_0"),
             F.max("bucket").alias("bucket"),
             F.max(F.when(F.col("_first"), F.col("v"))).alias("first_v"),
             F.max(F.when(F.col("_first"), F.col("reset"))).alias("first_reset"),
@@ -69,11 +74,12 @@ def _fold_buckets(states: DataFrame, replacements: DataFrame, interval: int, chu
             F.count("*").alias("n"),
         )
     )
+    return folded, chunk
 
 
-def _chain(folded: DataFrame) -> DataFrame:
+def _chain(folded: DataFrame, order: list[str]) -> DataFrame:
     """Add the running sum over the buckets of each series, starting from 0."""
-    along = Window.partitionBy(*_SERIES).orderBy(CELL, PART)
+    along = Window.partitionBy("series_id").orderBy(*order)
     previous = F.lag("last_v").over(along)
     start = F.when(F.col("kind").isin(*TOTAL_KINDS) & F.col("started_from_0"), F.col("first_v")).otherwise(0.0)
     link = F.when(previous.isNull(), start).otherwise(
@@ -84,23 +90,23 @@ def _chain(folded: DataFrame) -> DataFrame:
     )
 
 
-def _roll_up(chained: DataFrame, tables: Mapping[str, int]) -> DataFrame:
+def _roll_up(chained: DataFrame, order: list[str], tables: Mapping[str, int]) -> DataFrame:
     """One row per (series, table, bucket of that table); rows without a time only counted above."""
     grains = F.array(*(F.struct(F.lit(t).alias("table"), F.lit(i).cast("bigint").alias("interval_s")) for t, i in tables.items()))
-    last = F.struct(CELL, PART, F.col("last_v").alias("state"), "running", "last_reset")
+    last = F.struct(*order, F.col("last_v").alias("state"), "running", "last_reset", "kind")
     return (
         chained.where("bucket is not null")
         .withColumn("grain", F.explode(grains))
         .select("*", "grain.table", "grain.interval_s")
         .withColumn("start", bucket("bucket", F.col("interval_s")))
-        .groupBy(*_SERIES, "table", "interval_s", "start")
+        .groupBy("series_id", "table", "interval_s", "start")
         .agg(
             F.max(last).alias("last"),
             F.min("min").alias("min"),
             F.max("max").alias("max"),
             (F.sum("total") / F.sum("n")).alias("mean"),
         )
-        .select(*_SERIES, "table", "interval_s", "start", "last.state", "last.running", "last.last_reset", "min", "mean", "max")
+        .select("series_id", "table", "interval_s", "start", "last.state", "last.running", "last.last_reset", "last.kind", "min", "mean", "max")
     )
 
 
@@ -110,7 +116,7 @@ def _fill(rolled: DataFrame, strict_cutoff: bool) -> DataFrame:
     A series whose readings all lie in one bucket still yields that bucket unless
     ``strict_cutoff``. Reset marks are filled forward on their own.
     """
-    along = Window.partitionBy(*_SERIES, "table", "interval_s").orderBy("start")
+    along = Window.partitionBy("series_id", "table", "interval_s").orderBy("start")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     following = F.lead("start").over(along)
     only = F.lag("start").over(along).isNull() & following.isNull()
@@ -148,8 +154,8 @@ def rebuilt_rows(
 ) -> DataFrame:
     """The rows rebuilt from the successors' states, as ``schema.STATISTICS``."""
     finest = min(tables.values())
-    folded = _fold_buckets(states, replacements, finest, chunking)
-    filled = _fill(_roll_up(_chain(folded), tables), strict_cutoff)
+    folded, order = _fold_buckets(states, replacements, finest, chunking)
+    filled = _fill(_roll_up(_chain(folded, order), order, tables), strict_cutoff)
 
     # Sums continue from the newest sum of the predecessor.
     newest = (

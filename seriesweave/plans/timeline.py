@@ -43,28 +43,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def split_cells(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, max_rows: int, broadcast_cells: int
-) -> DataFrame:
-    """Add ``_cell`` and ``_part`` so that no (keys, cell, part) exceeds ``max_rows`` by much.
-
-    Rows are counted per cell first (two narrow columns, combined before the
-    shuffle). Usually no cell is too full and every part is 0. The rows of cells
-    that are go through a range partitioning on the full row order, whose
-    partition number becomes the part. Its borders come from sampling, so the
-    result is checkpointed: all later readers, retried tasks included, see the
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, chunking: Chunking
+) -> tuple[DataFrame, list[str]]:
+    """Add columns that cut the history of each key into chunks one task can sort.
+
+    Returns the rows and the names of the chunk columns, in time order: ``_cell``,
+    and ``_part`` where needed. Rows are counted per cell first (few narrow
+    columns, combined before the shuffle), and usually no cell is too full. The
+    rows of cells that are go through a range partitioning on the full row order,
+    whose partition number becomes the part. Its borders come from sampling, so
+    the result is checkpointed: all later readers, retried tasks included, see the
     same parts.
     """
+    max_rows = chunking.max_rows
     cells = df.withColumn(CELL, F.coalesce(cell, F.lit(_NO_TIME)))
     by = [*keys, CELL]
     full = cells.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
     if full.isEmpty():
-        return cells.withColumn(PART, F.lit(0))
+        return cells, [CELL]
 
     ensure_checkpoint_dir(df.sparkSession)
     full = full.checkpoint()
     found, rows = full.agg(F.count("*"), F.sum("_n")).first()
     wanted = full.select(*by)
-    if found <= broadcast_cells:
+    if found <= chunking.broadcast_cells:
         wanted = F.broadcast(wanted)
     crowded = (
         cells.join(wanted, by, "left_semi")
@@ -75,15 +77,8 @@ def split_cells(
         .drop("_read")
         .checkpoint()
     )
-    return cells.join(wanted, by, "left_anti").withColumn(PART, F.lit(0)).unionByName(crowded)
-
-
-def split_timeline(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunking: Chunking = DEFAULT_CHUNKING
-) -> DataFrame:
-    """``split_cells`` with cells of ``span_seconds`` along the first order column."""
-    cell = F.floor(F.col(order[0]) / F.lit(float(chunking.span_seconds)))
-    return split_cells(df, keys, order, cell, chunking.max_rows, chunking.broadcast_cells)
+    roomy = cells.join(wanted, by, "left_anti").withColumn(PART, F.lit(0))
+    return roomy.unionByName(crowded), [CELL, PART]
 
 
 def with_previous(
@@ -97,39 +92,43 @@ def with_previous(
     """Add values of earlier rows of the same series.
 
     ``previous`` names expressions (structs, so that "no row" and "NULL value"
-    differ) taken from the row directly before; ``known`` names expressions whose
-    last non-NULL value before the row is taken. Rows with equal order columns
-    keep an arbitrary order among themselves.
+    differ) taken from the row directly before. ``known`` names expressions whose
+    last non-NULL value before the row is taken; it is only given on rows where the
+    expression itself is not NULL. Rows with equal order columns keep an arbitrary
+    order among themselves.
+
+    All but a few rows per chunk find their answer inside the chunk. The others,
+    the border rows, are looked at once more along the whole series. Both branches
+    read the same shuffle, which Spark runs once.
     """
     known = known or {}
-    chunk = [*keys, CELL, PART]
-    rows = split_timeline(df, keys, order, chunking)
-    for name, value in {**previous, **known}.items():
-        rows = rows.withColumn(f"_here_{name}", value)
+    names = [*previous, *known]
+    columns = df.columns
+    span = F.floor(F.col(order[0]) / F.lit(float(chunking.span_seconds)))
+    rows, chunk = split_cells(df, keys, order, span, chunking)
+    rows = rows.withColumns({f"_here_{n}": value for n, value in {**previous, **known}.items()})
 
-    inside = Window.partitionBy(*chunk).orderBy(*order)
+    inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns(
         {
-            **{f"_in_{n}": F.lag(f"_here_{n}").over(inside) for n in previous},
-            **{f"_in_{n}": F.last(f"_here_{n}", ignorenulls=True).over(so_far) for n in known},
-            "_is_last": F.lead(F.lit(True), 1, False).over(inside) == F.lit(False),
+            **{n: F.lag(f"_here_{n}").over(inside) for n in previous},
+            **{n: F.last(f"_here_{n}", ignorenulls=True).over(so_far) for n in known},
+            "_is_first": ~F.lag(F.lit(True), 1, False).over(inside),
+            "_is_last": ~F.lead(F.lit(True), 1, False).over(inside),
         }
     )
+    at_border = F.col("_is_first") | F.col("_is_last")
+    for n in known:
+        at_border = at_border | (F.col(f"_here_{n}").isNotNull() & F.col(n).isNull())
 
-    across = Window.partitionBy(*keys).orderBy(CELL, PART)
+    across = Window.partitionBy(*keys).orderBy(*chunk, *order)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.where("_is_last").select(
-        *chunk,
-        *(F.lag(f"_here_{n}").over(across).alias(f"_from_{n}") for n in previous),
-        *(
-            F.last(F.coalesce(f"_here_{n}", f"_in_{n}"), ignorenulls=True).over(before).alias(f"_from_{n}")
-            for n in known
-        ),
-    )
-    names = [*previous, *known]
-    return (
-        rows.join(carried, chunk)
-        .withColumns({n: F.coalesce(f"_in_{n}", f"_from_{n}") for n in names})
-        .drop(CELL, PART, "_is_last", *(f"{p}{n}" for n in names for p in ("_here_", "_in_", "_from_")))
+    leaving = lambda n: F.when(F.col("_is_last"), F.coalesce(f"_here_{n}", n))
+    border = rows.where(at_border).withColumns(
+        {
+            **{n: F.coalesce(n, F.lag(f"_here_{n}").over(across)) for n in previous},
+            **{n: F.coalesce(n, F.last(leaving(n), ignorenulls=True).over(before)) for n in known},
+        }
     )
+    return rows.where(~at_border).select(*columns, *names).unionByName(border.select(*columns, *names))
