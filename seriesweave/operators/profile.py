@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.predicates import (
     state_unavailable,
-    statistics_available,
     statistics_unavailable,
 )
 from ..functions.text import number_text, value_with_sum
@@ -154,9 +153,7 @@ def last_reset_rows(statistics: DataFrame, last_reset_as: str = "epoch") -> Data
     return statistics.where(F.col(mark).isNotNull()).select("series_id", "table", "start_ts", mark)
 
 
-def _outages(
-    rows: DataFrame, time: str, text: Column, max_rows: int, chunking: Chunking
-) -> DataFrame:
+def _outages(rows: DataFrame, max_rows: int, chunking: Chunking) -> DataFrame:
     """Runs of unavailable rows as (series_id, table, start_ts, end_ts, row_count, value).
 
     A run also ends where ``text`` changes. Whether a row begins a run depends on
@@ -164,7 +161,6 @@ def _outages(
     are kept, so the runs of a series are built from at most ``max_rows`` rows.
     """
     keys = ["series_id", "table"]
-    rows = rows.select(*keys, F.col(time).alias("ts"), "row_id", "unavailable", text.alias("text"))
     detailed = (
         rows.where("unavailable").groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_rows)
     ).select(*keys)
@@ -192,16 +188,30 @@ def state_outages(
     states: DataFrame, max_rows: int = MAX_OUTAGE_ROWS, chunking: Chunking = DEFAULT_CHUNKING
 ) -> DataFrame:
     """Runs of unavailable states with the same exact text, for series with 1 to ``max_rows`` of them."""
-    rows = states.withColumns({"table": F.lit("states"), "unavailable": state_unavailable()})
-    return _outages(rows, "ts", F.col("state"), max_rows, chunking)
+    rows = states.select(
+        "series_id",
+        F.lit("states").alias("table"),
+        "ts",
+        "row_id",
+        state_unavailable().alias("unavailable"),
+        F.col("state").alias("text"),
+    )
+    return _outages(rows, max_rows, chunking)
 
 
 def statistics_outages(
     statistics: DataFrame, max_rows: int = MAX_OUTAGE_ROWS, chunking: Chunking = DEFAULT_CHUNKING
 ) -> DataFrame:
     """Runs of statistics rows without any value."""
-    rows = statistics.withColumn("unavailable", ~statistics_available())
-    return _outages(rows, "start_ts", F.lit(None).cast("string"), max_rows, chunking)
+    rows = statistics.select(
+        "series_id",
+        "table",
+        F.col("start_ts").alias("ts"),
+        "row_id",
+        statistics_unavailable().alias("unavailable"),
+        F.lit(None).cast("string").alias("text"),
+    )
+    return _outages(rows, max_rows, chunking)
 
 
 def outages(

@@ -96,7 +96,8 @@ def statistics_resets(
     marks as ``epoch`` (``last_reset_ts``) or only as ``text`` (``last_reset``).
     """
     mode = "any" if mode is None else mode
-    epoch = F.col("last_reset_ts") if last_reset_as == "epoch" else text_epoch(F.col("last_reset"))
+    # A column renamed to its own name would keep Spark from sharing the shuffle below.
+    epoch = F.col("last_reset_ts") if last_reset_as == "epoch" else text_epoch(F.col("last_reset")).alias("last_reset_ts")
     value = F.coalesce(*VALUE_COLUMNS)
     text_mark = F.coalesce(whole_number("last_reset").cast("string"), F.col("last_reset"))
     mark = F.col("last_reset_ts").cast("string") if last_reset_as == "epoch" else text_mark
@@ -109,7 +110,7 @@ def statistics_resets(
         value.alias("number"),
         F.coalesce(_mode(mode), F.lit("any")).alias("mode"),
         mark.alias("mark"),
-        epoch.alias("last_reset_ts"),
+        epoch,
     )
     return _resets(rows, mode, F.col("mode"), chunking)
 
