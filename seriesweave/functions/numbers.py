@@ -6,8 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from ..schema import GAP_FACTOR, RESET_RATIO
 
-# Characters of an ordinary number; texts made of nothing else take the fast path.
-_PLAIN = "0123456789.+-eE"
 # Number at the start of a text; what follows it is ignored.
 _LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 # Complete number, including the words for infinity and not-a-number.
@@ -15,7 +13,9 @@ _WHOLE_NUMBER = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|na
 
 
 def _plain_number(text: Column) -> Column:
-    return F.when(F.translate(text, _PLAIN, "") == "", text.try_cast("double"))
+    """Fast path without patterns for texts that end in a digit and are not hexadecimal."""
+    decimal = F.substring(text, -1, 1).between("0", "9") & ~text.contains("x") & ~text.contains("X")
+    return F.when(decimal, text.try_cast("double"))
 
 
 def leading_number(text: str | Column) -> Column:

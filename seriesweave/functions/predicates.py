@@ -10,8 +10,7 @@ from ..schema import UNAVAILABLE_TEXTS, VALUE_COLUMNS
 def state_unavailable(state: str | Column = "state") -> Column:
     """True for NULL, blank and the texts that stand for "no reading"; never NULL."""
     state = F.col(state) if isinstance(state, str) else state
-    text = F.trim(state)
-    return state.isNull() | (text == "") | F.lower(text).isin(*UNAVAILABLE_TEXTS)
+    return F.lower(F.trim(F.coalesce(state, F.lit("")))).isin("", *UNAVAILABLE_TEXTS)
 
 
 def state_available(state: str | Column = "state") -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,13 +47,14 @@ def change_report(before: DataFrame, after: DataFrame, columns: Sequence[str] =
     the one with the highest row id stands.
 
     Both versions meet in one aggregation, which drops copies before the shuffle
-    and is the only shuffle there is.
+    and is the only shuffle there is. Grouping by a hash of the key first makes its
+    sorts cheap: series ids mostly begin alike, so comparing them takes long.
     """
     sides = before.select(*_KEYS, "interval_s", "row_id", *columns, F.lit("old").alias("side")).unionByName(
         after.select(*_KEYS, "interval_s", "row_id", *columns, F.lit("new").alias("side"))
     )
     entry = F.struct("row_id", *columns)
-    pairs = sides.groupBy(*_KEYS).agg(
+    pairs = sides.groupBy(F.xxhash64(*_KEYS).alias("_key"), *_KEYS).agg(
         F.max("interval_s").alias("interval_s"),
         F.max(F.when(F.col("side") == "old", entry)).alias("old"),
         F.max(F.when(F.col("side") == "new", entry)).alias("new"),
@@ -116,30 +119,38 @@ def condense(
     row is also handed to the chunks it borders on, and windows run per chunk.
     """
     # A decision looks at BLOCK_EDGE rows either side, the marker at one more.
-    reach = (BLOCK_EDGE + 1) * F.col("interval_s")
-    span = 288 * F.col("interval_s")
-    cell = lambda ts: F.floor(ts / span)
-    start = F.col("start_ts")
-    rows = (
-        report.withColumn("_own", cell(start))
-        .withColumn(
-            "_cell", F.explode(F.array_distinct(F.array(cell(start - reach), cell(start), cell(start + reach))))
-        )
+    start, interval = F.col("start_ts"), F.col("interval_s")
+    reach, span = (BLOCK_EDGE + 1) * interval, 288 * interval
+    own, low, high = (F.floor(t / span) for t in (start, start - reach, start + reach))
+    rows = report.withColumns(
+        {
+            "_matters": _any_change([c for c in columns if c not in trivial]),
+            "_own": own,
+            "_cell": F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))),
+        }
     )
+
     inside = Window.partitionBy("series_id", "table", "_cell").orderBy("start_ts")
-    step = F.abs(start - F.lag("start_ts").over(inside) - F.col("interval_s")) < 1e-6
-    rows = rows.withColumn("_joined", F.coalesce(step, F.lit(False)))
-
-    early = late = F.lit(False)
-    for k in range(BLOCK_EDGE):
-        early = early | ~F.lag("_joined", k, False).over(inside)
-        late = late | ~F.lead("_joined", k + 1, False).over(inside)
-    kept = early | late | _any_change([c for c in columns if c not in trivial])
+    # _back0 tells whether the row before is one interval away, _back1 whether the
+    # one before that is as far from it again, and so on; _ahead1 likewise forwards.
+    time = lambda k: F.lag("start_ts", k).over(inside) if k > 0 else F.lead("start_ts", -k).over(inside) if k < 0 else start
+    near = lambda later, earlier: F.coalesce(F.abs(later - earlier - interval) < 1e-6, F.lit(False))
+    rows = rows.withColumns(
+        {
+            **{f"_back{k}": near(time(k), time(k + 1)) for k in range(BLOCK_EDGE + 1)},
+            **{f"_ahead{k}": near(time(-k), time(1 - k)) for k in range(1, BLOCK_EDGE + 1)},
+            "_mattered": F.lag("_matters", 1, False).over(inside),
+        }
+    )
+
+    every = lambda names: reduce(and_, (F.col(n) for n in names))
+    # In the middle of its block: BLOCK_EDGE neighbours on both sides.
+    middle = every([*(f"_back{k}" for k in range(BLOCK_EDGE)), *(f"_ahead{k}" for k in range(1, BLOCK_EDGE + 1))])
+    middle_before = every([*(f"_back{k}" for k in range(BLOCK_EDGE + 1)), *(f"_ahead{k}" for k in range(1, BLOCK_EDGE))])
     return (
-        rows.withColumn("_kept", kept)
-        .withColumn("omitted_before", F.col("_joined") & ~F.lag("_kept", 1, True).over(inside))
-        .where("_kept and _cell = _own")
-        .drop("_own", "_cell", "_joined", "_kept")
+        rows.where((F.col("_cell") == F.col("_own")) & (~middle | F.col("_matters")))
+        .withColumn("omitted_before", middle_before & ~F.col("_mattered"))
+        .select(*report.columns, "omitted_before")
     )
 
 

@@ -46,7 +46,14 @@ def _fold_buckets(
             F.when(F.col("kind") == "total", reset).alias("reset"),
         )
     )
-    split, chunk = split_cells(readings, ["series_id"], ["ts", "row_id"], bucket("ts", interval), chunking)
+    split, chunk = split_cells(
+        readings,
+        ["series_id"],
+        ["ts", "row_id"],
+        chunking,
+        bucket("ts", interval),
+        states.join(wanted, "series_id", "left_semi").select("series_id", "ts"),
+    )
     inside = Window.partitionBy("series_id", *chunk).orderBy("ts", "row_id")
     previous = F.lag("v").over(inside)
     folded = (
@@ -155,6 +162,9 @@ def rebuilt_rows(
     """The rows rebuilt from the successors' states, as ``schema.STATISTICS``."""
     finest = min(tables.values())
     folded, order = _fold_buckets(states, replacements, finest, chunking)
+    # Filling multiplies these rows, so their partitions must not be merged for
+    # being small now, as adaptive execution does unless the number is given.
+    folded = folded.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
     filled = _fill(_roll_up(_chain(folded, order), order, tables), strict_cutoff)
 
     # Sums continue from the newest sum of the predecessor.

@@ -78,7 +78,9 @@ def state_resets(
         )
         .where("number is not null")
     )
-    return _resets(rows, mode, F.lit("total_increasing"), chunking)
+    # Counting all states saves reading their texts.
+    counted = states.select("series_id", F.lit("states").alias("table"), "ts")
+    return _resets(rows, mode, F.lit("total_increasing"), chunking, counted)
 
 
 def statistics_resets(
@@ -112,10 +114,13 @@ def statistics_resets(
         mark.alias("mark"),
         epoch,
     )
-    return _resets(rows, mode, F.col("mode"), chunking)
+    counted = statistics.select("series_id", "table", F.col("start_ts").alias("ts"))
+    return _resets(rows, mode, F.col("mode"), chunking, counted)
 
 
-def _resets(rows: DataFrame, mode: str | Column, fall_mode: Column, chunking: Chunking) -> DataFrame:
+def _resets(
+    rows: DataFrame, mode: str | Column, fall_mode: Column, chunking: Chunking, counted: DataFrame
+) -> DataFrame:
     by_mark = _uses_marks(mode)
     found = with_previous(
         rows,
@@ -124,6 +129,7 @@ def _resets(rows: DataFrame, mode: str | Column, fall_mode: Column, chunking: Ch
         {"before": F.struct("ts", "state", "number")},
         {"known_mark": F.col("mark")} if by_mark else {},
         chunking,
+        counted,
     )
     fell = falls(F.col("number"), F.col("before.number"), fall_mode)
     reset = F.when(F.col("mode") == "total", _marked_again("mark")).otherwise(fell) if by_mark else fell

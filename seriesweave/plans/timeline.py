@@ -42,29 +42,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or "/tmp/seriesweave-checkpoints")
 
 
+def _crowded(rows: DataFrame, by: Sequence[str], max_rows: int) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+
+
 def split_cells(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column, chunking: Chunking
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunking: Chunking,
+    cell: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Add columns that cut the history of each key into chunks one task can sort.
 
-    Returns the rows and the names of the chunk columns, in time order: ``_cell``,
-    and ``_part`` where needed. Rows are counted per cell first (few narrow
-    columns, combined before the shuffle), and usually no cell is too full. The
-    rows of cells that are go through a range partitioning on the full row order,
-    whose partition number becomes the part. Its borders come from sampling, so
-    the result is checkpointed: all later readers, retried tasks included, see the
-    same parts.
+    Returns the rows and the names of the chunk columns, in time order: ``_cell``
+    (spans of time, or the finer ``cell``) and, where needed, ``_part``. Rows are
+    counted per span first, combined before the shuffle, and usually none is too
+    full. ``counted`` may be a cheaper frame to count, with at least these rows.
+    The rows of cells that are too full go through a range partitioning on the
+    full row order, whose partition number becomes the part. Its borders come from
+    sampling, so the result is checkpointed: all later readers, retried tasks
+    included, see the same parts.
     """
-    max_rows = chunking.max_rows
-    cells = df.withColumn(CELL, F.coalesce(cell, F.lit(_NO_TIME)))
-    by = [*keys, CELL]
-    full = cells.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+    max_rows, by = chunking.max_rows, [*keys, CELL]
+    no_time = F.lit(_NO_TIME)
+    span = F.coalesce(F.floor(F.col(order[0]) / F.lit(float(chunking.span_seconds))), no_time)
+    cells = df.withColumn(CELL, span if cell is None else F.coalesce(cell, no_time))
+    full = _crowded((df if counted is None else counted).withColumn(CELL, span), by, max_rows)
     if full.isEmpty():
         return cells, [CELL]
 
     ensure_checkpoint_dir(df.sparkSession)
-    full = full.checkpoint()
+    full = _crowded(cells, by, max_rows).checkpoint()
     found, rows = full.agg(F.count("*"), F.sum("_n")).first()
+    if not found:
+        return cells, [CELL]
     wanted = full.select(*by)
     if found <= chunking.broadcast_cells:
         wanted = F.broadcast(wanted)
@@ -88,6 +101,7 @@ def with_previous(
     previous: Mapping[str, Column],
     known: Mapping[str, Column] | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add values of earlier rows of the same series.
 
@@ -104,8 +118,7 @@ def with_previous(
     known = known or {}
     names = [*previous, *known]
     columns = df.columns
-    span = F.floor(F.col(order[0]) / F.lit(float(chunking.span_seconds)))
-    rows, chunk = split_cells(df, keys, order, span, chunking)
+    rows, chunk = split_cells(df, keys, order, chunking, counted=counted)
     rows = rows.withColumns({f"_here_{n}": value for n, value in {**previous, **known}.items()})
 
     inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
