@@ -280,37 +280,48 @@ def preview(
     ``part`` is ``copied``, ``generated`` or ``omitted``, the last for the one row
     that stands for ``omitted`` rows in between; ``position`` orders the rows. All
     rebuilt rows appear when there are at most ``first + last`` of them.
+
+    Rebuilt rows are one interval apart, so the position of a row follows from its
+    time and the first one's: one small aggregate, and no sorting of whole series.
     """
     keys = ["series_id", "table"]
-    ends = ends_of_predecessors(statistics, replacements).withColumnRenamed("end_ts", "old_end")
     values = ["start_ts", "state", "sum", "mean", "min", "max"]
-    rows = generated.join(ends, keys).select(*keys, "old_end", *values)
-    copied = (
-        rows.where("start_ts <= old_end")
-        .groupBy(*keys)
-        .agg(F.max(F.struct(*values)).alias("row"))
-        .select(*keys, F.lit("copied").alias("part"), "row.*", F.lit(0).cast("bigint").alias("position"))
+    rows = generated.join(ends_of_predecessors(statistics, replacements), keys)
+    later = F.col("start_ts") > F.col("end_ts")
+    place = lambda ts: F.round((ts - F.col("begin")) / F.col("interval_s")).cast("bigint") + 1
+    bounds = (
+        rows.groupBy(*keys)
+        .agg(
+            F.max(F.when(~later, F.struct(*values))).alias("copied"),
+            F.max("interval_s").alias("interval_s"),
+            F.min(F.when(later, F.col("start_ts"))).alias("begin"),
+            F.max(F.when(later, F.col("start_ts"))).alias("finish"),
+        )
+        .withColumn("total", F.coalesce(place(F.col("finish")), F.lit(0)))
     )
-    later = rows.where("start_ts > old_end").drop("old_end")
-    counts = later.groupBy(*keys).agg(F.count("*").alias("total"))
-    up = Window.partitionBy(*keys).orderBy("start_ts", *values[1:])
-    down = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in values))
-    # Only the rows near either end of a series leave their task.
-    head = later.withColumn("rank", F.row_number().over(up)).where(F.col("rank") <= first + last).join(counts, keys)
-    tail = later.withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= last).join(counts, keys)
-    fits = F.col("total") <= first + last
-    shown = head.where(fits | (F.col("rank") <= first)).withColumn("position", F.col("rank").cast("bigint")).unionByName(
-        tail.where(~fits).withColumn("position", F.col("total") - F.col("rank") + 1)
+
+    nothing = F.struct(*(F.lit(None).cast("double").alias(c) for c in values))
+    extra = lambda part, row, position, omitted: F.struct(
+        F.lit(part).alias("part"),
+        row.alias("row"),
+        F.lit(position).cast("bigint").alias("position"),
+        omitted.cast("bigint").alias("omitted"),
     )
-    marker = counts.where(~fits).select(
-        *keys,
-        F.lit("omitted").alias("part"),
-        *(F.lit(None).cast("double").alias(c) for c in values),
-        F.lit(first + 1).cast("bigint").alias("position"),
-        (F.col("total") - (first + last)).alias("omitted"),
+    beyond = F.col("total") - (first + last)
+    extras = F.array_compact(
+        F.array(
+            F.when(F.col("copied").isNotNull(), extra("copied", F.col("copied"), 0, F.lit(0))),
+            F.when(beyond > 0, extra("omitted", nothing, first + 1, beyond)),
+        )
     )
-    return (
-        copied.unionByName(shown.select(*keys, F.lit("generated").alias("part"), *values, "position"))
-        .withColumn("omitted", F.lit(0).cast("bigint"))
-        .unionByName(marker)
+    around = bounds.select(*keys, F.explode(extras).alias("extra")).select(
+        *keys, "extra.part", "extra.row.*", "extra.position", "extra.omitted"
+    )
+    shown = (
+        rows.where(later)
+        .join(bounds.select(*keys, "begin", "total"), keys)
+        .withColumn("position", place(F.col("start_ts")))
+        .where((F.col("position") <= first) | (F.col("position") > F.col("total") - last) | (F.col("total") <= first + last))
+        .select(*keys, F.lit("generated").alias("part"), *values, "position", F.lit(0).cast("bigint").alias("omitted"))
     )
+    return around.unionByName(shown)
