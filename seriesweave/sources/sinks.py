@@ -75,22 +75,29 @@ def write_bucketed(rows: DataFrame, path: str, buckets: int) -> None:
 def swap_in_place(path: str, generated: DataFrame, replaced: DataFrame, buckets: int) -> None:
     """Replace series inside a table written by ``write_bucketed``.
 
-    Only partitions that hold a replaced series are read and rewritten, both
+    Only partitions that may hold a replaced series are read and rewritten, both
     statistics tables in one write. A job cannot overwrite what it reads, so the
-    new content is checkpointed first. The number of partitions bounds the list
-    that prunes the scan.
+    new content is checkpointed first. The lists the driver sees hold partition
+    names, so the layout bounds them. Readers may see the change half done; write
+    a new version and switch to it where that matters.
     """
     spark = generated.sparkSession
     ensure_checkpoint_dir(spark)
+    layout = ["table", BUCKET]
     ids = with_bucket(replaced.select(F.col("new_id").alias("series_id")), buckets)
-    touched = [r[0] for r in ids.select(BUCKET).distinct().limit(buckets).collect()]
+    touched = [r[0] for r in ids.select(BUCKET).distinct().collect()]
     if not touched:
         return
-    current = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    fresh = with_bucket(replace_series(current, generated, replaced), buckets).checkpoint()
+    current = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+    fresh = with_bucket(replace_series(current.drop(BUCKET), generated, replaced), buckets).checkpoint()
+    # Dynamic overwrite leaves partitions alone that get no rows: empty those by name.
+    emptied = current.select(*layout).distinct().join(fresh.select(*layout).distinct(), layout, "left_anti").collect()
     (
         fresh.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("table", BUCKET)
+        .partitionBy(*layout)
         .parquet(path)
     )
+    for table, bucket in emptied:
+        nothing = fresh.drop(*layout).where(F.lit(False))
+        nothing.write.mode("overwrite").parquet(f"{path}/table={table}/{BUCKET}={bucket}")
