@@ -48,7 +48,7 @@ def _readings(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
         epoch(F.col("ts")).alias("ts"),
         F.col("event_id").alias("row_id"),
         "event_type",
-        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        F.to_date("ts").cast("string").alias("day"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
     )
     counter = (F.floor("ts").cast("bigint") % 86_400) * 10 + F.col("cents")

@@ -376,6 +376,31 @@ def _time(x: str) -> str:
     return f"strftime(make_timestamp(CAST(floor({x}) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
 
 
+ELIGIBLE = f"""
+avail AS (SELECT * FROM states WHERE {AVAILABLE}),
+facts AS (
+  SELECT p.old_id, p.new_id, co.state_class AS kind, cn.state_class AS new_kind,
+         (SELECT max(ts) FROM avail a WHERE a.series_id = p.old_id) AS old_end,
+         (SELECT min(ts) FROM avail a WHERE a.series_id = p.new_id) AS new_start,
+         (SELECT max(start_ts) FROM stats a WHERE a.series_id = p.old_id) AS send
+  FROM pairs p LEFT JOIN classes co ON co.series_id = p.old_id LEFT JOIN classes cn ON cn.series_id = p.new_id),
+reasons AS (
+  SELECT *, CASE WHEN kind IS DISTINCT FROM new_kind OR kind IS NULL THEN 'classes differ or are not supported'
+       WHEN old_end IS NULL OR new_start IS NULL THEN 'no available states'
+       WHEN floor(new_start) <= floor(old_end) THEN 'new states start before old states end' END AS reason FROM facts),
+eligible AS (SELECT * FROM reasons WHERE reason IS NULL)"""
+
+
+def _change(c: str) -> str:
+    """The text of a changed value; the changed values end in .0 or .5."""
+    number = f"regexp_replace(regexp_replace(printf('%.6f', abs({c}_delta)), '0+$', ''), '\\.$', '')"
+    return (
+        f"CASE WHEN d_{c} THEN coalesce(CAST({c}_old AS VARCHAR), '(none)') || ' -> ' || coalesce(CAST({c}_new AS VARCHAR), '(none)')"
+        f" || CASE WHEN {c}_delta IS NULL THEN '' ELSE ' (' || CASE WHEN {c}_delta >= 0 THEN '+' ELSE '-' END || {number} || ')' END"
+        " ELSE '' END"
+    )
+
+
 F = fixture()
 _TEXT = "coalesce(CAST({0} AS VARCHAR), 'NULL')"
 
@@ -467,6 +492,10 @@ SELECT series_id, tbl AS "table", 'copied' AS part, start_ts, state, sum, mean,
 UNION ALL SELECT series_id, tbl, 'generated', start_ts, state, sum, mean, mn, mx, pos, 0 FROM later WHERE pos <= 3 OR pos > n - 3 OR n <= 6
 UNION ALL SELECT DISTINCT series_id, tbl, 'omitted', NULL, NULL, NULL, NULL, NULL, NULL, 4, n - 6 FROM later WHERE n > 6""",
     "change_report": _with(F, EDITED, changes("stats", "edited")) + f"SELECT {FLAT_CHANGES} FROM changes",
+    "change_report_text": _with(F, EDITED, changes("stats", "edited"))
+    + f"""SELECT series_id, tbl AS "table", start_ts, {_time('start_ts')} AS start, {_change('state')} AS state, {_change('sum')} AS sum,
+       CASE WHEN d_created_ts THEN coalesce({_time('created_ts_old')}, '(none)') || ' -> ' || coalesce({_time('created_ts_new')}, '(none)') ELSE '' END
+         AS created_ts FROM changes""",
     "changed_columns": _with(F, EDITED, changes("stats", "edited"))
     + """SELECT series_id, tbl AS "table", concat_ws(',', """
     + ", ".join(
@@ -475,23 +504,21 @@ UNION ALL SELECT DISTINCT series_id, tbl, 'omitted', NULL, NULL, NULL, NULL, NUL
     + ") AS columns FROM changes GROUP BY series_id, tbl",
     "change_report_condensed": _with(F, EDITED, changes("stats", "edited"), condensed("changes"))
     + f"SELECT {FLAT_CHANGES}, omitted_before FROM condensed",
+    "snapshot_after_predecessors": _with(planned()) + f"SELECT {STAT_COLUMNS} FROM current_rows",
     "planned_changes": _with(planned(), changes("current_rows", "later_rows")) + f"SELECT {FLAT_CHANGES} FROM changes",
     "planned_changes_condensed": _with(planned(), changes("current_rows", "later_rows"), condensed("changes"))
     + f"SELECT {FLAT_CHANGES}, omitted_before FROM condensed",
     "applied_changes_after_swap": _with(planned(), changes("current_rows", "later_rows"))
     + f"SELECT {FLAT_CHANGES} FROM changes",
-    "replacement_eligibility": _with(F, pairs(), CLASSES, f"avail AS (SELECT * FROM states WHERE {AVAILABLE})")
-    + """, x AS (
-  SELECT p.old_id, p.new_id, co.state_class AS kind, cn.state_class AS new_kind,
-         (SELECT max(ts) FROM avail a WHERE a.series_id = p.old_id) AS old_end,
-         (SELECT min(ts) FROM avail a WHERE a.series_id = p.new_id) AS new_start,
-         (SELECT max(start_ts) FROM stats a WHERE a.series_id = p.old_id) AS send
-  FROM pairs p LEFT JOIN classes co ON co.series_id = p.old_id LEFT JOIN classes cn ON cn.series_id = p.new_id),
-y AS (SELECT *, CASE WHEN kind IS DISTINCT FROM new_kind OR kind IS NULL THEN 'classes differ or are not supported'
-       WHEN old_end IS NULL OR new_start IS NULL THEN 'no available states'
-       WHEN floor(new_start) <= floor(old_end) THEN 'new states start before old states end' END AS reason FROM x)
-SELECT old_id, new_id, kind, old_end, new_start, reason IS NULL AS eligible, reason,
-       coalesce(new_start <= send, FALSE) AS overlaps_statistics FROM y""",
+    "replacement_eligibility": _with(F, pairs(), CLASSES, ELIGIBLE)
+    + """SELECT old_id, new_id, kind, old_end, new_start, reason IS NULL AS eligible, reason,
+       coalesce(new_start <= send, FALSE) AS overlaps_statistics FROM reasons""",
+    "splice_counts": _with(ALL_KINDS, CLASSES, ELIGIBLE)
+    + """SELECT series_id, tbl AS "table", count(*) AS row_count FROM generated
+WHERE series_id IN (SELECT new_id FROM eligible) GROUP BY ALL""",
+    "splice_result": _with(ALL_KINDS, CLASSES, ELIGIBLE)
+    + f"""SELECT {STAT_COLUMNS} FROM (SELECT * FROM stats WHERE series_id NOT IN (SELECT new_id FROM eligible)
+  UNION ALL SELECT * FROM generated WHERE series_id IN (SELECT new_id FROM eligible))""",
     "replace_series_result": _with(ALL_KINDS)
     + f"""SELECT {STAT_COLUMNS} FROM (SELECT * FROM stats WHERE series_id NOT IN (SELECT new_id FROM pairs)
   UNION ALL SELECT * FROM generated)""",

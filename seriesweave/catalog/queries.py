@@ -10,8 +10,8 @@ from ..functions import numbers, times
 from ..functions.predicates import state_unavailable, statistics_available
 from ..functions.text import gap_text, reset_text, span_text
 from ..operators import attributes, diff, profile, quality
-from ..operators.generate import copied_rows, generate, generated_counts, preview
-from ..operators.splice import applied_changes, eligibility, quality_checks
+from ..operators.generate import copied_rows, ends_of_predecessors, generate, generated_counts, preview
+from ..operators.splice import applied_changes, eligibility, quality_checks, splice
 from ..schema import INTERVALS
 from ..sources.registry import document_errors, entities_of, entity
 from ..sources.sinks import as_target_rows, replace_series, without_target_id
@@ -253,6 +253,12 @@ def change_report(spark, sf_dir):
     return _flat_changes(_changes(spark, sf_dir))
 
 
+def change_report_text(spark, sf_dir):
+    return diff.change_cells(_changes(spark, sf_dir)).select(
+        "series_id", "table", "start_ts", "start", "state", "sum", "created_ts"
+    )
+
+
 def changed_columns(spark, sf_dir):
     found = diff.changed_columns(_changes(spark, sf_dir))
     return found.select("series_id", "table", F.array_join("columns", ",").alias("columns"))
@@ -270,6 +276,12 @@ def _planned(spark, sf_dir) -> DataFrame:
     )
 
 
+def snapshot_after_predecessors(spark, sf_dir):
+    statistics, pairs = fx.statistics(spark, sf_dir), fx.replacements(spark, sf_dir)
+    cut = ends_of_predecessors(statistics, pairs).withColumnRenamed("end_ts", "cut_ts")
+    return diff.snapshot(only_series(statistics, pairs, "new_id"), cut)
+
+
 def planned_changes(spark, sf_dir):
     return _flat_changes(_planned(spark, sf_dir))
 
@@ -293,6 +305,21 @@ def replacement_eligibility(spark, sf_dir):
     return eligibility(pairs, fx.classes(spark, sf_dir), fx.states(spark, sf_dir), fx.statistics(spark, sf_dir))
 
 
+def _spliced(spark, sf_dir) -> dict[str, DataFrame]:
+    pairs = fx.replacements(spark, sf_dir).select("old_id", "new_id")
+    return splice(
+        pairs, fx.classes(spark, sf_dir), fx.states(spark, sf_dir), fx.statistics(spark, sf_dir), run_ts=fx.RUN_TS
+    )
+
+
+def splice_counts(spark, sf_dir):
+    return _spliced(spark, sf_dir)["counts"]
+
+
+def splice_result(spark, sf_dir):
+    return _spliced(spark, sf_dir)["result"]
+
+
 def replace_series_result(spark, sf_dir):
     pairs = fx.replacements(spark, sf_dir, None, True)
     return replace_series(
@@ -443,12 +470,16 @@ QUERIES: dict[str, Query] = {
         generated_counts_by_table,
         generated_preview,
         change_report,
+        change_report_text,
         changed_columns,
         change_report_condensed,
+        snapshot_after_predecessors,
         planned_changes,
         planned_changes_condensed,
         applied_changes_after_swap,
         replacement_eligibility,
+        splice_counts,
+        splice_result,
         replace_series_result,
         replace_series_target_rows,
         pairs_without_target_id,

@@ -10,34 +10,27 @@ def json_field(payload: Column, name: str) -> Column:
     return F.get_json_object(payload, f"$.{name}")
 
 
-def is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+# What ``schema_of_variant`` calls a JSON null. The functions below take such a
+# kind along with the value, as finding it out is not free.
+NULL_KIND = "VOID"
 
 
-def is_filled_object(value: Column) -> Column:
-    schema = F.schema_of_variant(value)
-    return schema.startswith("OBJECT") & (schema != "OBJECT<>")
+def is_object(kind: Column) -> Column:
+    return kind.startswith("OBJECT")
 
 
-def is_number(value: Column) -> Column:
-    schema = F.schema_of_variant(value)
-    return (schema == "BIGINT") | (schema == "DOUBLE") | schema.startswith("DECIMAL")
+def is_number(kind: Column) -> Column:
+    return (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
 
 
-def is_null_value(value: Column) -> Column:
-    return F.schema_of_variant(value) == "VOID"
-
-
-def value_text(value: Column) -> Column:
+def value_text(value: Column, kind: Column) -> Column:
     """Strings as they are, everything else as compact JSON with sorted keys."""
-    return F.when(
-        F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")
-    ).otherwise(F.to_json(value))
+    return F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
 
 
-def compare_key(value: Column) -> Column:
+def compare_key(value: Column, kind: Column) -> Column:
     """Text that is equal for equal values: numbers by value, the rest by JSON."""
-    return F.when(is_number(value), F.try_variant_get(value, "$", "double").cast("string")).otherwise(
+    return F.when(is_number(kind), F.try_variant_get(value, "$", "double").cast("string")).otherwise(
         F.to_json(value)
     )
 
@@ -62,9 +55,9 @@ def state_class(attrs: Column) -> Column:
 
 def nesting(json: Column) -> Column:
     """How deep brackets nest in a JSON text, ignoring those inside strings."""
-    brackets = F.regexp_replace(
-        F.regexp_replace(json, r'"(?:\\.|[^"\\])*"', ""), r"[^{}\[\]]", ""
-    )
+    # Escapes go first: a pattern for strings with escapes overflows the stack on long ones.
+    bare = F.regexp_replace(json, r"\\.", "")
+    brackets = F.regexp_replace(bare, r'"[^"]*"|[^"{}\[\]]+', "")
     steps = F.split(brackets, "")
     walk = F.aggregate(
         steps,

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.variants import (
+    NULL_KIND,
     compare_key,
-    is_filled_object,
-    is_null_value,
     is_number,
+    is_object,
     nesting,
     state_class,
     value_text,
@@ -20,27 +20,21 @@ from .profile import summary_paths
 def flatten(entities: DataFrame, *keys: str) -> DataFrame:
     """``(keys, path, value)``: nested objects become ``a/b`` paths; lists and empty objects stay whole.
 
-    Each level of nesting is one more explode of the rows that are objects, so
-    the depth of the data is looked up first (one pass over the texts).
+    Every level of nesting is one more explode in a single chain, in which values
+    that are no objects pass through. How deep the data goes is looked up first.
     """
     keys = list(keys or ("site", "entity_id"))
     depth = entities.agg(F.max(nesting(F.to_json("attrs")))).first()[0] or 0
-    level = entities.select(*keys, F.lit("").alias("path"), F.col("attrs").alias("value"))
-    leaves = None
+    cells = entities.select(*keys, F.lit(None).cast("string").alias("path"), F.col("attrs").alias("value"))
     for _ in range(depth):
-        entries = level.where(is_filled_object(F.col("value"))).select(
-            *keys, F.col("path").alias("parent"), F.explode(F.col("value").cast("map<string,variant>")).alias("key", "value")
+        fields = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>"))
+        below = F.transform(
+            fields, lambda f: F.struct(F.concat_ws("/", "path", f["key"]).alias("path"), f["value"].alias("value"))
         )
-        level = entries.select(
-            *keys,
-            F.when(F.col("parent") == "", F.col("key")).otherwise(F.concat("parent", F.lit("/"), "key")).alias("path"),
-            "value",
-        )
-        found = level.where(~is_filled_object(F.col("value")))
-        leaves = found if leaves is None else leaves.unionByName(found)
-    if leaves is None:
-        return level.where(F.lit(False))
-    return leaves
+        cell = F.explode(F.when(F.size(fields) > 0, below).otherwise(F.array(F.struct("path", "value"))))
+        cells = cells.select(*keys, cell.alias("cell")).select(*keys, "cell.path", "cell.value")
+    # An entity without attributes has no paths.
+    return cells.where("path is not null")
 
 
 def path_rank(path: Column) -> Column:
@@ -97,12 +91,16 @@ def compare_attributes(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """Attribute differences of old and new entities; order by ``rank``, ``path`` to print them."""
     ids = pairs.select(F.col("old_id").alias("entity_id")).union(pairs.select("new_id"))
     wanted = entities.join(ids, "entity_id", "left_semi")
-    value = F.col("value")
-    cells = flatten(wanted, "entity_id").select(
-        "entity_id",
-        "path",
-        value_text(value).alias("text"),
-        F.when(~is_null_value(value), compare_key(value)).alias("match"),
+    value, kind = F.col("value"), F.col("kind")
+    cells = (
+        flatten(wanted, "entity_id")
+        .withColumn("kind", F.schema_of_variant("value"))
+        .select(
+            "entity_id",
+            "path",
+            value_text(value, kind).alias("text"),
+            F.when(kind != NULL_KIND, compare_key(value, kind)).alias("match"),
+        )
     )
     return compare_paths(cells, pairs)
 
@@ -152,23 +150,21 @@ def attribute_probe(states: DataFrame, name: str = "last_reset", per_series: int
     """
     newest = Window.partitionBy("series_id").orderBy(F.desc("ts"), F.desc("row_id"))
     rows = states.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= per_series)
-    text = F.nullif(F.trim("attrs"), F.lit(""))
-    parsed = rows.withColumn("text", text).withColumn("doc", F.try_parse_json("text"))
-    schema = F.schema_of_variant("doc")
-    found = F.try_variant_get("doc", f"$.{name}", "variant")
-    is_object = schema.startswith("OBJECT")
-    return parsed.select(
+    rows = rows.withColumn("text", F.nullif(F.trim("attrs"), F.lit(""))).withColumn("doc", F.try_parse_json("text"))
+    rows = rows.withColumn("found", F.try_variant_get("doc", f"$.{name}", "variant")).withColumns(
+        {"doc_kind": F.schema_of_variant("doc"), "kind": F.schema_of_variant("found")}
+    )
+    kind = F.nullif(F.col("kind"), F.lit(NULL_KIND))
+    word = lambda k: F.regexp_extract(k, r"^\w+", 0)
+    return rows.select(
         "series_id",
         "position",
         "ts",
         "state",
-        F.when(is_object & ~is_null_value(found), value_text(found)).alias(name),
-        F.when(
-            is_object & ~is_null_value(found),
-            F.when(is_number(found), "NUMBER").otherwise(F.regexp_extract(F.schema_of_variant(found), r"^\w+", 0)),
-        ).alias("kind"),
+        F.when(kind.isNotNull(), value_text(F.col("found"), kind)).alias(name),
+        F.when(is_number(kind), "NUMBER").otherwise(word(kind)).alias("kind"),
         F.when(F.col("text").isNotNull() & F.col("doc").isNull(), "invalid JSON")
-        .when(~is_object, F.concat(F.lit("not an object: "), F.regexp_extract(schema, r"^\w+", 0)))
+        .when(~is_object(F.col("doc_kind")), F.concat(F.lit("not an object: "), word(F.col("doc_kind"))))
         .alias("problem"),
         F.when(F.length("text") > shown, F.concat(F.substring("text", 1, shown), F.lit("…")))
         .otherwise(F.col("text"))

@@ -157,21 +157,31 @@ def _outages(rows: DataFrame, max_rows: int, chunking: Chunking) -> DataFrame:
     """Runs of unavailable rows as (series_id, table, start_ts, end_ts, row_count, value).
 
     A run also ends where ``text`` changes. Whether a row begins a run depends on
-    the row before it. After that only the rows of series within the detail limit
-    are kept, so the runs of a series are built from at most ``max_rows`` rows.
+    the row before it. Series with more than ``max_rows`` unavailable rows are left
+    out as a whole; one row beyond the limit is enough to know them, so no task
+    hands on more than that many rows of a series.
     """
     keys = ["series_id", "table"]
-    detailed = (
-        rows.where("unavailable").groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_rows)
-    ).select(*keys)
     marked = with_previous(
-        rows, keys, ["ts", "row_id"], {"before": F.struct("unavailable", "text")}, chunking=chunking
+        rows,
+        keys,
+        ["ts", "row_id"],
+        {"before": F.struct("unavailable", "text")},
+        chunking=chunking,
+        counted=rows.select(*keys, "ts"),
     ).where("unavailable")
     continues = F.col("before.unavailable") & F.col("before.text").eqNullSafe(F.col("text"))
-    series = Window.partitionBy(*keys).orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    series = Window.partitionBy(*keys)
+    in_order = series.orderBy("ts", "row_id")
     return (
-        marked.join(detailed, keys, "left_semi")
-        .withColumn("run", F.sum(F.when(continues, 0).otherwise(1)).over(series))
+        marked.withColumn("rank", F.row_number().over(in_order))
+        .where(F.col("rank") <= max_rows + 1)
+        .withColumn("found", F.max("rank").over(series))
+        .where(F.col("found") <= max_rows)
+        .withColumn(
+            "run",
+            F.sum(F.when(continues, 0).otherwise(1)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+        )
         .groupBy(*keys, "run")
         .agg(
             F.min("ts").alias("start_ts"),

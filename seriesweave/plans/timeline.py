@@ -11,6 +11,7 @@ window.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -35,11 +36,16 @@ DEFAULT_CHUNKING = Chunking()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a default only where none is set."""
+    """Use the shared folder the cluster names; only a local session may go without one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/seriesweave-checkpoints")
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(named)
 
 
 def _crowded(rows: DataFrame, by: Sequence[str], max_rows: int) -> DataFrame:

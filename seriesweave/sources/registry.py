@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.variants import is_object, text_field
+from ..functions.variants import text_field
 
 
 def read_documents(spark: SparkSession, path: str, site: str = r"([^/]+)/[^/]+$") -> DataFrame:
@@ -13,37 +13,30 @@ def read_documents(spark: SparkSession, path: str, site: str = r"([^/]+)/[^/]+$"
     Files are spread over tasks; a JSON document itself cannot be split. The site
     is the directory a file lies in unless another pattern is given.
     """
-    files = spark.read.text(path, wholetext=True).select(
+    return spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), site, 1).alias("site"), F.col("value").alias("doc")
     )
-    return files
-
-
-def _parsed(documents: DataFrame) -> DataFrame:
-    root = F.try_parse_json("doc")
-    entities = F.try_variant_get("root", "$.data.entities", "variant")
-    return documents.select("site", root.alias("root")).select(
-        "site",
-        "root",
-        F.try_variant_get("root", "$.data", "variant").alias("data"),
-        entities.alias("entities"),
-    ).select(
-        "site",
-        "entities",
-        F.when(F.col("root").isNull(), "invalid JSON")
-        .when(~is_object(F.col("root")), "root is not an object")
-        .when(F.col("data").isNull() | ~is_object(F.col("data")), "data is not an object")
-        .when(
-            F.col("entities").isNull() | ~F.schema_of_variant("entities").startswith("ARRAY"),
-            "data.entities is not a list",
-        )
-        .alias("error"),
-    )
 
 
 def document_errors(documents: DataFrame) -> DataFrame:
     """``(site, error)`` for documents that are not a registry."""
-    return _parsed(documents).where("error is not null").select("site", "error")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("root", path, "variant"))
+    missing = lambda k, wanted: F.coalesce(~F.col(k).startswith(wanted), F.lit(True))
+    return (
+        documents.select("site", F.try_parse_json("doc").alias("root"))
+        .select(
+            "site", kind("$").alias("root"), kind("$.data").alias("data"), kind("$.data.entities").alias("entities")
+        )
+        .select(
+            "site",
+            F.when(F.col("root").isNull(), "invalid JSON")
+            .when(missing("root", "OBJECT"), "root is not an object")
+            .when(missing("data", "OBJECT"), "data is not an object")
+            .when(missing("entities", "ARRAY"), "data.entities is not a list")
+            .alias("error"),
+        )
+        .where("error is not null")
+    )
 
 
 def entities_of(documents: DataFrame) -> DataFrame:
@@ -52,11 +45,10 @@ def entities_of(documents: DataFrame) -> DataFrame:
     Entries that are no objects or have no non-empty text id are skipped; of
     several entries with one id the last in the document counts.
     """
+    listed = F.try_variant_get(F.try_parse_json("doc"), "$.data.entities", "array<variant>")
+    # Only objects have an id to find.
     entries = (
-        _parsed(documents)
-        .where("error is null")
-        .select("site", F.posexplode(F.col("entities").cast("array<variant>")).alias("pos", "attrs"))
-        .where(is_object(F.col("attrs")))
+        documents.select("site", F.posexplode(listed).alias("pos", "attrs"))
         .select("site", "pos", text_field(F.col("attrs"), "$.entity_id").alias("entity_id"), "attrs")
         .where("entity_id is not null")
     )

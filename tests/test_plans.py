@@ -67,3 +67,8 @@ def test_states_are_shuffled_once_for_both_tables(spark, tables):
 def test_diff_shuffles_once(spark, tables):
     text = plan(spark, lambda: diff.change_report(tables[1], tables[1]))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_outages_hand_on_few_rows_per_series(spark, tables):
+    text = plan(spark, lambda: profile.state_outages(tables[0]))
+    assert text.count("WindowGroupLimit") == 2
