@@ -286,42 +286,43 @@ def preview(
     """
     keys = ["series_id", "table"]
     values = ["start_ts", "state", "sum", "mean", "min", "max"]
+    start = F.col("start_ts")
     rows = generated.join(ends_of_predecessors(statistics, replacements), keys)
-    later = F.col("start_ts") > F.col("end_ts")
-    place = lambda ts: F.round((ts - F.col("begin")) / F.col("interval_s")).cast("bigint") + 1
+    later = start > F.col("end_ts")
+    place = lambda ts: F.round((ts - F.col("begin")) / F.col("step")).cast("bigint") + 1
     bounds = (
         rows.groupBy(*keys)
         .agg(
-            F.max(F.when(~later, F.struct(*values))).alias("copied"),
-            F.max("interval_s").alias("interval_s"),
-            F.min(F.when(later, F.col("start_ts"))).alias("begin"),
-            F.max(F.when(later, F.col("start_ts"))).alias("finish"),
+            F.max("interval_s").alias("step"),
+            F.max(F.when(~later, start)).alias("copied_ts"),
+            F.min(F.when(later, start)).alias("begin"),
+            F.max(F.when(later, start)).alias("finish"),
         )
         .withColumn("total", F.coalesce(place(F.col("finish")), F.lit(0)))
     )
-
-    nothing = F.struct(*(F.lit(None).cast("double").alias(c) for c in values))
-    extra = lambda part, row, position, omitted: F.struct(
-        F.lit(part).alias("part"),
-        row.alias("row"),
-        F.lit(position).cast("bigint").alias("position"),
-        omitted.cast("bigint").alias("omitted"),
-    )
+    position = F.when(later, place(start)).otherwise(0)
     beyond = F.col("total") - (first + last)
-    extras = F.array_compact(
-        F.array(
-            F.when(F.col("copied").isNotNull(), extra("copied", F.col("copied"), 0, F.lit(0))),
-            F.when(beyond > 0, extra("omitted", nothing, first + 1, beyond)),
+    at_end = (F.col("position") <= first) | (F.col("position") > F.col("total") - last) | (beyond <= 0)
+    shown = (
+        rows.join(bounds, keys)
+        .withColumn("position", position)
+        .where((later & at_end) | (start == F.col("copied_ts")))
+        # Several copied rows may share the last time.
+        .groupBy(*keys, "position")
+        .agg(F.max(F.struct(*values)).alias("row"))
+        .select(
+            *keys,
+            F.when(F.col("position") == 0, "copied").otherwise("generated").alias("part"),
+            "row.*",
+            "position",
+            F.lit(0).cast("bigint").alias("omitted"),
         )
     )
-    around = bounds.select(*keys, F.explode(extras).alias("extra")).select(
-        *keys, "extra.part", "extra.row.*", "extra.position", "extra.omitted"
-    )
-    shown = (
-        rows.where(later)
-        .join(bounds.select(*keys, "begin", "total"), keys)
-        .withColumn("position", place(F.col("start_ts")))
-        .where((F.col("position") <= first) | (F.col("position") > F.col("total") - last) | (F.col("total") <= first + last))
-        .select(*keys, F.lit("generated").alias("part"), *values, "position", F.lit(0).cast("bigint").alias("omitted"))
+    marker = bounds.where(beyond > 0).select(
+        *keys,
+        F.lit("omitted").alias("part"),
+        *(F.lit(None).cast("double").alias(c) for c in values),
+        F.lit(first + 1).cast("bigint").alias("position"),
+        beyond.alias("omitted"),
     )
-    return around.unionByName(shown)
+    return shown.unionByName(marker)
