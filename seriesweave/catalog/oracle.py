@@ -325,12 +325,12 @@ halves AS (SELECT *, 'sensor.c' || k || '_' || half AS entity_id FROM good, (VAL
 
 def attribute_rows() -> str:
     """(path, old, new) of the registry fixture; the word null stands for a null value."""
+    area = "CASE WHEN nation % 3 <> 0 THEN 'area' || nation ELSE 'null' END"
     rows = [
         ("entity_id", "'sensor.c' || k || '_old'", "'sensor.c' || k || '_new'"),
         ("unique_id", "'u' || k", "'u' || k"),
         ("platform", "platform", "platform"),
-        ("area_id", "CASE WHEN nation % 3 <> 0 THEN 'area' || nation ELSE 'null' END",) * 1
-        + ("CASE WHEN nation % 3 <> 0 THEN 'area' || nation ELSE 'null' END",),
+        ("area_id", area, area),
         ("name", "'meter'", "'Meter'"),
         (
             "capabilities/state_class",
@@ -353,29 +353,29 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def _time(x: str) -> str:
+    return f"strftime(make_timestamp(CAST(floor({x}) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
+
+
 def _summary_cells() -> str:
-    cells = ["('row_count', CAST(row_count AS VARCHAR), TRUE)", "('unavailable_count', CAST(unavailable_count AS VARCHAR), TRUE)"]
+    """The summary as (series_id, path, value) rows."""
+    cells = [(c, f"CAST({c} AS VARCHAR)", "TRUE") for c in ("row_count", "unavailable_count")]
     for e, shown in (
         ("earliest", "TRUE"),
         ("latest", "TRUE"),
         ("earliest_available", "NOT same_first"),
         ("latest_available", "NOT same_last"),
     ):
-        cells.append(f"('{e}/ts', strftime(make_timestamp(CAST(floor({e}_ts) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S'), {shown})")
-        cells.append(
-            f"('{e}/value', CASE WHEN {e}_sum IS NULL THEN {e}_value ELSE {e}_value || ' (' || CAST({e}_sum AS VARCHAR) || ')' END, {shown})"
-        )
+        with_sum = f"{e}_value || ' (' || CAST({e}_sum AS VARCHAR) || ')'"
+        cells.append((f"{e}/ts", _time(f"{e}_ts"), shown))
+        cells.append((f"{e}/value", f"CASE WHEN {e}_sum IS NULL THEN {e}_value ELSE {with_sum} END", shown))
     selects = " UNION ALL ".join(
-        f"SELECT series_id, \"table\" || '/' || {n} AS path, {v} AS value FROM summary WHERE {s}"
-        for n, v, s in (c[1:-1].rsplit(", ", 1)[0].split(", ", 1) + [c[1:-1].rsplit(", ", 1)[1]] for c in cells)
+        f"SELECT series_id, \"table\" || '/{path}' AS path, {value} AS value FROM summary WHERE {shown}"
+        for path, value, shown in cells
     )
     return f"cells AS ({selects})"
 
 
-def _time(x: str) -> str:
-    return f"strftime(make_timestamp(CAST(floor({x}) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S')"
-
-
 ELIGIBLE = f"""
 avail AS (SELECT * FROM states WHERE {AVAILABLE}),
 facts AS (
@@ -423,17 +423,12 @@ ORACLE: dict[str, str] = {
     "summary_diff": _with(F, pairs(), SUMMARY_ALL, _summary_cells())
     + """, o AS (SELECT old_id, new_id, path, value FROM cells JOIN pairs ON series_id = old_id),
 n AS (SELECT old_id, new_id, path, value FROM cells JOIN pairs ON series_id = new_id)
-SELECT old_id, new_id, path, CASE WHEN o.path IS NOT NULL THEN coalesce(o.value, 'null') END AS old_value,
-       CASE WHEN n.path IS NOT NULL THEN coalesce(n.value, 'null') END AS new_value,
-       CASE WHEN n.path IS NULL THEN 'only_old' WHEN o.path IS NULL THEN 'only_new'
+SELECT old_id, new_id, path, CASE WHEN o.p IS NOT NULL THEN coalesce(o.value, 'null') END AS old_value,
+       CASE WHEN n.p IS NOT NULL THEN coalesce(n.value, 'null') END AS new_value,
+       CASE WHEN n.p IS NULL THEN 'only_old' WHEN o.p IS NULL THEN 'only_new'
             WHEN o.value IS NOT DISTINCT FROM n.value THEN 'same' ELSE 'different' END AS diff
 FROM (SELECT *, path AS p FROM o) o FULL OUTER JOIN (SELECT *, path AS p FROM n) n USING (old_id, new_id, path)
-WHERE n.p IS NULL OR o.p IS NULL OR o.value IS NOT NULL OR n.value IS NOT NULL""".replace(
-        "o.path IS NOT NULL", "o.p IS NOT NULL"
-    )
-    .replace("n.path IS NOT NULL", "n.p IS NOT NULL")
-    .replace("n.path IS NULL", "n.p IS NULL")
-    .replace("o.path IS NULL", "o.p IS NULL"),
+WHERE n.p IS NULL OR o.p IS NULL OR o.value IS NOT NULL OR n.value IS NOT NULL""",
     "state_outage_runs": _with(F, STATE_RUNS) + "SELECT * FROM state_runs",
     "statistics_outage_runs": _with(F, STAT_RUNS) + "SELECT * FROM stat_runs",
     "outage_report": _with(F, STATE_RUNS, STAT_RUNS)

@@ -19,16 +19,24 @@ _TIMES = ("last_reset_ts", "created_ts")
 COMPARED = ("state", "sum", "mean", "min", "max", "last_reset", "last_reset_ts", "created_ts")
 
 
-def snapshot(statistics: DataFrame, cut: DataFrame | None = None) -> DataFrame:
-    """Rows with a usable time, strictly after the series' ``cut(series_id, table, cut_ts)`` if it has one."""
+def snapshot(statistics: DataFrame, cut: DataFrame | None = None, fold: bool = True) -> DataFrame:
+    """Rows with a usable time, strictly after the series' ``cut(series_id, table, cut_ts)`` if it has one.
+
+    Of several rows with one start the one with the highest row id stands, unless
+    ``fold`` is off because ``change_report`` follows, which does the same.
+    """
     rows = statistics.where(F.col("start_ts").isNotNull())
-    if cut is None:
+    if cut is not None:
+        rows = (
+            rows.join(cut, ["series_id", "table"], "left")
+            .where("cut_ts is null or start_ts > cut_ts")
+            .drop("cut_ts")
+        )
+    if not fold:
         return rows
-    return (
-        rows.join(cut, ["series_id", "table"], "left")
-        .where("cut_ts is null or start_ts > cut_ts")
-        .drop("cut_ts")
-    )
+    others = [c for c in statistics.columns if c not in (*_KEYS, "row_id")]
+    newest = F.max(F.struct("row_id", *others)).alias("row")
+    return rows.groupBy(*_KEYS).agg(newest).select(*_KEYS, "row.*").select(*statistics.columns)
 
 
 def _same(name: str, before: Column, after: Column) -> Column:
@@ -161,4 +169,4 @@ def planned_changes(
     cut = ends_of_predecessors(statistics, replacements).withColumnRenamed("end_ts", "cut_ts")
     successors = replacements.select(F.col("new_id").alias("series_id"))
     current = statistics.join(successors, "series_id", "left_semi")
-    return change_report(snapshot(current, cut), snapshot(generated, cut))
+    return change_report(snapshot(current, cut, fold=False), snapshot(generated, cut, fold=False))

@@ -25,18 +25,33 @@ def eligibility(
     predecessor's end. ``overlaps_statistics`` tells whether they begin before the
     end of the predecessor's statistics, which does not rule a pair out.
     """
-    summary = summarize_states(states)
-    old = summary.select(F.col("series_id").alias("old_id"), F.col("latest_available.ts").alias("old_end"))
-    new = summary.select(F.col("series_id").alias("new_id"), F.col("earliest_available.ts").alias("new_start"))
-    by_class = lambda side: classes.select(
-        F.col("series_id").alias(f"{side}_id"), F.col("state_class").alias(f"{side}_class")
+    # Both sides of all pairs look things up together, so states are read once.
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"{name}_id").alias("series_id"))
+    facts = summarize_states(states).select(
+        "series_id",
+        F.col("earliest_available.ts").alias("available_from"),
+        F.col("latest_available.ts").alias("available_to"),
     )
-    joined = (
-        pairs.join(by_class("old"), "old_id", "left")
-        .join(by_class("new"), "new_id", "left")
-        .join(old, "old_id", "left")
-        .join(new, "new_id", "left")
+    looked_up = (
+        pairs.select("old_id", "new_id", F.explode(F.array(side("old"), side("new"))).alias("of"))
+        .select("old_id", "new_id", "of.side", "of.series_id")
+        .join(classes.select("series_id", "state_class"), "series_id", "left")
+        .join(facts, "series_id", "left")
     )
+    found = {
+        "old_class": ("old", "state_class"),
+        "new_class": ("new", "state_class"),
+        "old_end": ("old", "available_to"),
+        "new_start": ("new", "available_from"),
+    }
+    if statistics is not None:
+        ends = latest_statistics(statistics).groupBy("series_id").agg(F.max("ts").alias("statistics_end"))
+        looked_up = looked_up.join(ends, "series_id", "left")
+        found["statistics_end"] = ("old", "statistics_end")
+    both = looked_up.groupBy("old_id", "new_id").agg(
+        *(F.max(F.when(F.col("side") == of, F.col(column))).alias(name) for name, (of, column) in found.items())
+    )
+
     reason = (
         F.when(
             F.col("old_class").isNull()
@@ -47,19 +62,16 @@ def eligibility(
         .when(F.col("old_end").isNull() | F.col("new_start").isNull(), "no available states")
         .when(F.floor("new_start") <= F.floor("old_end"), "new states start before old states end")
     )
-    result = joined.withColumns({"reason": reason, "kind": F.col("old_class")}).withColumn(
-        "eligible", F.col("reason").isNull()
-    )
-    columns = ["old_id", "new_id", "kind", "old_end", "new_start", "eligible", "reason"]
-    if statistics is None:
-        return result.select(*columns)
-    ends = (
-        latest_statistics(statistics)
-        .groupBy(F.col("series_id").alias("old_id"))
-        .agg(F.max("ts").alias("statistics_end"))
-    )
-    return result.join(ends, "old_id", "left").select(
-        *columns, F.coalesce(F.col("new_start") <= F.col("statistics_end"), F.lit(False)).alias("overlaps_statistics")
+    overlaps = F.coalesce(F.col("new_start") <= F.col("statistics_end"), F.lit(False)).alias("overlaps_statistics")
+    return both.select(
+        "old_id",
+        "new_id",
+        F.col("old_class").alias("kind"),
+        "old_end",
+        "new_start",
+        reason.isNull().alias("eligible"),
+        reason.alias("reason"),
+        *([] if statistics is None else [overlaps]),
     )
 
 
@@ -80,7 +92,7 @@ def applied_changes(
     """Changes between two stored versions, after the end of the predecessors in ``statistics``."""
     cut = ends_of_predecessors(statistics, replacements).withColumnRenamed("end_ts", "cut_ts")
     ids = replacements.select(F.col("new_id").alias("series_id"))
-    side = lambda df: snapshot(df.join(ids, "series_id", "left_semi"), cut)
+    side = lambda df: snapshot(df.join(ids, "series_id", "left_semi"), cut, fold=False)
     return change_report(side(before), side(after))
 
 

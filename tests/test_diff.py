@@ -85,4 +85,7 @@ def test_planned_changes_only_after_the_old_series(states, statistics, pairs):
 
 
 def test_snapshot_without_a_cut_keeps_all_dated_rows(statistics):
-    assert diff.snapshot(statistics([{"start_ts": None}, {"start_ts": 0}])).count() == 1
+    rows = statistics([{"start_ts": None}, {"start_ts": 0, "state": 1}, {"start_ts": 0, "state": 2}])
+    assert [r.state for r in diff.snapshot(rows).collect()] == [2.0]
+    assert diff.snapshot(rows).columns == rows.columns
+    assert diff.snapshot(rows, fold=False).count() == 2
