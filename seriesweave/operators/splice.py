@@ -133,5 +133,5 @@ def splice(
         "preview": preview(generated, statistics, replacements),
         "changes": changes,
         "condensed": condense(changes),
-        "result": replace_series(statistics, generated, replacements),
+        "result": replace_series(statistics, generated, replacements, list(tables)),
     }

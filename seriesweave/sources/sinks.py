@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.timeline import ensure_checkpoint_dir
@@ -9,14 +11,19 @@ from ..plans.timeline import ensure_checkpoint_dir
 BUCKET = "series_bucket"
 
 
-def replace_series(target: DataFrame, generated: DataFrame, replaced: DataFrame) -> DataFrame:
+def replace_series(
+    target: DataFrame, generated: DataFrame, replaced: DataFrame, tables: Collection[str] | None = None
+) -> DataFrame:
     """The target with all rows of the replaced series swapped for the generated ones.
 
-    ``replaced(new_id)``; generated rows of other series are not taken.
+    ``replaced(new_id)``; generated rows of other series are not taken. Rows of
+    statistics tables other than ``tables`` stay as they are.
     """
-    ids = replaced.select(F.col("new_id").alias("series_id"))
-    kept = target.join(ids, "series_id", "left_anti")
-    added = generated.join(ids, "series_id", "left_semi").select(*target.columns)
+    ids = replaced.select(F.col("new_id").alias("_replaced"))
+    hit = F.col("series_id") == F.col("_replaced")
+    gone = hit if tables is None else hit & F.col("table").isin(*tables)
+    kept = target.join(ids, gone, "left_anti")
+    added = generated.join(ids, hit, "left_semi").select(*target.columns)
     return kept.unionByName(added)
 
 
@@ -72,7 +79,9 @@ def write_bucketed(rows: DataFrame, path: str, buckets: int) -> None:
     with_bucket(rows, buckets).write.mode("errorifexists").partitionBy("table", BUCKET).parquet(path)
 
 
-def swap_in_place(path: str, generated: DataFrame, replaced: DataFrame, buckets: int) -> None:
+def swap_in_place(
+    path: str, generated: DataFrame, replaced: DataFrame, buckets: int, tables: Collection[str] | None = None
+) -> None:
     """Replace series inside a table written by ``write_bucketed``.
 
     Only partitions that may hold a replaced series are read and rewritten, both
@@ -89,7 +98,7 @@ def swap_in_place(path: str, generated: DataFrame, replaced: DataFrame, buckets:
     if not touched:
         return
     current = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
-    fresh = with_bucket(replace_series(current.drop(BUCKET), generated, replaced), buckets).checkpoint()
+    fresh = with_bucket(replace_series(current.drop(BUCKET), generated, replaced, tables), buckets).checkpoint()
     # Dynamic overwrite leaves partitions alone that get no rows: empty those by name.
     emptied = current.select(*layout).distinct().join(fresh.select(*layout).distinct(), layout, "left_anti").collect()
     (

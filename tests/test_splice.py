@@ -61,6 +61,15 @@ def test_replace_series(states, statistics, pairs):
     assert len(rows) == 6
 
 
+def test_other_tables_stay_as_they_are(states, statistics, pairs):
+    short = statistics([{"series_id": "sensor.new", "start_ts": 0, "sum": 7}], "statistics_short_term")
+    stored = statistics(STORED).unionByName(short)
+    generated = generate(usual(states), stored, pairs(), HOURLY)
+    kept = sinks.replace_series(stored, generated, pairs(), list(HOURLY)).where("table = 'statistics_short_term'")
+    assert [r.sum for r in kept.collect()] == [7.0]
+    assert sinks.replace_series(stored, generated, pairs()).where("table = 'statistics_short_term'").count() == 0
+
+
 def test_whole_job(pair, classes, states, statistics):
     parts = splice.splice(pair, classes(), usual(states), statistics(STORED), tables=HOURLY, started_from_0=True, run_ts=5.0)
     assert parts["counts"].first().row_count == 3
