@@ -4,17 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesweave.llm import binary, packing
+from seriesweave.llm import binary, lines, mixing, packing
 from seriesweave.llm.tables import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's site is its source."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.drop_boilerplate(docs)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op10_token_files)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op10_token_files)}
+
+ORACLE = {
+    "op3_line_dedup": """
+WITH line AS (
+    SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+), own AS (
+    SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) AS line
+    FROM line
+), common AS (
+    SELECT o.source, o.line
+    FROM (SELECT source, line, count(*) AS n FROM own GROUP BY ALL) AS o
+    JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) AS s ON o.source IS NOT DISTINCT FROM s.source
+    WHERE n >= 3 AND n > 0.1::DOUBLE * pages
+), per_site AS (
+    SELECT source, list(line) AS drops FROM common GROUP BY source
+), kept AS (
+    SELECT l.*, list_filter(lines, lambda x: drops IS NULL OR NOT list_contains(drops, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS rest
+    FROM line AS l LEFT JOIN per_site AS p ON l.source IS NOT DISTINCT FROM p.source
+), whole AS (
+    SELECT *, CASE WHEN len(list_filter(rest, lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')) > 0 THEN rest ELSE lines END AS stay
+    FROM kept
+)
+SELECT doc_id, source, array_to_string(stay, chr(10)) AS text,
+    CAST(coalesce(len(lines), 0) AS INTEGER) AS lines_total, CAST(coalesce(len(lines) - len(stay), 0) AS INTEGER) AS lines_dropped
+FROM whole
+""",
+}
