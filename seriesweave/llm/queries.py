@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesweave.llm import binary, lines, mixing, packing
+from seriesweave.llm import binary, lines, mixing, packing, sharding, urls
 from seriesweave.llm.tables import read
 
 
@@ -22,11 +23,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(docs)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of shards are near equal."""
+    out = sharding.shard(read(spark, sf_dir, "documents"))
+    return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op10_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op9_sharding, op10_token_files)
+}
 
 ORACLE = {
     "op3_line_dedup": """
