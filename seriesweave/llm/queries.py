@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesweave.llm import binary, lines, mixing, packing, sharding, urls
+from seriesweave.llm import binary, fingerprints, lines, mixing, packing, sharding, urls
 from seriesweave.llm.tables import read
 
 
@@ -27,6 +27,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited text: its second half gives way to the beginning of the next document."""
+    return fingerprints.edited(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of shards are near equal."""
     out = sharding.shard(read(spark, sf_dir, "documents"))
@@ -39,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op9_sharding, op10_token_files)
+    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op7_fingerprints, op9_sharding, op10_token_files)
 }
 
 ORACLE = {
