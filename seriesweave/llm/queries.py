@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesweave.llm import binary, fingerprints, lines, mixing, packing, sharding, urls
+from seriesweave.llm import binary, fingerprints, lines, mixing, packing, sharding, toxicity, urls
 from seriesweave.llm.tables import read
 
 
@@ -32,6 +32,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Only texts and ids reach the operator.
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    doc_id = F.col("row.doc_id")
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return out.select(doc_id, toxicity.held_out(doc_id).alias("held_out"), "score", predicted.alias("predicted"), "evidence")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of shards are near equal."""
     out = sharding.shard(read(spark, sf_dir, "documents"))
@@ -44,7 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op7_fingerprints, op9_sharding, op10_token_files)
+    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op7_fingerprints, op8_toxicity, op9_sharding, op10_token_files)
 }
 
 ORACLE = {

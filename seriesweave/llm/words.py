@@ -13,6 +13,10 @@ import numpy as np
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Anything but a-z and bytes of non-ASCII characters, for words of letters only.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = False
+NO_LETTER[128:] = False
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -53,15 +57,15 @@ def _size(n: int) -> int:
     return 1 << max(16, int(n - 1).bit_length())
 
 
-def words(texts: list[str | None], lower: bool = True) -> Words:
-    """The words of each text; a null text has none. `lower` turns A-Z into a-z."""
+def words(texts: list[str | None], lower: bool = True, between: np.ndarray = _SPACE) -> Words:
+    """The words of each text; a null text has none. `lower` turns A-Z into a-z, `between` marks the bytes between words."""
     parts = [text.encode() if text else b"" for text in texts]
     data = b" ".join(parts) + b" "
     if lower:
         data = data.translate(LOWER)
     at = np.cumsum([0] + [len(p) + 1 for p in parts])
     buffer = np.frombuffer(data, dtype=np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[buffer], prepend=True, append=True))
+    edge = np.flatnonzero(np.diff(between[buffer], prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
     forward, _ = _powers(_size(len(data) + 1))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
