@@ -2,27 +2,55 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written and read again before the next stage. All but the last return
-the columns of documents.
+the columns of documents, with n_chars of the text as the stage leaves it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesweave.llm import packing
+from seriesweave.llm import lines, mixing, neardup, packing, toxicity
 from seriesweave.llm.tables import read, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score says toxic go (operator 8)."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on more than a tenth of a source's documents go (operator 3)."""
+    cleaned = lines.drop_boilerplate(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8 (operator 6)."""
+    return neardup.keep_one(docs, size=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, sources weighing 1, 2, 3 in turn (operator 1)."""
+    return mixing.mix(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut documents into pieces of at most 4096 ids and pack them (operator 2)."""
+    """Pieces of at most 4096 ids, packed into sequences (operator 2); a repeated document has its pieces again."""
     return packing.packed(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("source_mixing", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]
 
-# Tokenizing and packing have no SQL; tests hold the stages against brute force.
+# Fitted scores, rounding and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -48,9 +48,10 @@ def drop_boilerplate(
     has one blank line. Repeated pages count as often as they occur. Sites are measured over
     all their pages; a line on fewer than `least` pages is never dropped.
     """
-    rows = pages.select(F.struct("*").alias("row"), F.col(site).alias("site"), F.col(text).alias("text"))
-    drop = _boilerplate(rows.select("site", "text"), ratio, least)
-    rows = rows.join(drop, F.col("site").eqNullSafe(F.col("_site")), "left").withColumn("lines", F.split("text", "\n"))
+    drop = _boilerplate(pages.select(F.col(site).alias("site"), F.col(text).alias("text")), ratio, least)
+    rows = pages.select(F.struct("*").alias("row"), F.col(site).alias("site"))
+    rows = rows.join(drop, F.col("site").eqNullSafe(F.col("_site")), "left")
+    rows = rows.withColumn("text", F.col(f"row.`{text}`")).withColumn("lines", F.split("text", "\n"))
     rows = rows.withColumn("hit", F.array_intersect(F.transform("lines", _hash), F.col("drop")))
     kept = F.filter("lines", lambda x: (_bare(x) == "") | ~F.array_contains("hit", _hash(x)))
     rows = rows.withColumn("kept", F.when(F.size("hit") > 0, kept).otherwise(F.col("lines")))

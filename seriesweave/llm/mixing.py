@@ -162,8 +162,11 @@ def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), sha
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0) -> DataFrame:
     """The mix itself: every document as often as it is taken, all its columns kept."""
     key = F.xxhash64("doc_id", "source", "size").alias("key")
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", word_count(F.col("text")).alias("size"))
-    rows = rows.select("row", key, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"))).alias("i"))
+    rows = docs.select(
+        F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")
+    )
+    rows = rows.select("row", key, "tie")
+    rows = rows.select("row", "key", F.row_number().over(Window.partitionBy("key").orderBy("tie")).alias("i"))
     taken = decisions(docs, weights, share, most).select(key, "n", "copies")
     times = F.floor(F.col("copies") / F.col("n")) + (F.col("i") <= F.col("copies") % F.col("n")).cast("long")
     rows = rows.join(taken, "key").select("row", times.alias("times")).filter("times > 0")

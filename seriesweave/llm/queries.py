@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesweave.llm import binary, fingerprints, lines, mixing, packing, sharding, topk, toxicity, urls
+from seriesweave.llm import binary, fingerprints, lines, mixing, neardup, packing, sharding, topk, toxicity, urls
 from seriesweave.llm.tables import read
 
 
@@ -31,6 +31,11 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of two words."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edited text: its second half gives way to the beginning of the next document."""
     return fingerprints.edited(read(spark, sf_dir, "documents"))
@@ -57,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op5_top_k, op7_fingerprints, op8_toxicity, op9_sharding, op10_token_files)
+    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op5_top_k, op6_near_duplicates, op7_fingerprints, op8_toxicity, op9_sharding, op10_token_files)
 }
 
 ORACLE = {

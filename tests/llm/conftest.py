@@ -1,0 +1,57 @@
+import os
+import random
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = str(Path(__file__).resolve().parents[2])
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))
+sys.path.insert(0, ROOT)
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use inside.
+CLASHING = ("row", "size", "score", "key", "n", "lines_total", "lines_dropped", "position", "node", "kept", "_gone", "times", "bucket")
+
+
+def random_texts(n, seed=0, words=300, vocabulary=400, lines=True):
+    rng = random.Random(seed)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(vocabulary)]
+    out = []
+    for _ in range(n):
+        text = " ".join(rng.choice(names) for _ in range(rng.randint(1, words)))
+        out.append(text.replace(" ", "\n", 1) if lines else text)
+    return out
+
+
+def edge_rows():
+    """Nulls in any column, empty, blank and very long texts, repeated rows and ids."""
+    long = " ".join(random_texts(40, seed=9, words=400))
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n\t ", None, None), (None, "no id at all here", "en", "b"),
+            (4, long, "en", "a"), (5, long, "en", "b"), (6, "same text twice over", "en", "b"), (6, "same text twice over", "en", "b"),
+            (7, "one", "en", None), (7, "another text of that id", "en", "a"), (8, "Ünïcode ✓ text\nİ; two  lines", "fr", "é")]
+    return [(*r, None if r[1] is None else len(r[1])) for r in rows]
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    def make(rows, clashing=False):
+        rows = [r if len(r) == 5 else (r[0], r[1], "en", "s", len(r[1] or "")) for r in rows]
+        df = spark.createDataFrame(rows, DOCS)
+        if clashing:
+            from pyspark.sql import functions as F
+
+            df = df.withColumns({c: F.lit(-1) for c in CLASHING})
+        return df
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def edge_docs(make_docs):
+    return make_docs(edge_rows(), clashing=True)
+
+
+@pytest.fixture(scope="session")
+def no_docs(make_docs):
+    return make_docs([])
