@@ -7,8 +7,6 @@ the JVM; judging a table is one pass without a shuffle.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -42,17 +40,13 @@ WANTED = (
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """url and label (1: unwanted): one or two words of a kind make a host; only unwanted ones are joined by hyphens."""
+    frames = [("", "com", "/en/1234"), ("www.", "net", "/de/77.html"), ("m.", "org", "/"), ("blog.", "example.net", "/fr/9/"), ("www.", "example.org", "/es/200")]
     rows = []
     for label, names in ((1, UNWANTED), (0, WANTED)):
-        for i, step in product(range(len(names)), (1, 2, 3, 4) if label else (1,)):
-            name, other = names[i], names[(i + step) % len(names)]
-            for k, (front, top, path) in enumerate(
-                (("", "com", "/en/1234"), ("www.", "net", "/de/77.html"), ("m.", "org", "/"), ("blog.", "example.net", "/fr/9/"), ("www.", "example.org", "/es/200"))
-            ):
-                mark = "-" if label else ""
-                host = (f"{name}{mark}{other}", name, f"{name}{other}", f"{other}{mark}{name}", name)[k]
-                rows.append((f"https://{front}{host}.{top}{path}", label))
-    return spark.createDataFrame(rows, "url string, label int")
+        mark = "-" if label else ""
+        hosts = [f"{name}{mark}{names[(i + step) % len(names)]}" for i, name in enumerate(names) for step in ((1, 2, 3, 4) if label else (1,))]
+        rows += [(f"https://{front}{host}.{top}{path}", label) for host in names + hosts for front, top, path in frames]
+    return spark.createDataFrame(sorted(set(rows)), "url string, label int")
 
 
 def host(url: Column) -> Column:
@@ -69,9 +63,9 @@ def path(url: Column) -> Column:
 
 
 def _with_features(urls: DataFrame) -> DataFrame:
-    """Add host, path and grams: n-grams of both, digits alike."""
+    """Add host, path and grams: n-grams of both; digits and punctuation are a mark between words."""
     urls = urls.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    whole = F.regexp_replace(F.concat(F.lit("^"), "host", F.lower("path"), F.lit("$")), r"[0-9]+", "0")
+    whole = F.regexp_replace(F.concat(F.lit("/"), "host", F.lower("path"), F.lit("/")), r"[\x00-\x60\x7b-\x7f]+", "_")
     urls = urls.withColumn("whole", whole)
     grams = [
         F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1))), lambda i, n=n: F.substring("whole", i, F.lit(n)))
@@ -83,11 +77,14 @@ def _with_features(urls: DataFrame) -> DataFrame:
 def train(labelled: DataFrame):
     """The model of labelled(url, label); a table larger than MOST_LABELLED rows is refused."""
     labelled = _with_features(labelled.select("url", F.col("label").cast("double").alias("label"))).coalesce(1)
-    if labelled.count() > MOST_LABELLED:
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if sum(counts.values()) > MOST_LABELLED:
         raise ValueError("the labelled table is meant to be small")
+    weight = F.when(F.col("label") == 1, 1 / max(1, counts.get(1.0, 0))).otherwise(1 / max(1, counts.get(0.0, 0)))
+    labelled = labelled.withColumn("weight", weight)  # both labels weigh alike
     stages = [
         HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True),
-        LogisticRegression(regParam=0.0001, maxIter=60, standardization=False),
+        LogisticRegression(weightCol="weight", regParam=0.003, maxIter=100, standardization=False),
     ]
     return Pipeline(stages=stages).fit(labelled)
 

@@ -17,7 +17,7 @@ def tables(spark, tmp_path_factory, make_docs):
             text += " you zorgon zorgon blatfink"
         rows.append((i, text + "\nfooter of the site", "en", f"s{i % 3}", len(text)))
         labels.append((i, int(toxic)))
-    rows += [(1000 + i, rows[i * 6 + 1][1] + (" x" if rng.random() < 0.5 else ""), "en", "s1", 0) for i in range(40)]
+    rows += [(1000 + i, ("x " if rng.random() < 0.5 else "") + rows[i * 6 + 1][1], "en", "s1", 0) for i in range(40)]
     rows += [(2000 + (r[0] or 0), *r[1:]) for r in edge_rows()]
     folder = str(tmp_path_factory.mktemp("tables"))
     make_docs(rows).write.parquet(f"{folder}/documents.parquet")
