@@ -49,10 +49,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce(F.col("doc_id").isNotNull().cast("int"), F.lit(0)).alias("known"), "doc_id", "tie")
     rows = rows.withColumn("order", order)
     heads = rows.groupBy("run").agg(F.max("order").alias("head"))
-    above = Window.orderBy(F.col("run"))
-    top = F.max("run").over(Window.partitionBy())
-    heads = heads.select(F.col("run").alias("_of"), "head", F.lead("run").over(above).alias("above"), F.min("run").over(Window.partitionBy()).alias("low"), top.alias("top"))
-    heads = heads.select("_of", "head", F.coalesce("above", "low").alias("goes_to"))
+    whole, rising = Window.partitionBy(), Window.orderBy("run")
+    above = F.coalesce(F.lead("run").over(rising), F.min("run").over(whole))
+    heads = F.broadcast(heads.select(F.col("run").alias("_of"), "head", above.alias("goes_to")))  # RUNS rows at most
     guests = rows.join(heads, (F.col("run") == F.col("_of")) & F.col("order").eqNullSafe(F.col("head")))
     guests = guests.groupBy("goes_to", "doc_id").agg(F.max("text").alias("text"))
     guests = guests.select("doc_id", "text", F.col("goes_to").alias("run"), F.lit(0).cast("long").alias("tie"), F.lit(True).alias("guest"))
