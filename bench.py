@@ -38,6 +38,11 @@ HEADLINE = (
     "change_report",
     "change_report_condensed",
     "planned_changes_condensed",
+    "generated_gaps",
+    "generated_resets",
+    "splice_result",
+    "applied_changes_after_swap",
+    "state_outage_runs_dense",
     "replacement_eligibility",
     "replace_series_result",
     "entity_attribute_diff",

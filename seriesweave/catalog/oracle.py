@@ -189,19 +189,17 @@ state_steps AS (
                  AND lag(row_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS step
   FROM state_flags WINDOW w AS (PARTITION BY series_id ORDER BY ts, row_id)),
 state_groups AS (
-  SELECT *, sum(step) OVER (PARTITION BY series_id ORDER BY ts, row_id) AS grp,
-         sum(CASE WHEN un THEN 1 ELSE 0 END) OVER (PARTITION BY series_id) AS n FROM state_steps),
+  SELECT *, sum(step) OVER (PARTITION BY series_id ORDER BY ts, row_id) AS grp FROM state_steps),
 state_runs AS (
   SELECT series_id, 'states' AS "table", min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS row_count,
          coalesce(state, 'NULL') AS value
-  FROM state_groups WHERE un AND n BETWEEN 1 AND 200 GROUP BY series_id, grp, state)"""
+  FROM state_groups WHERE un GROUP BY series_id, grp, state)"""
 STAT_RUNS = f"""
 stat_groups AS (
-  SELECT *, sum(CASE WHEN {NO_VALUE} THEN 0 ELSE 1 END) OVER (PARTITION BY series_id, tbl ORDER BY start_ts, row_id) AS grp,
-         sum(CASE WHEN {NO_VALUE} THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, tbl) AS n FROM stats),
+  SELECT *, sum(CASE WHEN {NO_VALUE} THEN 0 ELSE 1 END) OVER (PARTITION BY series_id, tbl ORDER BY start_ts, row_id) AS grp FROM stats),
 stat_runs AS (
   SELECT series_id, tbl AS "table", min(start_ts) AS start_ts, max(start_ts) AS end_ts, count(*) AS row_count, 'NULL' AS value
-  FROM stat_groups WHERE {NO_VALUE} AND n BETWEEN 1 AND 200 GROUP BY series_id, tbl, grp)"""
+  FROM stat_groups WHERE {NO_VALUE} GROUP BY series_id, tbl, grp)"""
 
 
 def numeric_states(where: str = "TRUE") -> str:
@@ -421,8 +419,8 @@ ORACLE: dict[str, str] = {
     + ", ".join(f"CASE WHEN NOT same_last THEN latest_available_{f} END AS latest_available_{f}" for f in ("ts", "value", "sum"))
     + " FROM summary",
     "summary_diff": _with(F, pairs(), SUMMARY_ALL, _summary_cells())
-    + """, o AS (SELECT old_id, new_id, path, value FROM cells JOIN pairs ON series_id = old_id),
-n AS (SELECT old_id, new_id, path, value FROM cells JOIN pairs ON series_id = new_id)
+    + """, o AS MATERIALIZED (SELECT old_id, new_id, path, value FROM cells JOIN pairs ON series_id = old_id),
+n AS MATERIALIZED (SELECT old_id, new_id, path, value FROM cells JOIN pairs ON series_id = new_id)
 SELECT old_id, new_id, path, CASE WHEN o.p IS NOT NULL THEN coalesce(o.value, 'null') END AS old_value,
        CASE WHEN n.p IS NOT NULL THEN coalesce(n.value, 'null') END AS new_value,
        CASE WHEN n.p IS NULL THEN 'only_old' WHEN o.p IS NULL THEN 'only_new'
@@ -430,6 +428,7 @@ SELECT old_id, new_id, path, CASE WHEN o.p IS NOT NULL THEN coalesce(o.value, 'n
 FROM (SELECT *, path AS p FROM o) o FULL OUTER JOIN (SELECT *, path AS p FROM n) n USING (old_id, new_id, path)
 WHERE n.p IS NULL OR o.p IS NULL OR o.value IS NOT NULL OR n.value IS NOT NULL""",
     "state_outage_runs": _with(F, STATE_RUNS) + "SELECT * FROM state_runs",
+    "state_outage_runs_dense": _with(fixture("type"), STATE_RUNS) + "SELECT * FROM state_runs",
     "statistics_outage_runs": _with(F, STAT_RUNS) + "SELECT * FROM stat_runs",
     "outage_report": _with(F, STATE_RUNS, STAT_RUNS)
     + f"""SELECT series_id, "table", start_ts,
@@ -535,7 +534,7 @@ WHERE new_id NOT IN (SELECT series_id FROM classes WHERE state_class <> 'measure
     + """SELECT CAST(k AS VARCHAR) AS site, entity_id,
        CASE WHEN k % 5 = 0 THEN 'total' WHEN half = 'old' THEN 'total_increasing' ELSE 'measurement' END AS state_class FROM halves""",
     "entity_attribute_diff": _with(REGISTRY, f"cells AS ({attribute_rows()})")
-    + """SELECT 'sensor.c' || k || '_old' AS old_id, 'sensor.c' || k || '_new' AS new_id, path, old_value, new_value,
+    + """SELECT CAST(k AS VARCHAR) AS site, 'sensor.c' || k || '_old' AS old_id, 'sensor.c' || k || '_new' AS new_id, path, old_value, new_value,
        CASE WHEN old_value = new_value THEN 'same' ELSE 'different' END AS diff, CAST(rank AS INTEGER) AS rank
 FROM cells WHERE NOT (old_value = 'null' AND new_value = 'null')""",
     "attribute_probe": _with(F)
@@ -544,7 +543,7 @@ FROM cells WHERE NOT (old_value = 'null' AND new_value = 'null')""",
          CASE WHEN row_id % 2 = 0 THEN '{"last_reset":"2020-01-01T00:00:00Z"}' ELSE attrs END AS payload,
          CASE WHEN row_id % 2 = 0 THEN '2020-01-01T00:00:00Z' ELSE reset END AS last_reset FROM states)
 SELECT series_id, CAST(position AS INTEGER) AS position, ts, state, last_reset, CASE WHEN last_reset IS NOT NULL THEN 'STRING' END AS kind,
-       CAST(NULL AS VARCHAR) AS problem, CASE WHEN length(payload) > 30 THEN substr(payload, 1, 30) || '…' ELSE payload END AS payload
+       CAST(NULL AS VARCHAR) AS problem, payload
 FROM p WHERE position <= 5""",
     "states_from_dictionary": _with(F)
     + """SELECT series_id, ts, row_id, state, attrs,

@@ -89,6 +89,10 @@ def state_outage_runs(spark, sf_dir):
     return profile.state_outages(fx.states(spark, sf_dir))
 
 
+def state_outage_runs_dense(spark, sf_dir):
+    return profile.state_outages(fx.states(spark, sf_dir, "type"))
+
+
 def statistics_outage_runs(spark, sf_dir):
     return profile.statistics_outages(fx.statistics(spark, sf_dir))
 
@@ -378,7 +382,7 @@ def attribute_probe(spark, sf_dir):
     states = canonical_states(
         stored["states"], stored["states_meta"], stored["state_attributes"], attributes="probe"
     )
-    return attributes.attribute_probe(states, per_series=5, shown=30)
+    return attributes.attribute_probe(states, per_series=5)
 
 
 # --- scans and scalar functions ---------------------------------------------
@@ -444,6 +448,7 @@ QUERIES: dict[str, Query] = {
         summary_all,
         summary_diff,
         state_outage_runs,
+        state_outage_runs_dense,
         statistics_outage_runs,
         outage_report,
         earliest_state,

@@ -12,6 +12,10 @@ _LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 _WHOLE_NUMBER = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)$"
 
 
+# White space that may stand around a number.
+_BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
 def _plain_number(text: Column) -> Column:
     """Fast path without patterns for texts that end in a digit and are not hexadecimal."""
     decimal = F.substring(text, -1, 1).between("0", "9") & ~text.contains("x") & ~text.contains("X")
@@ -28,7 +32,7 @@ def leading_number(text: str | Column) -> Column:
 def whole_number(text: str | Column) -> Column:
     """The text as a number, NULL unless all of it is one."""
     text = F.col(text) if isinstance(text, str) else text
-    bare = F.regexp_replace(F.trim(text), r"(?<=\d)_(?=\d)", "")
+    bare = F.regexp_replace(F.btrim(text, F.lit(_BLANK)), r"(?<=\d)_(?=\d)", "")
     return F.coalesce(
         _plain_number(text),
         F.when(bare.rlike(_WHOLE_NUMBER), bare.try_cast("double")),

@@ -29,10 +29,13 @@ def value_text(value: Column, kind: Column) -> Column:
 
 
 def compare_key(value: Column, kind: Column) -> Column:
-    """Text that is equal for equal values: numbers by value, the rest by JSON."""
-    return F.when(is_number(kind), F.try_variant_get(value, "$", "double").cast("string")).otherwise(
-        F.to_json(value)
-    )
+    """Text that is equal for equal values: numbers by value, the rest by JSON.
+
+    Numbers that a double may not hold exactly are compared digit by digit.
+    """
+    number = F.try_variant_get(value, "$", "double")
+    digits = F.when(F.abs(number) >= 2.0**53, F.try_variant_get(value, "$", "decimal(38,0)").cast("string"))
+    return F.when(is_number(kind), F.coalesce(digits, number.cast("string"))).otherwise(F.to_json(value))
 
 
 def text_field(attrs: Column, path: str) -> Column:

@@ -47,11 +47,14 @@ def compare_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """Compare the cells of two entities path by path, for all pairs at once.
 
     ``cells(entity_id, path, text, match)`` holds display text and comparison key,
-    ``match`` NULL meaning a null value; ``pairs(old_id, new_id)``. The result has
-    one row per path of either side with ``diff`` ``same``, ``different``,
-    ``only_old`` or ``only_new``; paths that are null on both sides are left out.
+    ``match`` NULL meaning a null value; ``pairs(old_id, new_id)``. With a column
+    ``site`` in both, ids are told apart by it. The result has one row per path of
+    either side with ``diff`` ``same``, ``different``, ``only_old`` or ``only_new``;
+    paths that are null on both sides are left out.
     """
+    site = [c for c in ("site",) if c in pairs.columns and c in cells.columns]
     sides = pairs.select(
+        *site,
         "old_id",
         "new_id",
         F.explode(
@@ -60,18 +63,19 @@ def compare_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
                 F.struct(F.lit("new").alias("side"), F.col("new_id").alias("entity_id")),
             )
         ).alias("of"),
-    ).select("old_id", "new_id", "of.side", "of.entity_id")
+    ).select(*site, "old_id", "new_id", "of.side", "of.entity_id")
     cell = F.struct(F.col("match").alias("match"), F.col("text").alias("text"))
     old, new = F.col("old"), F.col("new")
     return (
-        sides.join(cells, "entity_id")
-        .groupBy("old_id", "new_id", "path")
+        sides.join(cells, [*site, "entity_id"])
+        .groupBy(*site, "old_id", "new_id", "path")
         .agg(
             F.max(F.when(F.col("side") == "old", cell)).alias("old"),
             F.max(F.when(F.col("side") == "new", cell)).alias("new"),
         )
         .where(old.isNull() | new.isNull() | old["match"].isNotNull() | new["match"].isNotNull())
         .select(
+            *site,
             "old_id",
             "new_id",
             "path",
@@ -88,14 +92,22 @@ def compare_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def compare_attributes(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Attribute differences of old and new entities; order by ``rank``, ``path`` to print them."""
-    ids = pairs.select(F.col("old_id").alias("entity_id")).union(pairs.select("new_id"))
-    wanted = entities.join(ids, "entity_id", "left_semi")
+    """Attribute differences of old and new entities, site by site; order by ``rank``, ``path`` to print them.
+
+    ``pairs(site, old_id, new_id)``; pairs without ``site`` hold for every site that
+    has one of their entities.
+    """
+    if "site" not in pairs.columns:
+        named = pairs.select("old_id", "new_id", F.explode(F.array("old_id", "new_id")).alias("entity_id"))
+        pairs = entities.select("site", "entity_id").join(named, "entity_id").select("site", "old_id", "new_id").distinct()
+    ids = pairs.select("site", F.explode(F.array("old_id", "new_id")).alias("entity_id"))
+    wanted = entities.join(ids, ["site", "entity_id"], "left_semi")
     value, kind = F.col("value"), F.col("kind")
     cells = (
-        flatten(wanted, "entity_id")
+        flatten(wanted, "site", "entity_id")
         .withColumn("kind", F.schema_of_variant("value"))
         .select(
+            "site",
             "entity_id",
             "path",
             value_text(value, kind).alias("text"),
@@ -141,12 +153,11 @@ def state_classes(entities: DataFrame) -> DataFrame:
     return entities.select("site", "entity_id", state_class(F.col("attrs")).alias("state_class"))
 
 
-def attribute_probe(states: DataFrame, name: str = "last_reset", per_series: int = 20, shown: int = 200) -> DataFrame:
-    """The newest rows of each series with one attribute of their payload.
+def attribute_probe(states: DataFrame, per_series: int, name: str = "last_reset") -> DataFrame:
+    """The newest ``per_series`` rows of each series with one attribute of their payload.
 
     Read states with ``attributes="probe"``. ``kind`` is the JSON type of the
-    attribute; ``problem`` tells why a payload has no attributes. ``payload`` is
-    cut to ``shown`` characters for display; the attribute is read from all of it.
+    attribute; ``problem`` tells why a payload has no attributes.
     """
     newest = Window.partitionBy("series_id").orderBy(F.desc("ts"), F.desc("row_id"))
     rows = states.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= per_series)
@@ -166,7 +177,5 @@ def attribute_probe(states: DataFrame, name: str = "last_reset", per_series: int
         F.when(F.col("text").isNotNull() & F.col("doc").isNull(), "invalid JSON")
         .when(~is_object(F.col("doc_kind")), F.concat(F.lit("not an object: "), word(F.col("doc_kind"))))
         .alias("problem"),
-        F.when(F.length("text") > shown, F.concat(F.substring("text", 1, shown), F.lit("…")))
-        .otherwise(F.col("text"))
-        .alias("payload"),
+        F.col("text").alias("payload"),
     )

@@ -10,6 +10,7 @@ from a spine: every bucket row repeats itself up to the next one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -18,19 +19,16 @@ from ..functions.numbers import bucket, counted_delta, leading_number
 from ..functions.predicates import state_available
 from ..functions.times import reset_epoch
 from ..functions.variants import json_field
-from ..plans.timeline import DEFAULT_CHUNKING, Chunking, split_cells
+from ..plans.timeline import CELL, DEFAULT_CHUNKING, Chunking, split_cells
 from ..schema import INTERVALS, STATISTICS, TOTAL_KINDS
 from .profile import latest_statistics
 
+# Buckets that one row of a gap is expanded to at once.
+FILL_SPAN = 288
 
-def _fold_buckets(
-    states: DataFrame, replacements: DataFrame, interval: int, chunking: Chunking
-) -> tuple[DataFrame, list[str]]:
-    """One row per (series, bucket) of the usable states of all successors.
 
-    A bucket with too many readings for one task gives several rows. Also returns
-    the columns that order the rows of a series.
-    """
+def _fold_buckets(states: DataFrame, replacements: DataFrame, interval: int, chunking: Chunking) -> DataFrame:
+    """One row per (series, bucket) of the usable states of all successors; ``_cell`` orders a series' rows."""
     wanted = replacements.select(F.col("new_id").alias("series_id"), "kind", "started_from_0")
     reset = F.coalesce(json_field(F.col("attrs"), "last_reset"), json_field(F.col("attrs_fallback"), "last_reset"))
     readings = (
@@ -46,17 +44,10 @@ def _fold_buckets(
             F.when(F.col("kind") == "total", reset).alias("reset"),
         )
     )
-    split, chunk = split_cells(
-        readings,
-        ["series_id"],
-        ["ts", "row_id"],
-        chunking,
-        bucket("ts", interval),
-        states.join(wanted, "series_id", "left_semi").select("series_id", "ts"),
-    )
-    inside = Window.partitionBy("series_id", *chunk).orderBy("ts", "row_id")
+    split = split_cells(readings, ["series_id"], ["ts", "row_id"], chunking, bucket("ts", interval))
+    inside = Window.partitionBy("series_id", CELL).orderBy("ts", "row_id")
     previous = F.lag("v").over(inside)
-    folded = (
+    return (
         split.withColumns(
             {
                 "bucket": bucket("ts", interval),
@@ -65,7 +56,7 @@ def _fold_buckets(
                 "_delta": counted_delta(F.col("v"), previous, F.col("reset"), F.lag("reset").over(inside), F.col("kind")),
             }
         )
-        .groupBy("series_id", *chunk)
+        .groupBy("series_id", CELL)
         .agg(
             F.max("kind").alias("kind"),
             F.max("started_from_0").alias("started_from_0"),
@@ -81,12 +72,11 @@ def _fold_buckets(
             F.count("*").alias("n"),
         )
     )
-    return folded, chunk
 
 
-def _chain(folded: DataFrame, order: list[str]) -> DataFrame:
+def _chain(folded: DataFrame) -> DataFrame:
     """Add the running sum over the buckets of each series, starting from 0."""
-    along = Window.partitionBy("series_id").orderBy(*order)
+    along = Window.partitionBy("series_id").orderBy(CELL)
     previous = F.lag("last_v").over(along)
     start = F.when(F.col("kind").isin(*TOTAL_KINDS) & F.col("started_from_0"), F.col("first_v")).otherwise(0.0)
     link = F.when(previous.isNull(), start).otherwise(
@@ -97,10 +87,10 @@ def _chain(folded: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def _roll_up(chained: DataFrame, order: list[str], tables: Mapping[str, int]) -> DataFrame:
+def _roll_up(chained: DataFrame, tables: Mapping[str, int]) -> DataFrame:
     """One row per (series, table, bucket of that table); rows without a time only counted above."""
     grains = F.array(*(F.struct(F.lit(t).alias("table"), F.lit(i).cast("bigint").alias("interval_s")) for t, i in tables.items()))
-    last = F.struct(*order, F.col("last_v").alias("state"), "running", "last_reset", "kind")
+    last = F.struct(CELL, F.col("last_v").alias("state"), "running", "last_reset", "kind")
     return (
         chained.where("bucket is not null")
         .withColumn("grain", F.explode(grains))
@@ -127,12 +117,13 @@ def _fill(rolled: DataFrame, strict_cutoff: bool) -> DataFrame:
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     following = F.lead("start").over(along)
     only = F.lag("start").over(along).isNull() & following.isNull()
-    starts = F.when(
-        F.col("following").isNotNull(),
-        F.sequence("start", F.col("following") - F.col("interval_s"), "interval_s"),
-    )
+    # A long gap is first cut into spans of FILL_SPAN buckets and dealt out by them: rows
+    # multiply only after the shuffle, and none grows with the length of a gap.
+    reach = F.col("interval_s") * F.lit(FILL_SPAN)
+    spans = F.when(F.col("following").isNotNull(), F.sequence("start", F.col("following") - F.col("interval_s"), reach))
     if not strict_cutoff:
-        starts = starts.when(F.col("only"), F.array("start"))
+        spans = spans.when(F.col("only"), F.array("start"))
+    final = F.least(F.col("span") + reach, F.coalesce("following", F.col("start") + F.col("interval_s")))
     epoch = F.when(F.trim("last_reset") != "", reset_epoch(F.col("last_reset")))
     return (
         rolled.withColumn("_epoch", epoch)
@@ -144,7 +135,9 @@ def _fill(rolled: DataFrame, strict_cutoff: bool) -> DataFrame:
                 "last_reset_ts": F.last("_epoch", ignorenulls=True).over(so_far),
             }
         )
-        .withColumn("start_ts", F.explode(starts))
+        .withColumn("span", F.explode(spans))
+        .repartition("series_id", "table", F.floor(F.col("span") / reach))
+        .withColumn("start_ts", F.explode(F.sequence("span", final - F.col("interval_s"), "interval_s")))
     )
 
 
@@ -160,12 +153,9 @@ def rebuilt_rows(
     chunking: Chunking = DEFAULT_CHUNKING,
 ) -> DataFrame:
     """The rows rebuilt from the successors' states, as ``schema.STATISTICS``."""
-    finest = min(tables.values())
-    folded, order = _fold_buckets(states, replacements, finest, chunking)
-    # Filling multiplies these rows, so their partitions must not be merged for
-    # being small now, as adaptive execution does unless the number is given.
-    folded = folded.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id")
-    filled = _fill(_roll_up(_chain(folded, order), order, tables), strict_cutoff)
+    # Buckets of every table are made of whole buckets of this length.
+    finest = math.gcd(*tables.values())
+    rolled = _roll_up(_chain(_fold_buckets(states, replacements, finest, chunking)), tables)
 
     # Sums continue from the newest sum of the predecessor.
     newest = (
@@ -189,9 +179,9 @@ def rebuilt_rows(
         "last_reset_ts": F.when(total, F.col("last_reset_ts")) if last_reset_as == "epoch" else F.lit(None).cast("double"),
         "created_ts": created.cast("double"),
     }
-    return filled.join(base, ["series_id", "table"], "left").select(
-        "series_id", "table", "interval_s", *(c.alias(n) for n, c in columns.items())
-    )
+    # Joined before filling, while there is a row for every occupied bucket only.
+    filled = _fill(rolled.join(base, ["series_id", "table"], "left"), strict_cutoff)
+    return filled.select("series_id", "table", "interval_s", *(c.alias(n) for n, c in columns.items()))
 
 
 def copied_rows(
@@ -203,14 +193,16 @@ def copied_rows(
 ) -> DataFrame:
     """The predecessors' statistics under the successors' ids.
 
-    Tables that keep reset marks as epochs lose the text form; for tables that
-    keep only the text the epoch is derived from it.
+    Tables that keep reset marks as epochs lose the text form, but a mark that is
+    only known as text is kept as an epoch; for tables that keep only the text the
+    epoch is derived from it.
     """
     text = F.col("last_reset")
+    derived = F.when(F.trim(text) != "", reset_epoch(text))
     if last_reset_as == "epoch":
-        marks = {"last_reset": F.lit(None).cast("string")}
+        marks = {"last_reset_ts": F.coalesce("last_reset_ts", derived), "last_reset": F.lit(None).cast("string")}
     else:
-        marks = {"last_reset_ts": F.when(F.trim(text) != "", reset_epoch(text))}
+        marks = {"last_reset_ts": derived}
     return (
         statistics.where(F.col("table").isin(*tables))
         .withColumnRenamed("series_id", "old_id")

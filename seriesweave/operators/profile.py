@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.predicates import (
     state_unavailable,
@@ -10,8 +10,8 @@ from ..functions.predicates import (
 )
 from ..functions.text import number_text, value_with_sum
 from ..functions.times import local_time
-from ..plans.timeline import DEFAULT_CHUNKING, Chunking, with_previous
-from ..schema import DISPLAY_COLUMNS, MAX_OUTAGE_ROWS
+from ..plans.timeline import DEFAULT_CHUNKING, Chunking, running_total, with_previous
+from ..schema import DISPLAY_COLUMNS
 
 ENDS = ("earliest", "latest", "earliest_available", "latest_available")
 
@@ -153,51 +153,38 @@ def last_reset_rows(statistics: DataFrame, last_reset_as: str = "epoch") -> Data
     return statistics.where(F.col(mark).isNotNull()).select("series_id", "table", "start_ts", mark)
 
 
-def _outages(rows: DataFrame, max_rows: int, chunking: Chunking) -> DataFrame:
+def _outages(rows: DataFrame, max_rows: int | None, chunking: Chunking) -> DataFrame:
     """Runs of unavailable rows as (series_id, table, start_ts, end_ts, row_count, value).
 
     A run also ends where ``text`` changes. Whether a row begins a run depends on
-    the row before it. Series with more than ``max_rows`` unavailable rows are left
-    out as a whole; one row beyond the limit is enough to know them, so no task
-    hands on more than that many rows of a series.
+    the row before it; the runs of a series are numbered cell by cell. With
+    ``max_rows``, series with more unavailable rows are left out as a whole.
     """
     keys = ["series_id", "table"]
+    if max_rows is not None:
+        counts = rows.where("unavailable").groupBy(*keys).agg(F.count("*").alias("_n"))
+        rows = rows.join(counts.where(F.col("_n") > max_rows), keys, "left_anti")
     marked = with_previous(
-        rows,
-        keys,
-        ["ts", "row_id"],
-        {"before": F.struct("unavailable", "text")},
-        chunking=chunking,
-        counted=rows.select(*keys, "ts"),
+        rows, keys, ["ts", "row_id"], {"before": F.struct("unavailable", "text")}, chunking=chunking
     ).where("unavailable")
     continues = F.col("before.unavailable") & F.col("before.text").eqNullSafe(F.col("text"))
-    series = Window.partitionBy(*keys)
-    in_order = series.orderBy("ts", "row_id")
+    begins = F.when(continues, 0).otherwise(1)
     return (
-        marked.withColumn("rank", F.row_number().over(in_order))
-        .where(F.col("rank") <= max_rows + 1)
-        .withColumn("found", F.max("rank").over(series))
-        .where(F.col("found") <= max_rows)
-        .withColumn(
-            "run",
-            F.sum(F.when(continues, 0).otherwise(1)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
-        )
+        running_total(marked, keys, ["ts", "row_id"], begins, "run", chunking)
         .groupBy(*keys, "run")
         .agg(
             F.min("ts").alias("start_ts"),
             F.max("ts").alias("end_ts"),
             F.count("*").alias("row_count"),
-            F.first("text").alias("text"),
+            F.max("text").alias("text"),  # one text per run
         )
         .where("start_ts is not null")
         .select(*keys, "start_ts", "end_ts", "row_count", F.coalesce("text", F.lit("NULL")).alias("value"))
     )
 
 
-def state_outages(
-    states: DataFrame, max_rows: int = MAX_OUTAGE_ROWS, chunking: Chunking = DEFAULT_CHUNKING
-) -> DataFrame:
-    """Runs of unavailable states with the same exact text, for series with 1 to ``max_rows`` of them."""
+def state_outages(states: DataFrame, max_rows: int | None = None, chunking: Chunking = DEFAULT_CHUNKING) -> DataFrame:
+    """Runs of unavailable states with the same exact text."""
     rows = states.select(
         "series_id",
         F.lit("states").alias("table"),
@@ -210,7 +197,7 @@ def state_outages(
 
 
 def statistics_outages(
-    statistics: DataFrame, max_rows: int = MAX_OUTAGE_ROWS, chunking: Chunking = DEFAULT_CHUNKING
+    statistics: DataFrame, max_rows: int | None = None, chunking: Chunking = DEFAULT_CHUNKING
 ) -> DataFrame:
     """Runs of statistics rows without any value."""
     rows = statistics.select(
@@ -225,10 +212,7 @@ def statistics_outages(
 
 
 def outages(
-    states: DataFrame,
-    statistics: DataFrame,
-    max_rows: int = MAX_OUTAGE_ROWS,
-    chunking: Chunking = DEFAULT_CHUNKING,
+    states: DataFrame, statistics: DataFrame, max_rows: int | None = None, chunking: Chunking = DEFAULT_CHUNKING
 ) -> DataFrame:
     """Outage runs of states and of both statistics tables."""
     return state_outages(states, max_rows, chunking).unionByName(

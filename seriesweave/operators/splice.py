@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.timeline import DEFAULT_CHUNKING, Chunking, ensure_checkpoint_dir
+from ..plans.timeline import DEFAULT_CHUNKING, Chunking
 from ..schema import INTERVALS, KINDS, TOTAL_KINDS
 from ..sources.sinks import replace_series
 from .diff import change_report, condense, planned_changes, snapshot
@@ -16,14 +16,20 @@ from .quality import missing_rows, statistics_resets
 
 
 def eligibility(
-    pairs: DataFrame, classes: DataFrame, states: DataFrame, statistics: DataFrame | None = None
+    pairs: DataFrame,
+    classes: DataFrame,
+    states: DataFrame,
+    statistics: DataFrame | None = None,
+    statistics_meta: DataFrame | None = None,
 ) -> DataFrame:
     """``pairs(old_id, new_id)`` with ``kind``, ``eligible`` and the ``reason`` if not.
 
     Both sensors must have the same supported class, both must have available
     states, and the successor's must begin in a later second than the
-    predecessor's end. ``overlaps_statistics`` tells whether they begin before the
-    end of the predecessor's statistics, which does not rule a pair out.
+    predecessor's end. With the id dictionary ``statistics_meta`` of the table to be
+    written the successor must have an id there. ``overlaps_statistics`` tells whether
+    they begin before the end of the predecessor's statistics, which does not rule a
+    pair out.
     """
     # Both sides of all pairs look things up together, so states are read once.
     side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"{name}_id").alias("series_id"))
@@ -48,6 +54,10 @@ def eligibility(
         ends = latest_statistics(statistics).groupBy("series_id").agg(F.max("ts").alias("statistics_end"))
         looked_up = looked_up.join(ends, "series_id", "left")
         found["statistics_end"] = ("old", "statistics_end")
+    if statistics_meta is not None:
+        targets = statistics_meta.select(F.col("statistic_id").alias("series_id")).distinct()
+        looked_up = looked_up.join(targets.withColumn("has_target", F.lit(True)), "series_id", "left")
+        found["has_target"] = ("new", "has_target")
     both = looked_up.groupBy("old_id", "new_id").agg(
         *(F.max(F.when(F.col("side") == of, F.col(column))).alias(name) for name, (of, column) in found.items())
     )
@@ -62,6 +72,8 @@ def eligibility(
         .when(F.col("old_end").isNull() | F.col("new_start").isNull(), "no available states")
         .when(F.floor("new_start") <= F.floor("old_end"), "new states start before old states end")
     )
+    if statistics_meta is not None:
+        reason = reason.when(F.col("has_target").isNull(), "no target id")
     overlaps = F.coalesce(F.col("new_start") <= F.col("statistics_end"), F.lit(False)).alias("overlaps_statistics")
     return both.select(
         "old_id",
@@ -102,6 +114,7 @@ def splice(
     states: DataFrame,
     statistics: DataFrame,
     *,
+    statistics_meta: DataFrame | None = None,
     tables: Mapping[str, int] = INTERVALS,
     started_from_0: bool = True,
     last_reset_as: str = "epoch",
@@ -112,18 +125,16 @@ def splice(
 
     ``eligibility``, ``generated``, ``counts``, ``gaps``, ``resets``, ``preview``,
     ``changes``, ``condensed`` and ``result``, the statistics after replacement
-    (see ``sources.sinks`` for writing them). The generated rows feed all later
-    parts and are checkpointed once.
+    (see ``sources.sinks`` for writing them). Nothing runs here: to use several parts,
+    write ``generated`` first and build the others from it with the same functions.
     """
-    checked = eligibility(pairs, classes, states, statistics)
+    checked = eligibility(pairs, classes, states, statistics, statistics_meta)
     replacements = checked.where("eligible").select(
         "old_id", "new_id", "kind", F.lit(started_from_0).alias("started_from_0")
     )
-    ensure_checkpoint_dir(states.sparkSession)
-    replacements = replacements.checkpoint()
     generated = generate(
         states, statistics, replacements, tables, last_reset_as=last_reset_as, run_ts=run_ts, chunking=chunking
-    ).checkpoint()
+    )
     changes = planned_changes(statistics, generated, replacements)
     return {
         "eligibility": checked,

@@ -2,102 +2,66 @@
 
 A window over ``series_id`` alone sorts the complete history of a series in one
 task, and one series may hold a third of the table. Here the history of a series
-is cut into chunks: a chunk is one span of time (a day, unless told otherwise),
-and a span that still holds too many rows is split further by row order. Window
-functions run per chunk, so the only full shuffle is by (series, chunk). What
-crosses a chunk's border is one row per chunk, carried over in a second, small
-window.
+is cut into cells, spans of time (a day, unless told otherwise), and rows are
+dealt out by (series, cell) explicitly: were that left to the planner, rows that a
+join has just dealt out by series would stay where they are. Window functions run
+per cell. What crosses a cell's border is a few rows per cell, carried over in a
+second, small window. There is one plan for all sizes: nothing is counted first,
+and nothing is written in between.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CELL, PART = "_cell", "_part"
+CELL = "_cell"
 # Sorts before every real cell, as rows without a time sort first.
 _NO_TIME = -(2**62)
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """How long a chunk is and how many rows one task should sort at most."""
+    """How long a cell is. A task sorts the rows of one series in that time, spilling if it must."""
 
     span_seconds: int = 86_400
-    max_rows: int = 2_000_000
-    # More split cells than this are joined by shuffle instead of broadcast.
-    broadcast_cells: int = 100_000
 
 
 DEFAULT_CHUNKING = Chunking()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a local session may go without one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(named)
+def cell_of(time: str | Column, chunking: Chunking) -> Column:
+    """Number of the cell that a time falls in."""
+    time = F.col(time) if isinstance(time, str) else time
+    return F.coalesce(F.floor(time / F.lit(float(chunking.span_seconds))), F.lit(_NO_TIME))
 
 
-def _crowded(rows: DataFrame, by: Sequence[str], max_rows: int) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+def split_cells(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunking: Chunking, cell: Column | None = None
+) -> DataFrame:
+    """Add ``_cell`` (spans of time, or the finer ``cell``) and deal rows out by first key and cell.
 
+    Further keys stay together: one that is a literal would make the planner shuffle again.
+    """
+    cell = cell_of(order[0], chunking) if cell is None else F.coalesce(cell, F.lit(_NO_TIME))
+    return df.withColumn(CELL, cell).repartition(keys[0], CELL)
 
-def split_cells(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunking: Chunking,
-    cell: Column | None = None,
-    counted: DataFrame | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Add columns that cut the history of each key into chunks one task can sort.
-
-    Returns the rows and the names of the chunk columns, in time order: ``_cell``
-    (spans of time, or the finer ``cell``) and, where needed, ``_part``. Rows are
-    counted per span first, combined before the shuffle, and usually none is too
-    full. ``counted`` may be a cheaper frame to count, with at least these rows.
-    The rows of cells that are too full go through a range partitioning on the
-    full row order, whose partition number becomes the part. Its borders come from
-    sampling, so the result is checkpointed: all later readers, retried tasks
-    included, see the same parts.
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, chunking: Chunking) -> DataFrame:
+    """Add the sum of ``value`` up to and with each row of its key, in order.
+
+    Sums run inside cells; those of earlier cells are added from one row per cell.
     """
-    max_rows, by = chunking.max_rows, [*keys, CELL]
-    no_time = F.lit(_NO_TIME)
-    span = F.coalesce(F.floor(F.col(order[0]) / F.lit(float(chunking.span_seconds))), no_time)
-    cells = df.withColumn(CELL, span if cell is None else F.coalesce(cell, no_time))
-    full = _crowded((df if counted is None else counted).withColumn(CELL, span), by, max_rows)
-    if full.isEmpty():
-        return cells, [CELL]
-
-    ensure_checkpoint_dir(df.sparkSession)
-    full = _crowded(cells, by, max_rows).checkpoint()
-    found, rows = full.agg(F.count("*"), F.sum("_n")).first()
-    if not found:
-        return cells, [CELL]
-    wanted = full.select(*by)
-    if found <= chunking.broadcast_cells:
-        wanted = F.broadcast(wanted)
-    crowded = (
-        cells.join(wanted, by, "left_semi")
-        # Copies of a row can only be told apart by where they were read.
-        .withColumn("_read", F.monotonically_increasing_id())
-        .repartitionByRange(2 * -(-rows // max_rows), *by, *order, "_read")
-        .withColumn(PART, F.spark_partition_id())
-        .drop("_read")
-        .checkpoint()
-    )
-    roomy = cells.join(wanted, by, "left_anti").withColumn(PART, F.lit(0))
-    return roomy.unionByName(crowded), [CELL, PART]
+    cells = df.withColumns({"_value": value, CELL: cell_of(order[0], chunking)})
+    along = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = cells.groupBy(*keys, CELL).agg(F.sum("_value").alias("_sum"))
+    earlier = earlier.select(*keys, CELL, F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy(*keys, CELL).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cells.repartition(*keys, CELL).withColumn("_inside", F.sum("_value").over(inside))
+    total = (F.col("_inside") + F.col("_earlier")).alias(name)
+    return summed.join(earlier, [*keys, CELL]).select(*df.columns, total)
 
 
 def with_previous(
@@ -107,7 +71,6 @@ def with_previous(
     previous: Mapping[str, Column],
     known: Mapping[str, Column] | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add values of earlier rows of the same series.
 
@@ -117,17 +80,17 @@ def with_previous(
     expression itself is not NULL. Rows with equal order columns keep an arbitrary
     order among themselves.
 
-    All but a few rows per chunk find their answer inside the chunk. The others,
+    All but a few rows per cell find their answer inside the cell. The others,
     the border rows, are looked at once more along the whole series. Both branches
     read the same shuffle, which Spark runs once.
     """
     known = known or {}
     names = [*previous, *known]
     columns = df.columns
-    rows, chunk = split_cells(df, keys, order, chunking, counted=counted)
+    rows = split_cells(df, keys, order, chunking)
     rows = rows.withColumns({f"_here_{n}": value for n, value in {**previous, **known}.items()})
 
-    inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
+    inside = Window.partitionBy(*keys, CELL).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns(
         {
@@ -141,7 +104,7 @@ def with_previous(
     for n in known:
         at_border = at_border | (F.col(f"_here_{n}").isNotNull() & F.col(n).isNull())
 
-    across = Window.partitionBy(*keys).orderBy(*chunk, *order)
+    across = Window.partitionBy(*keys).orderBy(CELL, *order)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     leaving = lambda n: F.when(F.col("_is_last"), F.coalesce(f"_here_{n}", n))
     border = rows.where(at_border).withColumns(

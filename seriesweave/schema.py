@@ -21,9 +21,6 @@ DISPLAY_COLUMNS = ("state", "mean", "min", "max", "sum")
 KINDS = ("total_increasing", "total", "measurement")
 TOTAL_KINDS = ("total_increasing", "total")
 
-# Outages are listed in detail for series with at most this many empty rows.
-MAX_OUTAGE_ROWS = 200
-
 # A counter counts as reset when it falls below this share of its last value.
 RESET_RATIO = 0.9
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from seriesweave.operators import diff, profile, quality
+from seriesweave.operators import diff, profile, quality, splice
 from seriesweave.operators.generate import generate
 from seriesweave.schema import REPLACEMENTS, STATES, STATISTICS
 
@@ -39,7 +39,7 @@ NEIGHBOURS = {
 }
 
 
-@pytest.mark.parametrize("name", NEIGHBOURS)
+@pytest.mark.parametrize("name", [n for n in NEIGHBOURS if "outages" not in n])
 def test_rows_are_shuffled_once_by_chunk(spark, tables, name):
     text = plan(spark, lambda: NEIGHBOURS[name](*tables))
     by_chunk = [l for l in text.splitlines() if re.search(r"- Exchange hashpartitioning\(.*_cell", l)]
@@ -69,6 +69,35 @@ def test_diff_shuffles_once(spark, tables):
     assert text.count("Exchange hashpartitioning") == 1
 
 
-def test_outages_hand_on_few_rows_per_series(spark, tables):
+JOINED = {
+    **NEIGHBOURS,
+    "generate": lambda st, s, p: generate(st, s, p),
+    "reset_report": lambda st, s, p: quality.reset_report(st, s, p.select(F.col("new_id").alias("series_id"), F.col("kind").alias("state_class"))),
+    "generated_resets": lambda st, s, p: splice.quality_checks(generate(st, s, p), p)["resets"],
+}
+
+
+@pytest.mark.parametrize("name", JOINED)
+def test_cells_are_dealt_out_under_any_join(spark, tables, name):
+    """Also where no side of a join is small, so that rows arrive dealt out by series."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, lambda: JOINED[name](*tables))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"- Exchange hashpartitioning\(.*_cell", text)
+
+
+def test_outage_runs_have_no_window_over_rows_of_a_whole_series(spark, tables):
     text = plan(spark, lambda: profile.state_outages(tables[0]))
-    assert text.count("WindowGroupLimit") == 2
+    windows = re.findall(r"Window \[.*?\], \[(.*?)\]", text)
+    numbered = [w for w in windows if "_cell" not in w]
+    # Border rows, and one row per cell.
+    assert len(numbered) <= 3
+
+
+def test_planning_starts_no_job(spark, tables):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    for build in JOINED.values():
+        build(*tables)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before

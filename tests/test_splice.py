@@ -106,6 +106,20 @@ def test_target_rows(spark, statistics):
         sinks.as_target_rows(rows, target)
 
 
+def test_rows_of_unknown_ids_are_not_lost(spark, statistics):
+    target = spark.createDataFrame([], "metadata_id long, start_ts double, sum double")
+    meta = spark.createDataFrame([(1, "sensor.old")], "id long, statistic_id string")
+    rows = statistics([{"series_id": "sensor.new", "start_ts": 0, "sum": 1}])
+    with pytest.raises(Exception, match="no target id: sensor.new"):
+        sinks.as_target_rows(rows, target, meta).collect()
+
+
+def test_marks_are_written_as_text_where_the_table_has_only_that(spark, statistics):
+    target = spark.createDataFrame([], "statistic_id string, start_ts double, last_reset string")
+    rows = statistics([{"start_ts": 0, "last_reset_ts": 86400.0}])
+    assert sinks.as_target_rows(rows, target).first().last_reset == "1970-01-02T00:00:00+00:00"
+
+
 def test_pairs_without_a_target_id(spark, pairs):
     meta = spark.createDataFrame([(1, "sensor.old")], "id long, statistic_id string")
     assert sinks.without_target_id(pairs(), meta).first().reason == "no target id"
@@ -116,8 +130,9 @@ def test_write_and_swap_in_place(spark, tmp_path, states, statistics, pairs):
     short = statistics([{"series_id": "sensor.new", "start_ts": 0, "sum": 7}], "statistics_short_term")
     sinks.write_bucketed(statistics(STORED).unionByName(short), path, 4)
     stored = spark.read.parquet(path).drop(sinks.BUCKET)
-    generated = generate(usual(states), stored, pairs(), HOURLY).checkpoint()
-    sinks.swap_in_place(path, generated, pairs(), 4)
+    # All that lies in the replaced layout is read before anything is written there.
+    generated = generate(usual(states), stored, pairs(), HOURLY)
+    sinks.swap_in_place(path, generated, pairs(), 4, f"{tmp_path}/staging")
     spark.catalog.refreshByPath(path)
     rows = spark.read.parquet(path).collect()
     assert sorted((r.start_ts, r.sum) for r in rows if r.series_id == "sensor.new") == [(0.0, 100.0), (3600.0, 110.0), (10800.0, 110.0)]

@@ -7,10 +7,10 @@ from pyspark.sql import Window, functions as F
 
 from seriesweave.operators import profile, quality
 from seriesweave.operators.generate import generate
-from seriesweave.plans.timeline import Chunking, split_cells, with_previous
+from seriesweave.plans.timeline import Chunking, running_total, with_previous
 from seriesweave.schema import STATES, STATISTICS
 
-CHUNKINGS = [Chunking(), Chunking(span_seconds=100, max_rows=1000), Chunking(span_seconds=1000, max_rows=7), Chunking(10**9, 5, 0)]
+CHUNKINGS = [Chunking(), Chunking(100), Chunking(1000), Chunking(10**9)]
 
 
 @pytest.fixture(scope="module")
@@ -41,22 +41,12 @@ def test_previous_and_known_match_plain_windows(rows, chunking):
     assert [r["seen"] for r in want if r["mark"]] == [r["seen"] for r in have if r["mark"]]
 
 
-def test_crowded_cells_are_split(rows):
-    chunking = Chunking(span_seconds=10**9, max_rows=10)
-    split, columns = split_cells(rows, ["series_id"], ["ts", "row_id"], chunking)
-    assert columns == ["_cell", "_part"]
-    assert split.count() == rows.count()
-    sizes = [r["count"] for r in split.groupBy("series_id", *columns).count().collect()]
-    assert max(sizes) < 40 and len(sizes) > 20
-
-
-def test_copies_are_split_too(spark):
-    copies = spark.range(0, 2000, 1, 4).select(
-        F.lit("hot").alias("series_id"), F.lit(5.0).alias("ts"), F.lit(None).cast("long").alias("row_id")
-    )
-    split, columns = split_cells(copies, ["series_id"], ["ts", "row_id"], Chunking(max_rows=100))
-    sizes = [r["count"] for r in split.groupBy(*columns).count().collect()]
-    assert sum(sizes) == 2000 and max(sizes) < 400
+@pytest.mark.parametrize("chunking", CHUNKINGS)
+def test_running_totals_match_plain_windows(rows, chunking):
+    w = Window.partitionBy("series_id").orderBy("ts", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    expected = rows.withColumn("total", F.sum("row_id").over(w)).collect()
+    got = running_total(rows, ["series_id"], ["ts", "row_id"], F.col("row_id"), "total", chunking).collect()
+    assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
 def _random_history(spark, seed):
@@ -81,7 +71,7 @@ def _random_history(spark, seed):
     return spark.createDataFrame(states, STATES), spark.createDataFrame(stats, STATISTICS), pairs
 
 
-@pytest.mark.parametrize("chunking", CHUNKINGS[2:])
+@pytest.mark.parametrize("chunking", CHUNKINGS[1:])
 def test_operators_do_not_depend_on_chunks(spark, chunking):
     states, stats, pairs = _random_history(spark, 3)
 
