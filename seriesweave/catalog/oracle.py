@@ -438,6 +438,10 @@ WHERE n.p IS NULL OR o.p IS NULL OR o.value IS NOT NULL OR n.value IS NOT NULL""
     "latest_statistics": _with(F) + 'SELECT series_id, tbl AS "table", max(start_ts) AS ts FROM stats GROUP BY ALL',
     "last_reset_rows": _with(F)
     + 'SELECT series_id, tbl AS "table", start_ts, last_reset_ts FROM stats WHERE last_reset_ts IS NOT NULL',
+    "last_reset_rows_text": _with(F)
+    + """SELECT series_id, tbl AS "table", start_ts,
+       strftime(make_timestamp(CAST(last_reset_ts AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_reset
+FROM stats WHERE tbl = 'statistics' AND last_reset_ts IS NOT NULL""",
     "state_resets_increasing": _with(F, numeric_states()) + state_events(FELL),
     "state_resets_dense": _with(fixture("type"), numeric_states()) + state_events(FELL),
     "state_resets_total": _with(F, numeric_states()) + state_events(MARKED_AGAIN, "mark AS last_reset_ts,"),
@@ -507,6 +511,11 @@ UNION ALL SELECT DISTINCT series_id, tbl, 'omitted', NULL, NULL, NULL, NULL, NUL
     "replacement_eligibility": _with(F, pairs(), CLASSES, ELIGIBLE)
     + """SELECT old_id, new_id, kind, old_end, new_start, reason IS NULL AS eligible, reason,
        coalesce(new_start <= send, FALSE) AS overlaps_statistics FROM reasons""",
+    "eligibility_without_target": _with(F, pairs(), CLASSES, ELIGIBLE)
+    + """, known AS (
+  SELECT r.old_id, r.new_id, coalesce(r.reason, CASE WHEN c.state_class = 'measurement' THEN 'no target id' END) AS reason
+  FROM reasons r LEFT JOIN classes c ON c.series_id = r.new_id)
+SELECT old_id, new_id, reason IS NULL AS eligible, reason FROM known""",
     "splice_counts": _with(ALL_KINDS, CLASSES, ELIGIBLE)
     + """SELECT series_id, tbl AS "table", count(*) AS row_count FROM generated
 WHERE series_id IN (SELECT new_id FROM eligible) GROUP BY ALL""",
@@ -536,6 +545,10 @@ WHERE new_id NOT IN (SELECT series_id FROM classes WHERE state_class <> 'measure
     "entity_attribute_diff": _with(REGISTRY, f"cells AS ({attribute_rows()})")
     + """SELECT CAST(k AS VARCHAR) AS site, 'sensor.c' || k || '_old' AS old_id, 'sensor.c' || k || '_new' AS new_id, path, old_value, new_value,
        CASE WHEN old_value = new_value THEN 'same' ELSE 'different' END AS diff, CAST(rank AS INTEGER) AS rank
+FROM cells WHERE NOT (old_value = 'null' AND new_value = 'null')""",
+    "entity_attribute_diff_sites": _with(REGISTRY, f"cells AS ({attribute_rows()})")
+    + """SELECT CAST(k AS VARCHAR) AS site, 'sensor.c_old' AS old_id, 'sensor.c_new' AS new_id, path, old_value, new_value,
+       CASE WHEN old_value = new_value THEN 'same' ELSE 'different' END AS diff, CAST(rank AS INTEGER) AS rank
 FROM cells WHERE NOT (old_value = 'null' AND new_value = 'null')""",
     "attribute_probe": _with(F)
     + """, p AS (

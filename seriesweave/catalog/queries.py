@@ -115,6 +115,12 @@ def last_reset_rows(spark, sf_dir):
     return profile.last_reset_rows(fx.statistics(spark, sf_dir))
 
 
+def last_reset_rows_text(spark, sf_dir):
+    """Of a table that keeps reset marks only as text."""
+    stored = fx.recorder_statistics(spark, sf_dir)
+    return profile.last_reset_rows(canonical_statistics(stored["statistics"], stored["statistics_meta"]), "text")
+
+
 # --- resets -----------------------------------------------------------------
 
 
@@ -309,6 +315,15 @@ def replacement_eligibility(spark, sf_dir):
     return eligibility(pairs, fx.classes(spark, sf_dir), fx.states(spark, sf_dir), fx.statistics(spark, sf_dir))
 
 
+def eligibility_without_target(spark, sf_dir):
+    """A dictionary that lacks the successors that only measure."""
+    classes = fx.classes(spark, sf_dir)
+    meta = classes.where("state_class <> 'measurement'").select(F.col("series_id").alias("statistic_id"))
+    pairs = fx.replacements(spark, sf_dir).select("old_id", "new_id")
+    found = eligibility(pairs, classes, fx.states(spark, sf_dir), fx.statistics(spark, sf_dir), meta)
+    return found.select("old_id", "new_id", "eligible", "reason")
+
+
 def _spliced(spark, sf_dir) -> dict[str, DataFrame]:
     pairs = fx.replacements(spark, sf_dir).select("old_id", "new_id")
     return splice(
@@ -377,6 +392,14 @@ def entity_attribute_diff(spark, sf_dir):
     return attributes.compare_attributes(_entities(spark, sf_dir), fx.customer_pairs(spark, sf_dir))
 
 
+def entity_attribute_diff_sites(spark, sf_dir):
+    """Every site has entities of the same two ids."""
+    entities = _entities(spark, sf_dir)
+    entities = entities.withColumn("entity_id", F.regexp_replace("entity_id", "c[0-9]+_", "c_"))
+    pairs = spark.range(1).select(F.lit("sensor.c_old").alias("old_id"), F.lit("sensor.c_new").alias("new_id"))
+    return attributes.compare_attributes(entities, pairs)
+
+
 def attribute_probe(spark, sf_dir):
     stored = fx.recorder_states(spark, sf_dir)
     states = canonical_states(
@@ -454,6 +477,7 @@ QUERIES: dict[str, Query] = {
         earliest_state,
         latest_statistics,
         last_reset_rows,
+        last_reset_rows_text,
         state_resets_increasing,
         state_resets_dense,
         state_resets_total,
@@ -483,6 +507,7 @@ QUERIES: dict[str, Query] = {
         planned_changes_condensed,
         applied_changes_after_swap,
         replacement_eligibility,
+        eligibility_without_target,
         splice_counts,
         splice_result,
         replace_series_result,
@@ -493,6 +518,7 @@ QUERIES: dict[str, Query] = {
         registry_lookup,
         entity_state_classes,
         entity_attribute_diff,
+        entity_attribute_diff_sites,
         attribute_probe,
         states_from_dictionary,
         states_for_detection,
