@@ -16,6 +16,8 @@ def one(spark, value, expr, dtype="string"):
         ("12", 12.0, 12.0),
         (" 12.5 ", 12.5, 12.5),
         ("12abc", 12.0, None),
+        ("5\t", 5.0, 5.0),
+        ("\r\n 1e2\x0b", 100.0, 100.0),
         ("abc", 0.0, None),
         ("-3e2x", -300.0, None),
         ("1e3", 1000.0, 1000.0),

@@ -15,6 +15,19 @@ def sums(df):
     return {r.start_ts: r.sum for r in df.collect()}
 
 
+def test_intervals_need_not_be_multiples(states, statistics, pairs):
+    st = new(states, (10, "1"), (310, "5"), (460, "6"), (910, "9"), (1400, "9"))
+    alone = {r.start_ts: (r.state, r.sum) for r in generate(st, statistics([]), pairs(), {"b": 450}, run_ts=1.0).collect()}
+    both = generate(st, statistics([]), pairs(), {"a": 300, "b": 450}, run_ts=1.0).where("table = 'b'")
+    assert {r.start_ts: (r.state, r.sum) for r in both.collect()} == alone and alone[0.0][0] == 5.0
+
+
+def test_a_long_gap_is_expanded_in_spans(states, statistics, pairs):
+    st = new(states, (0, "1"), (3600 * 1000, "2"), (3600 * 1001, "3"))
+    got = sums(generate(st, statistics([]), pairs(), HOURLY, run_ts=1.0))
+    assert sorted(got) == [3600.0 * i for i in range(1001)]
+
+
 def test_empty_bucket_is_filled(states, statistics, pairs):
     st = new(states, (11000, "30"), (11100, "31"), (18100, "40"), (22000, "41"))
     rows = generate(st, statistics(OLD), pairs(), HOURLY, run_ts=9.0)

@@ -70,6 +70,20 @@ def test_compare(spark):
     assert rows["z"] == ("{}", "{}", "same")
 
 
+def test_large_integers_compare_digit_by_digit(spark):
+    rows = compare(spark, {"a": 9007199254740993, "b": 10**17, "c": 5}, {"a": 9007199254740992, "b": 1e17, "c": 5.0})
+    assert [rows[p][2] for p in "abc"] == ["different", "same", "same"]
+
+
+def test_sites_with_equal_ids_are_told_apart(spark):
+    data = [(s, f"s.{e}", '{"unique_id":%d}' % u) for s, e, u in (("a", "o", 1), ("a", "n", 1), ("b", "o", 2), ("b", "n", 3))]
+    entities = spark.createDataFrame(data, "site string, entity_id string, j string")
+    entities = entities.select("site", "entity_id", F.parse_json("j").alias("attrs"))
+    pairs = spark.createDataFrame([("s.o", "s.n")], "old_id string, new_id string")
+    got = sorted((r.site, r.diff) for r in attributes.compare_attributes(entities, pairs).collect())
+    assert got == [("a", "same"), ("b", "different")]
+
+
 def test_one_sided(spark):
     rows = compare(spark, {"unique_id": "u", "a": {"b": {"c": None}}}, {"entity_id": "sensor.new", "a": {"b": {}}})
     assert rows["unique_id"] == ("u", None, "only_old")
