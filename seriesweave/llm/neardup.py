@@ -2,9 +2,10 @@
 
 Documents with one set of shingles are a class, sketched once. Classes that share a band of
 registers are candidates. In each bucket of a band one representative of every component
-found so far meets one main representative, so a bucket of n classes gives n pairs, not n^2;
-after ROUNDS rounds with other representatives, what is still apart in a bucket is compared
-register by register in blocks, without emitting pairs that are not likely similar. Pairs
+found so far, the class that meets most others, meets the main one of them, so a bucket of n
+classes gives n pairs, not n^2; after ROUNDS rounds, what is still apart in a bucket is
+compared in blocks, by registers and then by full sets, emitting only links, each from the
+first band that its ends share. Pairs
 whose most likely similarity is far below the threshold are left out (5 standard
 deviations); all others are confirmed on full sets. Links go through connected components.
 """
@@ -23,7 +24,7 @@ from seriesweave.llm.setsketch import REGISTERS, bands, digests, likely_similari
 from seriesweave.llm.tables import written
 
 ROUNDS = 2
-BLOCK = 2048
+BLOCK = 1024
 BROADCAST_ROWS = 1_000_000  # of 8 bytes; above, a shuffle
 
 
@@ -70,6 +71,8 @@ def _likely(least: float):
 
 
 def _sets(size: int):
+    """node and set of those texts that are of that class."""
+
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             nodes, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
@@ -77,37 +80,42 @@ def _sets(size: int):
                 first, second = digests(hashes, ends)
                 n = np.diff(ends)
                 node = ((first ^ (second << np.uint64(1))) + n.astype(np.uint64)).view(np.int64).tolist()
-                rows = [(x, hashes[ends[i] : ends[i + 1]].tobytes()) for i, x in enumerate(node) if x == nodes[a + i]]
+                own = [i for i, x in enumerate(node) if x == nodes[a + i]]
+                rows = [(node[i], hashes[ends[i] : ends[i + 1]].tobytes()) for i in own]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["node", "set"])
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             keep = []
             for x, y in zip(table.column(2), table.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield table.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _compare(percent: int, least: float):
-    """Pairs of one block (or two) that are in different components and may be similar."""
+    """Similar pairs of one block (or two) that are in different components, by full sets where likely."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        del key
         node, n, part, component = (table[c].to_numpy() for c in ("node", "n", "part", "component"))
         rows = _rows(table["registers"].combine_chunks())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
+        keys, own = bands(rows), key[0].as_py() % 2**64
         a, b = [], []
         whole = part.min() == part.max()
         for i in range(len(node)):
@@ -115,8 +123,11 @@ def _compare(percent: int, least: float):
             other &= (np.arange(len(node)) > i) if whole else (part > part[i])
             j = np.flatnonzero(other)
             if len(j):
+                shared = keys[j] == keys[i]
+                j = j[keys[j, shared.argmax(axis=1)] == np.uint64(own)]
                 likely = likely_similarity(np.broadcast_to(rows[i], rows[j].shape), rows[j], np.full(len(j), n[i], float), n[j].astype(float))
                 j = j[likely >= least]
+                j = np.array([k for k in j.tolist() if _similar(sets[i], sets[k], percent)], dtype=np.int64)
                 a.extend(np.minimum(node[i], node[j]).tolist())
                 b.extend(np.maximum(node[i], node[j]).tolist())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -136,7 +147,10 @@ class _Search:
         shared = keyed.groupBy("bucket").agg(F.count("*").alias("classes")).filter("classes > 1")
         # Written, as are other sums that rows of hot keys are joined to: a join of two shuffles can be split.
         shared = written(shared, "shared")
-        self.buckets = written(keyed.join(shared, "bucket"), "buckets")
+        buckets = written(keyed.join(shared, "bucket"), "buckets")
+        # How many classes a class meets: the original of a group of copies meets the most.
+        met = written(buckets.groupBy("node").agg(F.sum("classes").alias("met")), "met")
+        self.buckets = written(buckets.join(met, "node"), "buckets")
         self.labels = None  # node, component of linked classes
 
     def labelled(self) -> DataFrame:
@@ -148,7 +162,7 @@ class _Search:
     def round(self, turn: int) -> DataFrame:
         """One candidate for every component but one in every bucket."""
         rows = self.labelled()
-        by = F.struct(F.xxhash64(F.lit(turn), "node").alias("by"), F.col("node"), F.col("component"))
+        by = F.struct((-F.col("met")).alias("by"), F.xxhash64(F.lit(turn), "node").alias("then"), F.col("node"), F.col("component"))
         each = rows.groupBy("bucket", "component").agg(F.min(by).alias("one")) if turn else rows.select("bucket", "component", by.alias("one"))
         main = each.groupBy("bucket").agg(F.min("one").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
         main = written(main, "main")
@@ -163,29 +177,34 @@ class _Search:
         return met.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely(self.least), "a long, b long")
 
     def apart(self) -> DataFrame:
-        """Likely pairs of classes that share a bucket and are in different components yet."""
+        """Links between classes that share a bucket and are in different components yet."""
         rows = self.labelled()
         mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
         mixed = written(mixed, "mixed")
         parts = F.ceil(F.col("classes") / BLOCK).cast("int")
-        rows = rows.join(mixed, "bucket").join(self.classes.select("node", "n", "registers"), "node")
+        rows = written(rows.drop("met").join(mixed, "bucket"), "rows")
+        rows = rows.join(self.sets(rows.select("node").distinct()), "node").join(self.classes.select("node", "n", "registers"), "node")
         rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
         found = rows.groupBy("bucket", "low", "high").applyInArrow(_compare(self.percent, self.least), "a long, b long")
-        return found.distinct()
+        return written(found.distinct(), "confirmed")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are similar by their full sets."""
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        reps = written(nodes.join(self.classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id"), "involved")
-        reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
-        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"])).select("node", "text")
-        sets = written(texts.mapInArrow(_sets(self.size), "node long, set binary").dropDuplicates(["node"]), "sets")
+        sets = self.sets(nodes)
         of = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"s_{end}"))
         met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b")
         return written(met.mapInArrow(_confirm(self.percent), "a long, b long"), "confirmed")
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node and set of classes, from the text of one member each."""
+        reps = written(nodes.join(self.classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id"), "involved")
+        reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"])).select("node", "text")
+        return written(texts.mapInArrow(_sets(self.size), "node long, set binary").dropDuplicates(["node"]), "sets")
+
     def link(self, links: DataFrame) -> None:
         """Join the components that links connect."""
         if self.labels is None:
@@ -208,7 +227,7 @@ class _Search:
             if links.isEmpty():
                 break
             self.link(links)
-        links = self.confirm(written(self.apart(), "likely"))
+        links = self.apart()
         if not links.isEmpty():
             self.link(links)
         linked = self.classes.select("node", "rep")
