@@ -26,7 +26,7 @@ from seriesweave.llm.tables import written
 DATA_BLOCK = 4096
 QUERY_BLOCK = 256
 MOST_PIVOTS = 1024
-LEAF = 64
+LEAF = 128
 GROUPS = 8  # parts that blocks of data are dealt to when pairs of blocks are bounded
 NONE = np.iinfo(np.int64).min + 1  # its negative is a number too
 SLACK = 1e-6  # relative, against rounding of radii and norms
@@ -102,6 +102,10 @@ class Best:
         return int(np.maximum(self.scores[rows, -1], self.floor[rows]).min())
 
     def add(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+        better = scores.max(axis=1) >= np.maximum(self.scores[rows, -1], self.floor[rows])
+        if not better.any():
+            return
+        rows, scores = np.arange(rows.start, rows.stop)[better], scores[better]
         scores = np.concatenate([self.scores[rows], scores], axis=1)
         ids = np.concatenate([self.ids[rows], np.broadcast_to(ids, (len(scores), len(ids)))], axis=1)
         order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
