@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesweave.llm.tables import new_dir, written
+from seriesweave.llm.tables import new_dir, small_batches, written
 from seriesweave.llm.tokens import default_tokenizer, encoder
 
 # Fixed values of the public seekable format.
@@ -133,6 +133,7 @@ def write_ids(
     Bounds between files are quantiles of doc_id; only they go through the driver, one
     number per file. Texts are encoded and compressed before the shuffle.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*COLUMNS)
     count = docs.count()
     files = max(1, -(-count // docs_per_file))

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from seriesweave.llm.components import components
 from seriesweave.llm.setsketch import REGISTERS, bands, digests, likely_similarity, registers, shingle_sets
-from seriesweave.llm.tables import written
+from seriesweave.llm.tables import small_batches, written
+from seriesweave.llm.tokens import release
 
 ROUNDS = 2
 BLOCK = 1024
@@ -32,6 +33,7 @@ def _sketch(size: int):
     names = ["doc_id", "n", "node", "registers"]
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in tables:
             doc_ids, texts = table.column(0), table.column(1).to_pylist()
             for a, hashes, ends in shingle_sets(texts, size):
@@ -74,6 +76,7 @@ def _sets(size: int):
     """node and set of those texts that are of that class."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in tables:
             nodes, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
             for a, hashes, ends in shingle_sets(texts, size):
@@ -137,6 +140,7 @@ def _compare(percent: int, least: float):
 
 class _Search:
     def __init__(self, docs: DataFrame, size: int, percent: int):
+        small_batches(docs.sparkSession)
         self.docs, self.size, self.percent = docs, size, percent
         self.least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
         kind = "doc_id long, n long, node long, registers binary"

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesweave.llm.tables import small_batches
 from seriesweave.llm.tokens import default_tokenizer, encoder
 
 END_ID = 1
@@ -55,6 +56,7 @@ def token_pieces(
     A null text is an empty one: its only piece is the end id. Repeated rows give their
     pieces again. with_ids adds the ids as little-endian unsigned 32-bit bytes.
     """
+    small_batches(docs.sparkSession)
     run = _pieces(tokenizer or default_tokenizer(), length, end_id, with_ids)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 

@@ -183,3 +183,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Forget encoders and their words; for a worker that goes on to another operator."""
+    encoder.cache_clear()

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesweave.llm.tables import written
+from seriesweave.llm.tables import small_batches, written
+from seriesweave.llm.tokens import release
 from seriesweave.llm.words import NO_LETTER, batches, mix, words
 
 EXAMPLES = 10_000
@@ -201,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     vocabulary = Vocabulary([tuple(r) for r in best])
 
     def frequencies(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, rows = np.zeros(vocabulary.size, dtype=np.int64), 0
         for table in tables:
             _, feature, _ = vocabulary.vectors(table.column(0).to_pylist())
@@ -234,10 +236,12 @@ def score(docs: DataFrame, labels: DataFrame, index: Index | None = None) -> Dat
 
     A null or empty text has no features. Without labels every score is 0.
     """
+    small_batches(docs.sparkSession)
     index = fit(docs, labels) if index is None else index
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for table in tables:
             text, feature, count = model.vocabulary.vectors(table.column(1).to_pylist())

@@ -73,7 +73,7 @@ def words(texts: list[str | None], lower: bool = True, between: np.ndarray = _SP
     return Words(data, starts, ends, np.searchsorted(starts, at), sums)
 
 
-def batches(texts: list[str | None], most: int = 4_000_000):
+def batches(texts: list[str | None], most: int = 500_000):
     """Split a list of texts into runs (start, stop) of about `most` characters."""
     start, size = 0, 0
     for i, text in enumerate(texts):
