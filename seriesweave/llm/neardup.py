@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesweave.llm.components import components
@@ -26,23 +26,23 @@ from seriesweave.llm.tokens import release
 
 ROUNDS = 2
 BLOCK = 1024
-BROADCAST_ROWS = 1_000_000  # of 8 bytes; above, a shuffle
+BROADCAST_ROWS = 1_000_000  # of at most 16 bytes; above, a shuffle
 
 
 def _sketch(size: int):
-    names = ["doc_id", "n", "node", "registers"]
+    names = ["doc_id", "text_key", "n", "node", "registers"]
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for table in tables:
-            doc_ids, texts = table.column(0), table.column(1).to_pylist()
+            doc_ids, texts, keys = table.column(0), table.column(1).to_pylist(), table.column(2)
             for a, hashes, ends in shingle_sets(texts, size):
                 first, second = digests(hashes, ends)
                 n = np.diff(ends)
                 node = ((first ^ (second << np.uint64(1))) + n.astype(np.uint64)).view(np.int64)
                 rows = registers(hashes, ends)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), len(n), [None, pa.py_buffer(rows.tobytes())])
-                columns = [doc_ids.slice(a, len(n)), pa.array(n), pa.array(node), packed.cast(pa.binary())]
+                columns = [doc_ids.slice(a, len(n)), keys.slice(a, len(n)), pa.array(n), pa.array(node), packed.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -138,13 +138,18 @@ def _compare(percent: int, least: float):
     return run
 
 
+def _text_key(docs: DataFrame) -> Column:
+    """Tells apart the texts of rows that repeat an id."""
+    return F.xxhash64(docs["text"]).alias("text_key")
+
+
 class _Search:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         small_batches(docs.sparkSession)
         self.docs, self.size, self.percent = docs, size, percent
         self.least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-        kind = "doc_id long, n long, node long, registers binary"
-        self.sketches = written(docs.mapInArrow(_sketch(size), kind), "sketches")
+        kind = "doc_id long, text_key long, n long, node long, registers binary"
+        self.sketches = written(docs.select("doc_id", "text", _text_key(docs)).mapInArrow(_sketch(size), kind), "sketches")
         filled = self.sketches.filter("n > 0")
         self.classes = written(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
         keyed = self.classes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
@@ -240,11 +245,11 @@ class _Search:
             first = written(named.groupBy("component").agg(F.min("rep").alias("first")), "first")
             linked = named.join(first, "component").select("node", F.col("first").alias("rep"))
         linked = written(linked, "linked")
-        rows = self.sketches.select("doc_id", "n", "node")
-        full = rows.filter("n > 0").join(linked, "node").select("doc_id", "n", F.col("rep").alias("component_id"))
-        out = full.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        rows = self.sketches.select("doc_id", "text_key", "n", "node")
+        full = rows.filter("n > 0").join(linked, "node").select("doc_id", "text_key", "n", F.col("rep").alias("component_id"))
+        out = full.unionByName(rows.filter("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id")))
         kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+        return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -256,19 +261,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     or null, has an empty set and no links. Rows that repeat an id are rows of their own and
     are kept together; null ids are linked, but never name a component that has others.
     """
-    return _Search(docs.select("doc_id", "text"), size, percent).run()
+    return _Search(docs.select("doc_id", "text"), size, percent).run().drop("text_key")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but the document with the smallest doc_id of each component, all columns kept.
 
-    Rows without an id stay. Of rows that agree in id and text one stays.
+    Rows without an id stay. A row goes by its id and text: of rows that repeat an id, those
+    stay whose own component has that id. Of rows that agree in id and text one stays.
     """
-    found = near_duplicates(docs, size, percent)
-    gone = written(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    again = not found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    rows = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if again:
-        rows = rows.dropDuplicates(["doc_id", "text"])
-    return rows
+    found = _Search(docs.select("doc_id", "text"), size, percent).run().filter("doc_id is not null")
+    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("kept").alias("stays"), F.count("*").alias("times"))
+    keys = written(keys.filter("not stays or times > 1"), "keys")
+
+    def of(some: DataFrame) -> tuple[DataFrame, Column]:
+        some = some.select("_id", "_key")
+        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        return some, (docs["doc_id"] == some["_id"]) & (_text_key(docs) == some["_key"])
+
+    again = keys.filter("stays")
+    if again.isEmpty():
+        return docs.join(*of(keys), "left_anti")
+    # Only repeated rows are shuffled with their texts.
+    repeated = docs.join(*of(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(*of(keys), "left_anti").unionByName(repeated)

@@ -83,6 +83,17 @@ def test_keep_one(edge_docs, no_docs):
     assert neardup.keep_one(no_docs).collect() == [] and neardup.near_duplicates(no_docs).collect() == []
 
 
+def test_keep_one_decides_by_row(make_docs, monkeypatch):
+    """A repeated id whose texts fall in different components, equal rows, and equal rows without an id."""
+    base, other, third = random_texts(3, seed=31, words=400, vocabulary=3000, lines=False)
+    rows = [(3, base), (7, base + " end"), (7, other), (8, other), (9, third), (9, third), (None, "no id here"), (None, "no id here"), (5, None), (5, None)]
+    want = sorted([(3, base), (7, other), (9, third), (None, "no id here"), (None, "no id here"), (5, None)], key=str)
+    docs = make_docs(rows, clashing=True)
+    assert sorted(((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()), key=str) == want
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert sorted(((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()), key=str) == want
+
+
 def test_shingles_of_every_length():
     texts = ["", None, "a", "a b", "a b c a b c", "  x\ty\n", "z " * 50]
     for size in (1, 2, 5):
