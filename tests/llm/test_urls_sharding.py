@@ -76,6 +76,35 @@ def test_shards_are_even_and_groups_together(make_docs, hot):
     assert len(split_groups) <= (2 if hot < 400 else 30)
 
 
+@pytest.mark.parametrize("hot", [0, 1])
+def test_no_group_within_a_quota_is_split(make_docs, hot):
+    """Every text has copies; one group holds a third of all rows, or none does."""
+    texts = random_texts(300, seed=6, words=40)
+    rows = [(i * 10 + k, t) for i, t in enumerate(texts) for k in range(2 + i % 3)]
+    mean = sum(len(t) + 1 for _, t in rows) // len(rows)
+    rows += [(100000 + i, "z" * (mean - 1)) for i in range(hot * len(rows) // 2)]
+    got = sharding.shard(make_docs(rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    sizes, places, of = Counter(), defaultdict(set), dict(rows)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        places[of[r.doc_id]].add(r.shard)
+    quota = sum(sizes.values()) / 16
+    held = Counter(t for _, t in rows)
+    assert [t for t, s in places.items() if len(s) > 1 and held[t] * (len(t) + 1) <= quota] == []
+    assert all(abs(sizes[s] - quota) < 0.1 * quota for s in range(16))
+
+
+def test_full_shards_change_places(spark):
+    """Every document has links and quotas leave no room: what leaves makes room for what comes."""
+    nodes = spark.createDataFrame([(i, 10) for i in range(800)], "node long, size long")
+    links = spark.createDataFrame([(g * 5 + k, g * 5) for g in range(160) for k in range(1, 5)], "src long, dst long")
+    got = sharding.propagate(nodes, links, 4, 2200.0).collect()
+    shard = {r.node: r.shard for r in got}
+    assert max(Counter(shard.values()).values()) <= 230
+    assert sum(len({shard[g * 5 + k] for k in range(5)}) > 1 for g in range(160)) <= 24
+
+
 def test_propagation_follows_links(spark):
     nodes = spark.createDataFrame([(i, 10) for i in range(400)], "node long, size long")
     cliques = [(a, b) for g in range(40) for a in range(g * 10, g * 10 + 10) for b in range(g * 10, a)]
