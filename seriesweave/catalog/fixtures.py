@@ -256,18 +256,21 @@ def legacy_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recorder_statistics(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Hourly statistics in the layout with an id dictionary and text reset marks."""
-    rows = statistics(spark, sf_dir).where(F.col("table") == "statistics")
+    """Both statistics tables in the layout with an id dictionary and text reset marks."""
+    rows = statistics(spark, sf_dir)
     key = F.substring_index(F.substring("series_id", 9, 40), "_", 1).cast("bigint") * 2
-    return {
-        "statistics": rows.select(
+    stored = {
+        table: rows.where(F.col("table") == table).select(
             F.col("row_id").alias("id"),
             (key + F.when(F.col("series_id").endswith("_old"), 0).otherwise(1)).alias("metadata_id"),
             "start_ts",
             "state",
             "sum",
             F.date_format(F.timestamp_seconds("last_reset_ts"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("last_reset"),
-        ),
+        )
+        for table in INTERVALS
+    }
+    return stored | {
         "statistics_meta": recorder_states(spark, sf_dir)["states_meta"].select(
             F.col("metadata_id").alias("id"), F.col("entity_id").alias("statistic_id")
         ),

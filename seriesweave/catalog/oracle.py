@@ -313,6 +313,22 @@ later_rows AS (
 
 GENERATED = f"SELECT {STAT_COLUMNS} FROM generated"
 ALL_KINDS = generation(None, from_zero=True)
+#: The statistics as they are stored: reset marks as text, no values but state and sum.
+STORED = """
+stored AS (
+  SELECT series_id, tbl, i, start_ts, row_id, state, sum, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS mn, CAST(NULL AS DOUBLE) AS mx,
+         strftime(make_timestamp(CAST(last_reset_ts AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_reset,
+         CAST(NULL AS DOUBLE) AS last_reset_ts, CAST(NULL AS DOUBLE) AS created_ts FROM stats)"""
+
+
+def from_stored(kind: str | None) -> str:
+    """``generation`` of both tables from ``stored``."""
+    made = generation(kind, "both", True, marks="text").replace("\nusable AS (", f"{STORED},\nusable AS (")
+    made = made.replace("FROM stats s JOIN", "FROM stored s JOIN")
+    epoch = "epoch(try_cast(replace(substr(last_reset, 1, 19), 'T', ' ') AS TIMESTAMP))"  # copied rows derive it from the text
+    return made.replace("last_reset, CAST(NULL AS DOUBLE) AS last_reset_ts\n  FROM stored", f"last_reset, {epoch} AS last_reset_ts\n  FROM stored")
+
+
 
 REGISTRY = """
 docs AS (
@@ -442,11 +458,14 @@ WHERE n.p IS NULL OR o.p IS NULL OR o.value IS NOT NULL OR n.value IS NOT NULL""
     + """SELECT series_id, tbl AS "table", start_ts,
        strftime(make_timestamp(CAST(last_reset_ts AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_reset
 FROM stats WHERE tbl = 'statistics' AND last_reset_ts IS NOT NULL""",
+    "last_reset_rows_text_both": _with(F, STORED)
+    + 'SELECT series_id, tbl AS "table", start_ts, last_reset FROM stored WHERE last_reset IS NOT NULL',
     "state_resets_increasing": _with(F, numeric_states()) + state_events(FELL),
     "state_resets_dense": _with(fixture("type"), numeric_states()) + state_events(FELL),
     "state_resets_total": _with(F, numeric_states()) + state_events(MARKED_AGAIN, "mark AS last_reset_ts,"),
     "statistics_resets_increasing": _with(F, valued("stats")) + stat_events(FELL),
     "statistics_resets_total": _with(F, valued("stats")) + stat_events(MARKED_AGAIN),
+    "statistics_resets_text": _with(F, valued("stats")) + stat_events(MARKED_AGAIN),
     "statistics_resets_any_fall": _with(F, valued("stats")) + stat_events("v < pv"),
     "reset_report": _with(F, CLASSES, numeric_states(), valued("stats"))
     + f""", events_of_states AS (
@@ -528,6 +547,15 @@ WHERE series_id IN (SELECT new_id FROM eligible) GROUP BY ALL""",
     "replace_series_target_rows": _with(generation("total", "hourly", True, marks="text"))
     + """SELECT CAST(substr(split_part(series_id, '_', 1), 9) AS BIGINT) * 2 + 1 AS metadata_id,
        start_ts, state, sum, last_reset FROM generated""",
+    "replace_series_target_rows_both": _with(from_stored("total"))
+    + """SELECT tbl AS "table", CAST(substr(split_part(series_id, '_', 1), 9) AS BIGINT) * 2 + 1 AS metadata_id,
+       start_ts, state, sum, last_reset FROM generated""",
+    "replace_series_both_tables": _with(from_stored(None))
+    + f"""SELECT {STAT_COLUMNS} FROM (SELECT * FROM stored WHERE series_id NOT IN (SELECT new_id FROM pairs)
+  UNION ALL SELECT * FROM generated)""",
+    "splice_text_marks": _with(from_stored(None), CLASSES, ELIGIBLE)
+    + f"""SELECT {STAT_COLUMNS} FROM (SELECT * FROM stored WHERE series_id NOT IN (SELECT new_id FROM eligible)
+  UNION ALL SELECT * FROM generated WHERE series_id IN (SELECT new_id FROM eligible))""",
     "pairs_without_target_id": _with(pairs(), CLASSES)
     + """SELECT new_id, old_id, kind, zero AS started_from_0, 'no target id' AS reason FROM pairs
 WHERE new_id NOT IN (SELECT series_id FROM classes WHERE state_class <> 'measurement')""",
@@ -570,6 +598,7 @@ FROM readings r JOIN events e ON e.event_id = r.row_id""".replace("floor(ts)", "
        CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max,
        strftime(make_timestamp(CAST(last_reset_ts AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_reset,
        CAST(NULL AS DOUBLE) AS last_reset_ts, CAST(NULL AS DOUBLE) AS created_ts FROM stats WHERE tbl = 'statistics'""",
+    "statistics_from_dictionaries": _with(F, STORED) + f"SELECT {STAT_COLUMNS} FROM stored",
     "statistics_of_successors": _with(F, pairs(None))
     + f"SELECT {STAT_COLUMNS} FROM stats WHERE series_id IN (SELECT new_id FROM pairs WHERE kind = 'total')",
     "state_numbers": _with(F)

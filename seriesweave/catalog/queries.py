@@ -121,6 +121,10 @@ def last_reset_rows_text(spark, sf_dir):
     return profile.last_reset_rows(canonical_statistics(stored["statistics"], stored["statistics_meta"]), "text")
 
 
+def last_reset_rows_text_both(spark, sf_dir):
+    return profile.last_reset_rows(_stored(spark, sf_dir), "text")
+
+
 # --- resets -----------------------------------------------------------------
 
 
@@ -144,6 +148,10 @@ def statistics_resets_total(spark, sf_dir):
     return quality.statistics_resets(fx.statistics(spark, sf_dir), "total")
 
 
+def statistics_resets_text(spark, sf_dir):
+    return quality.statistics_resets(_stored(spark, sf_dir), "total", "text")
+
+
 def statistics_resets_any_fall(spark, sf_dir):
     return quality.statistics_resets(fx.statistics(spark, sf_dir), None)
 
@@ -352,6 +360,35 @@ def replace_series_target_rows(spark, sf_dir):
     return as_target_rows(generated, stored["statistics"].drop("id"), stored["statistics_meta"], fx.RUN_TS)
 
 
+def _generated_from_stored(spark, sf_dir, kind):
+    pairs = fx.replacements(spark, sf_dir, kind, True)
+    return generate(fx.states(spark, sf_dir), _stored(spark, sf_dir), pairs, INTERVALS, run_ts=fx.RUN_TS, last_reset_as="text")
+
+
+def replace_series_target_rows_both(spark, sf_dir):
+    stored = fx.recorder_statistics(spark, sf_dir)
+    generated = _generated_from_stored(spark, sf_dir, "total")
+    hourly, short = (
+        as_target_rows(generated.where(F.col("table") == t), stored[t].drop("id"), stored["statistics_meta"], fx.RUN_TS).withColumn("table", F.lit(t))
+        for t in INTERVALS
+    )
+    return hourly.unionByName(short)
+
+
+def replace_series_both_tables(spark, sf_dir):
+    """Both tables as stored, with reset marks only as text."""
+    pairs = fx.replacements(spark, sf_dir, None, True)
+    return replace_series(_stored(spark, sf_dir), _generated_from_stored(spark, sf_dir, None), pairs)
+
+
+def splice_text_marks(spark, sf_dir):
+    pairs = fx.replacements(spark, sf_dir).select("old_id", "new_id")
+    parts = splice(
+        pairs, fx.classes(spark, sf_dir), fx.states(spark, sf_dir), _stored(spark, sf_dir), run_ts=fx.RUN_TS, last_reset_as="text"
+    )
+    return parts["result"]
+
+
 def pairs_without_target_id(spark, sf_dir):
     # A dictionary that knows only the sensors that count something.
     counting = fx.classes(spark, sf_dir).where("state_class <> 'measurement'")
@@ -433,6 +470,17 @@ def statistics_from_dictionary(spark, sf_dir):
     return canonical_statistics(stored["statistics"], stored["statistics_meta"])
 
 
+def _stored(spark, sf_dir):
+    """Both stored tables, canonical."""
+    stored = fx.recorder_statistics(spark, sf_dir)
+    hourly, short = (canonical_statistics(stored[t], stored["statistics_meta"], table=t) for t in INTERVALS)
+    return hourly.unionByName(short)
+
+
+def statistics_from_dictionaries(spark, sf_dir):
+    return _stored(spark, sf_dir)
+
+
 def statistics_of_successors(spark, sf_dir):
     wanted = fx.replacements(spark, sf_dir, None).where("kind = 'total'")
     return only_series(fx.statistics(spark, sf_dir), wanted, "new_id")
@@ -478,11 +526,13 @@ QUERIES: dict[str, Query] = {
         latest_statistics,
         last_reset_rows,
         last_reset_rows_text,
+        last_reset_rows_text_both,
         state_resets_increasing,
         state_resets_dense,
         state_resets_total,
         statistics_resets_increasing,
         statistics_resets_total,
+        statistics_resets_text,
         statistics_resets_any_fall,
         reset_report,
         generate_increasing_hourly,
@@ -512,6 +562,9 @@ QUERIES: dict[str, Query] = {
         splice_result,
         replace_series_result,
         replace_series_target_rows,
+        replace_series_target_rows_both,
+        replace_series_both_tables,
+        splice_text_marks,
         pairs_without_target_id,
         registry_entities,
         registry_errors,
@@ -524,6 +577,7 @@ QUERIES: dict[str, Query] = {
         states_for_detection,
         states_from_legacy,
         statistics_from_dictionary,
+        statistics_from_dictionaries,
         statistics_of_successors,
         state_numbers,
         reset_mark_times,

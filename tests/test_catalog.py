@@ -42,3 +42,11 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).columns[0] == "series_id"
+
+
+@pytest.mark.parametrize(
+    "name", ["statistics_from_dictionaries", "last_reset_rows_text_both", "replace_series_target_rows_both", "replace_series_both_tables", "splice_text_marks", "statistics_resets_text"]
+)
+def test_stored_tables_of_both_grains(spark, name):
+    tables = {r["table"] for r in QUERIES[name](spark, SF_DIR).select("table").distinct().collect()}
+    assert tables == {"statistics", "statistics_short_term"}
