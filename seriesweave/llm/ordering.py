@@ -10,15 +10,17 @@ from seriesweave.llm.tables import written
 _WITHIN = (1 << 33) - 1
 
 
-def in_order(df: DataFrame, *order: Column, sums: tuple[str, ...] = ()) -> DataFrame:
+def in_order(df: DataFrame, *order: Column, sums: tuple[str, ...] = (), leave: tuple[str, ...] = ()) -> DataFrame:
     """Add `position` (from 0) in the given order, and before_<c>, the sum of c over earlier rows.
 
+    Columns named in `leave` serve the order alone and are left out of the result.
+
     Rows are range partitioned, sorted and written once with their place, so that retried
     tasks see the same order; offsets come from one total per partition. Give an order that
     tells rows apart: rows equal in all of it meet in one partition and are numbered as they come.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(placed.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    placed = written(placed.withColumn("_place", F.monotonically_increasing_id()).drop(*leave), "ordered")
     part = F.shiftrightunsigned("_place", 33)
     totals = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{c}") for c in sums))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesweave.llm import binary, fingerprints, lines, mixing, neardup, packing, sharding, topk, toxicity, urls
+from seriesweave.llm import binary, fingerprints, lines, mixing, neardup, packing, repair, sharding, topk, toxicity, urls
 from seriesweave.llm.tables import read
 
 
@@ -60,10 +60,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(read(spark, sf_dir, "documents"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op5_top_k, op6_near_duplicates, op7_fingerprints, op8_toxicity, op9_sharding, op10_token_files)
-}
+    for f in (
+        op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op5_top_k, op6_near_duplicates, op7_fingerprints, op8_toxicity,
+        op9_sharding, op10_token_files, op13_structure_repair,
+    )
+}
 
 ORACLE = {
     "op3_line_dedup": """
