@@ -184,7 +184,7 @@ def _members(prefixes: DataFrame, convs: DataFrame) -> DataFrame:
 
 
 def _tour(nodes: DataFrame) -> DataFrame:
-    """node, its n_children, and next_in and next_out, the arcs after its enter arc 2 * node and its exit arc 2 * node + 1."""
+    """node, its n_children, and next_in and next_out, the arcs after its enter arc 2 * node and its exit arc 2 * node + 1 (-1: none)."""
     below = nodes.filter("parent is not null").select("node", "parent").withColumn("_back", -F.col("node"))
     below = with_previous(below, ["parent"], ["_back"], {"_next": F.struct("node")}, chunking=Chunking(CELL))
     last = F.col("parent") * 2 + 1
@@ -195,7 +195,7 @@ def _tour(nodes: DataFrame) -> DataFrame:
         "node",
         F.coalesce("n_children", F.lit(0)).alias("n_children"),
         F.coalesce(F.col("_first") * 2, F.col("node") * 2 + 1).alias("next_in"),
-        "next_out",
+        F.coalesce("next_out", F.lit(-1)).alias("next_out"),
         ((F.col("n_convs") - 1) * F.col("size")).alias("saved"),
     )
 
@@ -207,7 +207,7 @@ def _shorten(block: pd.DataFrame) -> pd.DataFrame:
     arcs = np.empty(2 * len(nodes), np.int64)
     arcs[::2], arcs[1::2] = 2 * nodes, 2 * nodes + 1
     out = np.empty_like(arcs)
-    out[::2], out[1::2] = block["next_in"], block["next_out"].fillna(-1).astype(np.int64)
+    out[::2], out[1::2] = block["next_in"], block["next_out"]
     sums = np.zeros((len(arcs), 3), np.int64)
     sums[:, 0] = 1
     sums[::2, 1] = block["n_children"] == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesweave.llm import binary, fingerprints, lines, mixing, neardup, packing, prefixtrie, repair, sharding, topk, toxicity, urls
+from seriesweave.llm import binary, fingerprints, lines, mixing, neardup, packing, prefixtrie, repair, secrets, sharding, topk, toxicity, urls
 from seriesweave.llm.tables import read
 
 
@@ -60,6 +60,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(read(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.family_trie(read(spark, sf_dir, "conversations"))
 
@@ -72,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_best_fit_packing, op3_line_dedup, op4_url_filter, op5_top_k, op6_near_duplicates, op7_fingerprints, op8_toxicity,
-        op9_sharding, op10_token_files, op12_prefix_trie, op13_structure_repair,
+        op9_sharding, op10_token_files, op11_secret_scan, op12_prefix_trie, op13_structure_repair,
     )
 }
 

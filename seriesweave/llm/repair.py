@@ -28,7 +28,6 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,23 +191,19 @@ def _with_faults(ordered: DataFrame) -> DataFrame:
 # --- Pieces: a conversation's rows in one block ----------------------------------
 
 
-def _pieces(block: pd.DataFrame) -> Iterator[tuple[int | None, int, bytes]]:
-    """(conv_id, first position, kinds) of each piece in a block."""
-    block = block.sort_values("position")
-    ids = block["conv_id"]
-    fresh = (ids != ids.shift()) & ~(ids.isna() & ids.shift().isna())
-    fresh.iloc[0] = True
-    starts = [*fresh.to_numpy().nonzero()[0].tolist(), len(block)]
-    kinds, positions = bytes(block["kind"].astype("uint8")), block["position"].tolist()
-    ids = [None if pd.isna(x) else int(x) for x in ids.astype("Int64")]
-    for a, b in zip(starts[:-1], starts[1:]):
+def _pieces(block: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
+    """(conv_id, first position, kinds) of each piece in a block, which is sorted by position."""
+    ids, positions = block["conv_id"].to_pylist(), block["position"].to_pylist()
+    kinds = bytes(block["kind"].to_pylist())
+    starts = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+    for a, b in zip(starts, [*starts[1:], len(ids)]):
         yield ids[a], positions[a], kinds[a:b]
 
 
-def _summaries(block: pd.DataFrame) -> pd.DataFrame:
+def _summaries(block: pa.Table) -> pa.Table:
     """Per piece the forward vectors from all four states: 16 costs (absolute) and 16 ranks."""
     rows = []
-    for conv_id, position, kinds in _pieces(block):
+    for conv_id, position, kinds in _pieces(block.sort_by("position")):
         costs, ranks = [], []
         for state in range(4):
             vector, total = entering(state), 0
@@ -218,8 +213,8 @@ def _summaries(block: pd.DataFrame) -> pd.DataFrame:
             costs += [c + total if c < FAR else FAR for c, _ in vector]
             ranks += [rank for _, rank in vector]
         rows.append((conv_id, position, costs, ranks))
-    out = pd.DataFrame(rows, columns=["conv_id", "position", "costs", "ranks"])
-    return out.astype({"conv_id": "Int64"})
+    schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("costs", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32()))])
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 PIECE = "conv_id long, position long, costs array<long>, ranks array<int>"
@@ -266,12 +261,12 @@ def _ends(row: dict, state: int | None):
     return (row["conv_id"], row["position"], begin, end), end
 
 
-def _solved(block: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+def _solved(block: pa.Table, ends: pa.Table) -> pa.Table:
     """Every row of a block with its edits, given the states at the ends of its pieces."""
-    of = {p: (b, e) for p, b, e in zip(ends["position"], ends["begin"], ends["finish"])}
-    block = block.sort_values("position")
+    of = {p: (b, e) for p, b, e in zip(*(ends[c].to_pylist() for c in ("position", "begin", "finish")))}
+    block = block.sort_by("position")
     edits = [x for _, position, kinds in _pieces(block) for x in solve(kinds, *of[position])]
-    return block[["position", "kind", "fault"]].assign(edits=edits)
+    return block.select(["position", "kind", "fault"]).append_column("edits", pa.array(edits, pa.string()))
 
 
 def edited(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -282,11 +277,11 @@ def edited(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     ordered = _ordered(rows)
     kinds = written(_with_faults(ordered).withColumn("block", F.floor(F.col("position") / block)), "kinds")
-    pieces = written(kinds.drop("fault").groupBy("block").applyInPandas(_summaries, PIECE), "pieces")
+    pieces = written(kinds.drop("fault").groupBy("block").applyInArrow(_summaries, PIECE), "pieces")
     pieces = written(_streamed(pieces, _remaining, PIECE + ", behind array<long>", False), "pieces")
     ends = written(_streamed(pieces, _ends, "conv_id long, position long, begin int, finish int", True), "ends")
     ends = ends.withColumn("block", F.floor(F.col("position") / block)).groupBy("block")
-    found = kinds.groupBy("block").cogroup(ends).applyInPandas(_solved, "position long, kind int, fault string, edits string")
+    found = kinds.groupBy("block").cogroup(ends).applyInArrow(_solved, "position long, kind int, fault string, edits string")
     return ordered.join(found, "position")
 
 
