@@ -10,7 +10,8 @@ from ..functions.predicates import (
 )
 from ..functions.text import number_text, value_with_sum
 from ..functions.times import local_time
-from ..plans.timeline import DEFAULT_CHUNKING, Chunking, running_total, with_previous
+from ..plans.segments import segments
+from ..plans.timeline import DEFAULT_CHUNKING, Chunking
 from ..schema import DISPLAY_COLUMNS
 
 ENDS = ("earliest", "latest", "earliest_available", "latest_available")
@@ -156,31 +157,20 @@ def last_reset_rows(statistics: DataFrame, last_reset_as: str = "epoch") -> Data
 def _outages(rows: DataFrame, max_rows: int | None, chunking: Chunking) -> DataFrame:
     """Runs of unavailable rows as (series_id, table, start_ts, end_ts, row_count, value).
 
-    A run also ends where ``text`` changes. Whether a row begins a run depends on
-    the row before it; the runs of a series are numbered cell by cell. With
+    A run also ends where ``text``, if there is one, changes; see ``plans.segments`` for how runs are found. With
     ``max_rows``, series with more unavailable rows are left out as a whole.
     """
     keys = ["series_id", "table"]
     if max_rows is not None:
         counts = rows.where("unavailable").groupBy(*keys).agg(F.count("*").alias("_n"))
         rows = rows.join(counts.where(F.col("_n") > max_rows), keys, "left_anti")
-    marked = with_previous(
-        rows, keys, ["ts", "row_id"], {"before": F.struct("unavailable", "text")}, chunking=chunking
-    ).where("unavailable")
-    continues = F.col("before.unavailable") & F.col("before.text").eqNullSafe(F.col("text"))
-    begins = F.when(continues, 0).otherwise(1)
-    return (
-        running_total(marked, keys, ["ts", "row_id"], begins, "run", chunking)
-        .groupBy(*keys, "run")
-        .agg(
-            F.min("ts").alias("start_ts"),
-            F.max("ts").alias("end_ts"),
-            F.count("*").alias("row_count"),
-            F.max("text").alias("text"),  # one text per run
-        )
-        .where("start_ts is not null")
-        .select(*keys, "start_ts", "end_ts", "row_count", F.coalesce("text", F.lit("NULL")).alias("value"))
-    )
+    values = ["unavailable"]
+    if "text" in rows.columns:
+        # Texts of available rows do not matter: a whole stretch of them is one segment.
+        rows, values = rows.withColumn("text", F.when(F.col("unavailable"), F.col("text"))), ["unavailable", "text"]
+    runs = segments(rows, keys, ["ts", "row_id"], values, chunking)
+    value = F.coalesce("text", F.lit("NULL")) if "text" in values else F.lit("NULL")
+    return runs.where("unavailable and start_ts is not null").select(*keys, "start_ts", "end_ts", "row_count", value.alias("value"))
 
 
 def state_outages(states: DataFrame, max_rows: int | None = None, chunking: Chunking = DEFAULT_CHUNKING) -> DataFrame:
@@ -206,7 +196,6 @@ def statistics_outages(
         F.col("start_ts").alias("ts"),
         "row_id",
         statistics_unavailable().alias("unavailable"),
-        F.lit(None).cast("string").alias("text"),
     )
     return _outages(rows, max_rows, chunking)
 

@@ -88,12 +88,12 @@ def test_cells_are_dealt_out_under_any_join(spark, tables, name):
     assert re.search(r"- Exchange hashpartitioning\(.*_cell", text)
 
 
-def test_outage_runs_have_no_window_over_rows_of_a_whole_series(spark, tables):
-    text = plan(spark, lambda: profile.state_outages(tables[0]))
-    windows = re.findall(r"Window \[.*?\], \[(.*?)\]", text)
-    numbered = [w for w in windows if "_cell" not in w]
-    # Border rows, and one row per cell.
-    assert len(numbered) <= 3
+@pytest.mark.parametrize("name", ["state_outages", "statistics_outages"])
+def test_outage_runs_read_and_shuffle_rows_once(spark, tables, name):
+    text = plan(spark, lambda: NEIGHBOURS[name](*tables))
+    live = [l for l in text.splitlines() if "Reused" not in l]
+    assert sum("_cell" in l and "Exchange hashpartitioning" in l for l in live) == 1
+    assert "Join" not in text and "SortAggregate" not in text
 
 
 def test_planning_starts_no_job(spark, tables):

@@ -1,6 +1,12 @@
+import itertools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from seriesweave.operators import attributes, profile
+from seriesweave.plans.segments import segments
+from seriesweave.plans.timeline import Chunking
 
 
 def by_table(df):
@@ -98,3 +104,23 @@ def test_summary_comparison_counts_absent_series_as_empty(spark, states, statist
     assert (rows["states/row_count"].old_value, rows["states/row_count"].new_value) == ("1", "0")
     assert (rows["states/earliest/value"].new_value, rows["states/earliest/value"].diff) == ("null", "different")
     assert rows["states/unavailable_count"].diff == "same"
+
+
+@pytest.mark.parametrize("span", [10, 97, 86_400])
+def test_segments_do_not_depend_on_cells(spark, span):
+    """Against itertools.groupby, with rows without a time and stretches over many cells."""
+    rng = random.Random(span)
+    rows = []
+    for series in "abc":
+        value = "x"
+        for i in range(300):
+            value = rng.choice("xyz") if rng.random() < 0.2 else value
+            rows.append((series, None if i < 5 else float(i * 3), i, None if value == "z" else value))
+    frame = spark.createDataFrame(rows, "series_id string, ts double, row_id long, v string")
+    got = segments(frame, ["series_id"], ["ts", "row_id"], ["v"], Chunking(span)).collect()
+    expected = []
+    for (series, value), run in itertools.groupby(rows, key=lambda r: (r[0], r[3])):
+        times = [r[1] for r in run]
+        known = [t for t in times if t is not None]
+        expected.append((series, value, min(known, default=None), max(known, default=None), len(times)))
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
