@@ -14,6 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from seriesweave.catalog.queries import QUERIES
+from seriesweave.plans.settings import RECOMMENDED
 
 HEADLINE = (
     "missing_rows_hourly",
@@ -59,6 +60,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config(map=RECOMMENDED)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

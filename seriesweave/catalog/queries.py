@@ -10,7 +10,7 @@ from ..functions import numbers, times
 from ..functions.predicates import state_unavailable, statistics_available
 from ..functions.text import gap_text, reset_text, span_text
 from ..operators import attributes, diff, profile, quality
-from ..operators.generate import copied_rows, ends_of_predecessors, generate, generated_counts, preview
+from ..operators.generate import copied_rows, ends_of_predecessors, generate, generate_runs, generated_counts, preview
 from ..operators.splice import applied_changes, eligibility, quality_checks, splice
 from ..schema import INTERVALS
 from ..sources.registry import document_errors, entities_of, entity
@@ -164,8 +164,8 @@ def reset_report(spark, sf_dir):
 # --- generation -------------------------------------------------------------
 
 
-def _generated(spark, sf_dir, kind, tables, from_zero=False, by="user", **options) -> DataFrame:
-    return generate(
+def _generated(spark, sf_dir, kind, tables, from_zero=False, by="user", build=generate, **options) -> DataFrame:
+    return build(
         fx.states(spark, sf_dir, by),
         fx.statistics(spark, sf_dir, by),
         fx.replacements(spark, sf_dir, kind, from_zero, by),
@@ -175,6 +175,11 @@ def _generated(spark, sf_dir, kind, tables, from_zero=False, by="user", **option
     )
 
 
+def _runs(spark, sf_dir) -> DataFrame:
+    """All kinds and both tables, as runs."""
+    return _generated(spark, sf_dir, None, INTERVALS, True, build=generate_runs)
+
+
 def generate_increasing_hourly(spark, sf_dir):
     return _generated(spark, sf_dir, "total_increasing", HOURLY)
 
@@ -213,21 +218,21 @@ def copied_statistics(spark, sf_dir):
 
 def generated_gaps(spark, sf_dir):
     pairs = fx.replacements(spark, sf_dir, None, True)
-    return quality_checks(_generated(spark, sf_dir, None, INTERVALS, True), pairs)["gaps"]
+    return quality_checks(_runs(spark, sf_dir), pairs)["gaps"]
 
 
 def generated_resets(spark, sf_dir):
     pairs = fx.replacements(spark, sf_dir, None, True)
-    return quality_checks(_generated(spark, sf_dir, None, INTERVALS, True), pairs)["resets"]
+    return quality_checks(_runs(spark, sf_dir), pairs)["resets"]
 
 
 def generated_counts_by_table(spark, sf_dir):
-    return generated_counts(_generated(spark, sf_dir, None, INTERVALS, True))
+    return generated_counts(_runs(spark, sf_dir))
 
 
 def generated_preview(spark, sf_dir):
     return preview(
-        _generated(spark, sf_dir, None, INTERVALS, True),
+        _runs(spark, sf_dir),
         fx.statistics(spark, sf_dir),
         fx.replacements(spark, sf_dir, None, True),
     )
@@ -283,15 +288,12 @@ def changed_columns(spark, sf_dir):
 
 
 def change_report_condensed(spark, sf_dir):
-    return _flat_changes(diff.condense(_changes(spark, sf_dir)), "omitted_before")
+    before = fx.statistics(spark, sf_dir)
+    return _flat_changes(diff.condensed_report(before, _edited(before)), "omitted_before")
 
 
-def _planned(spark, sf_dir) -> DataFrame:
-    return diff.planned_changes(
-        fx.statistics(spark, sf_dir),
-        _generated(spark, sf_dir, None, INTERVALS, True),
-        fx.replacements(spark, sf_dir, None, True),
-    )
+def _planned(spark, sf_dir, report=diff.planned_changes) -> DataFrame:
+    return report(fx.statistics(spark, sf_dir), _runs(spark, sf_dir), fx.replacements(spark, sf_dir, None, True))
 
 
 def snapshot_after_predecessors(spark, sf_dir):
@@ -305,7 +307,7 @@ def planned_changes(spark, sf_dir):
 
 
 def planned_changes_condensed(spark, sf_dir):
-    return _flat_changes(diff.condense(_planned(spark, sf_dir)), "omitted_before")
+    return _flat_changes(_planned(spark, sf_dir, diff.planned_changes_condensed), "omitted_before")
 
 
 def applied_changes_after_swap(spark, sf_dir):

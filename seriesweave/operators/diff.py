@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import change_text, number_text
 from ..functions.times import local_time
+from ..plans.runs import SPAN, UNTIL, as_runs, dealt, expand, later_than
+from ..plans.timeline import CELL
 from ..schema import BLOCK_EDGE, TRIVIAL_CHANGES
 from .generate import ends_of_predecessors
 
@@ -27,13 +29,10 @@ def snapshot(statistics: DataFrame, cut: DataFrame | None = None, fold: bool = T
     """
     rows = statistics.where(F.col("start_ts").isNotNull())
     if cut is not None:
-        rows = (
-            rows.join(cut, ["series_id", "table"], "left")
-            .where("cut_ts is null or start_ts > cut_ts")
-            .drop("cut_ts")
-        )
+        rows = later_than(rows.join(cut, ["series_id", "table"], "left"), F.col("cut_ts")).drop("cut_ts")
     if not fold:
         return rows
+    rows, statistics = expand(rows), statistics.drop(UNTIL)
     others = [c for c in statistics.columns if c not in (*_KEYS, "row_id")]
     newest = F.max(F.struct("row_id", *others)).alias("row")
     return rows.groupBy(*_KEYS).agg(newest).select(*_KEYS, "row.*").select(*statistics.columns)
@@ -46,37 +45,65 @@ def _same(name: str, before: Column, after: Column) -> Column:
     return before.eqNullSafe(after)
 
 
+def _compared(before: DataFrame, after: DataFrame, columns: Sequence[str], reach: int) -> DataFrame:
+    """The changed rows of ``change_report``, still dealt out by cell: with ``_cell`` and ``_own``, see ``plans.runs.dealt``.
+
+    Rows of both versions are dealt out once. Within a cell they are sorted by start and
+    version, and the last row of every start looks back at the last old one: no aggregate over
+    structs, and what follows finds its rows in order.
+    """
+    own = [*_KEYS, "interval_s", "row_id", *columns, UNTIL]
+    side = lambda df, n: as_runs(df.where(F.col("start_ts").isNotNull())).select(*own, F.lit(n).alias("_side"))
+    rows = dealt(side(before, 0).unionByName(side(after, 1)), reach)
+    order = Window.partitionBy("series_id", "table", CELL).orderBy("start_ts", "_side", "row_id", *columns)
+    version = F.struct("start_ts", *columns)
+    rows = rows.withColumns(
+        {
+            "_next": F.lead("start_ts").over(order),
+            "old": F.last(F.when(F.col("_side") == 0, version), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    ).where("_next is null or _next <> start_ts")
+
+    rows = rows.select(
+        *_KEYS,
+        "interval_s",
+        CELL,
+        "_own",
+        F.when(F.col("_side") == 1, F.struct(*columns)).alias("new"),
+        F.when(F.col("old.start_ts") == F.col("start_ts"), F.col("old")).alias("old"),
+    )
+    old, new = (lambda name: F.col(f"old.{name}")), (lambda name: F.col(f"new.{name}"))
+    # Which rows differ is decided first, and on plain columns.
+    rows = rows.where(~reduce(and_, (_same(c, old(c), new(c)) for c in columns)))
+
+    def change(name: str) -> Column:
+        delta = F.lit(None).cast("double") if name in (*_TEXTS, *_TIMES) else new(name) - old(name)
+        found = F.struct(old(name).alias("old"), new(name).alias("new"), delta.alias("delta"))
+        return F.when(~_same(name, old(name), new(name)), found).alias(name)
+
+    return rows.select(*_KEYS, "interval_s", CELL, "_own", *(change(c) for c in columns))
+
+
 def change_report(before: DataFrame, after: DataFrame, columns: Sequence[str] = COMPARED) -> DataFrame:
     """Rows whose values differ between two versions, aligned by series, table and start.
 
     Every compared column becomes a struct ``(old, new, delta)``, NULL where both
     sides agree; ``delta`` is NULL for texts, times and one-sided values. Rows that
     exist on one side only compare against NULLs. Of several rows with one start
-    the one with the highest row id stands.
-
-    Both versions meet in one aggregation, which drops copies before the shuffle
-    and is the only shuffle there is. Grouping by a hash of the key first makes its
-    sorts cheap: series ids mostly begin alike, so comparing them takes long.
+    the one with the highest row id stands. Either version may consist of runs.
     """
-    sides = before.select(*_KEYS, "interval_s", "row_id", *columns, F.lit("old").alias("side")).unionByName(
-        after.select(*_KEYS, "interval_s", "row_id", *columns, F.lit("new").alias("side"))
-    )
-    entry = F.struct("row_id", *columns)
-    pairs = sides.groupBy(F.xxhash64(*_KEYS).alias("_key"), *_KEYS).agg(
-        F.max("interval_s").alias("interval_s"),
-        F.max(F.when(F.col("side") == "old", entry)).alias("old"),
-        F.max(F.when(F.col("side") == "new", entry)).alias("new"),
-    )
+    return _compared(before, after, columns, 0).drop(CELL, "_own")
 
-    def change(name: str) -> Column:
-        old, new = F.col(f"old.{name}"), F.col(f"new.{name}")
-        delta = F.lit(None).cast("double") if name in (*_TEXTS, *_TIMES) else new - old
-        return F.when(
-            ~_same(name, old, new), F.struct(old.alias("old"), new.alias("new"), delta.alias("delta"))
-        ).alias(name)
 
-    changed = pairs.select(*_KEYS, "interval_s", *(change(c) for c in columns))
-    return changed.where(_any_change(columns))
+def condensed_report(
+    before: DataFrame, after: DataFrame, trivial: Sequence[str] = TRIVIAL_CHANGES, columns: Sequence[str] = COMPARED
+) -> DataFrame:
+    """``condense`` of ``change_report``, with one shuffle for both.
+
+    Every cell gets the few rows beyond its borders that its decisions look at before rows are
+    shuffled, so changes are compared and condensed where they lie.
+    """
+    return _kept(_compared(before, after, columns, BLOCK_EDGE + 1), trivial, columns)
 
 
 def _any_change(columns: Sequence[str]) -> Column:
@@ -128,15 +155,17 @@ def condense(
     """
     # A decision looks at BLOCK_EDGE rows either side, the marker at one more.
     start, interval = F.col("start_ts"), F.col("interval_s")
-    reach, span = (BLOCK_EDGE + 1) * interval, 288 * interval
+    reach, span = (BLOCK_EDGE + 1) * interval, SPAN * interval
     own, low, high = (F.floor(t / span) for t in (start, start - reach, start + reach))
-    rows = report.withColumns(
-        {
-            "_matters": _any_change([c for c in columns if c not in trivial]),
-            "_own": own,
-            "_cell": F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high))),
-        }
-    )
+    cells = F.explode(F.when(low == high, F.array(low)).otherwise(F.array(low, high)))
+    return _kept(report.withColumn(CELL, cells).withColumn("_own", F.col(CELL) == own), trivial, columns)
+
+
+def _kept(rows: DataFrame, trivial: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows that ``condense`` keeps, of rows with ``_cell`` and ``_own``."""
+    names = [c for c in rows.columns if c not in (CELL, "_own")]
+    start, interval = F.col("start_ts"), F.col("interval_s")
+    rows = rows.withColumn("_matters", _any_change([c for c in columns if c not in trivial]))
 
     inside = Window.partitionBy("series_id", "table", "_cell").orderBy("start_ts")
     # _back0 tells whether the row before is one interval away, _back1 whether the
@@ -156,17 +185,29 @@ def condense(
     middle = every([*(f"_back{k}" for k in range(BLOCK_EDGE)), *(f"_ahead{k}" for k in range(1, BLOCK_EDGE + 1))])
     middle_before = every([*(f"_back{k}" for k in range(BLOCK_EDGE + 1)), *(f"_ahead{k}" for k in range(1, BLOCK_EDGE))])
     return (
-        rows.where((F.col("_cell") == F.col("_own")) & (~middle | F.col("_matters")))
+        rows.where(F.col("_own") & (~middle | F.col("_matters")))
         .withColumn("omitted_before", middle_before & ~F.col("_mattered"))
-        .select(*report.columns, "omitted_before")
+        .select(*names, "omitted_before")
     )
 
 
+def versions(
+    before: DataFrame, after: DataFrame, statistics: DataFrame, replacements: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """The successors' rows of two versions after the end of their predecessors in ``statistics``."""
+    cut = ends_of_predecessors(statistics, replacements).withColumnRenamed("end_ts", "cut_ts")
+    successors = replacements.select(F.col("new_id").alias("series_id"))
+    side = lambda df: snapshot(df.join(successors, "series_id", "left_semi"), cut, fold=False)
+    return side(before), side(after)
+
+
 def planned_changes(
     statistics: DataFrame, generated: DataFrame, replacements: DataFrame
 ) -> DataFrame:
     """What replacing the successors' rows would change, after the end of their predecessors."""
-    cut = ends_of_predecessors(statistics, replacements).withColumnRenamed("end_ts", "cut_ts")
-    successors = replacements.select(F.col("new_id").alias("series_id"))
-    current = statistics.join(successors, "series_id", "left_semi")
-    return change_report(snapshot(current, cut, fold=False), snapshot(generated, cut, fold=False))
+    return change_report(*versions(statistics, generated, statistics, replacements))
+
+
+def planned_changes_condensed(statistics: DataFrame, generated: DataFrame, replacements: DataFrame) -> DataFrame:
+    """The same, condensed; one shuffle of rows."""
+    return condensed_report(*versions(statistics, generated, statistics, replacements))

@@ -19,14 +19,11 @@ from ..functions.numbers import bucket, counted_delta, leading_number
 from ..functions.predicates import state_available
 from ..functions.times import reset_epoch
 from ..functions.variants import json_field
+from ..plans.runs import UNTIL, as_runs, expand, last_up_to, row_count
 from ..plans.timeline import CELL, DEFAULT_CHUNKING, Chunking, split_cells
 from ..schema import INTERVALS, STATISTICS, TOTAL_KINDS
 from .profile import latest_statistics
 
-# Buckets that one row of a gap is expanded to at once.
-FILL_SPAN = 288
-
-
 def _fold_buckets(states: DataFrame, replacements: DataFrame, interval: int, chunking: Chunking) -> DataFrame:
     """One row per (series, bucket) of the usable states of all successors; ``_cell`` orders a series' rows."""
     wanted = replacements.select(F.col("new_id").alias("series_id"), "kind", "started_from_0")
@@ -108,7 +105,7 @@ def _roll_up(chained: DataFrame, tables: Mapping[str, int]) -> DataFrame:
 
 
 def _fill(rolled: DataFrame, strict_cutoff: bool) -> DataFrame:
-    """Repeat each bucket up to the next one; the last bucket is still being filled and left out.
+    """Each bucket as a run up to the next one; the last bucket is still being filled and left out.
 
     A series whose readings all lie in one bucket still yields that bucket unless
     ``strict_cutoff``. Reset marks are filled forward on their own.
@@ -117,13 +114,7 @@ def _fill(rolled: DataFrame, strict_cutoff: bool) -> DataFrame:
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     following = F.lead("start").over(along)
     only = F.lag("start").over(along).isNull() & following.isNull()
-    # A long gap is first cut into spans of FILL_SPAN buckets and dealt out by them: rows
-    # multiply only after the shuffle, and none grows with the length of a gap.
-    reach = F.col("interval_s") * F.lit(FILL_SPAN)
-    spans = F.when(F.col("following").isNotNull(), F.sequence("start", F.col("following") - F.col("interval_s"), reach))
-    if not strict_cutoff:
-        spans = spans.when(F.col("only"), F.array("start"))
-    final = F.least(F.col("span") + reach, F.coalesce("following", F.col("start") + F.col("interval_s")))
+    until = F.col("following") if strict_cutoff else F.coalesce("following", F.when(F.col("only"), F.col("start") + F.col("interval_s")))
     epoch = F.when(F.trim("last_reset") != "", reset_epoch(F.col("last_reset")))
     return (
         rolled.withColumn("_epoch", epoch)
@@ -135,13 +126,12 @@ def _fill(rolled: DataFrame, strict_cutoff: bool) -> DataFrame:
                 "last_reset_ts": F.last("_epoch", ignorenulls=True).over(so_far),
             }
         )
-        .withColumn("span", F.explode(spans))
-        .repartition("series_id", "table", F.floor(F.col("span") / reach))
-        .withColumn("start_ts", F.explode(F.sequence("span", final - F.col("interval_s"), "interval_s")))
+        .withColumn(UNTIL, until.cast("double"))
+        .where(F.col(UNTIL).isNotNull())
     )
 
 
-def rebuilt_rows(
+def rebuilt_runs(
     states: DataFrame,
     statistics: DataFrame,
     replacements: DataFrame,
@@ -152,7 +142,7 @@ def rebuilt_rows(
     run_ts: float | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
 ) -> DataFrame:
-    """The rows rebuilt from the successors' states, as ``schema.STATISTICS``."""
+    """The rows rebuilt from the successors' states: ``schema.STATISTICS`` with ``until_ts``, see ``plans.runs``."""
     # Buckets of every table are made of whole buckets of this length.
     finest = math.gcd(*tables.values())
     rolled = _roll_up(_chain(_fold_buckets(states, replacements, finest, chunking)), tables)
@@ -170,7 +160,7 @@ def rebuilt_rows(
     measured = F.col("kind") == "measurement"
     created = F.lit(run_ts) if run_ts is not None else F.unix_seconds(F.current_timestamp())
     columns = {
-        "start_ts": F.col("start_ts").cast("double"),
+        "start_ts": F.col("start").cast("double"),
         "row_id": F.lit(None).cast("bigint"),
         "state": F.col("state"),
         "sum": F.when(counting, F.coalesce("base", F.lit(0.0)) + F.col("running")),
@@ -178,12 +168,24 @@ def rebuilt_rows(
         "last_reset": F.when(total, F.col("last_reset")) if last_reset_as == "text" else F.lit(None).cast("string"),
         "last_reset_ts": F.when(total, F.col("last_reset_ts")) if last_reset_as == "epoch" else F.lit(None).cast("double"),
         "created_ts": created.cast("double"),
+        UNTIL: F.col(UNTIL),
     }
     # Joined before filling, while there is a row for every occupied bucket only.
     filled = _fill(rolled.join(base, ["series_id", "table"], "left"), strict_cutoff)
     return filled.select("series_id", "table", "interval_s", *(c.alias(n) for n, c in columns.items()))
 
 
+def rebuilt_rows(
+    states: DataFrame,
+    statistics: DataFrame,
+    replacements: DataFrame,
+    tables: Mapping[str, int] = INTERVALS,
+    **options,
+) -> DataFrame:
+    """The rows rebuilt from the successors' states, as ``schema.STATISTICS``; options as in ``rebuilt_runs``."""
+    return expand(rebuilt_runs(states, statistics, replacements, tables, **options))
+
+
 def copied_rows(
     statistics: DataFrame,
     replacements: DataFrame,
@@ -219,34 +221,52 @@ def generate(
     tables: Mapping[str, int] = INTERVALS,
     *,
     last_reset_as: str = "epoch",
-    strict_cutoff: bool = False,
-    run_ts: float | None = None,
-    chunking: Chunking = DEFAULT_CHUNKING,
+    **options,
 ) -> DataFrame:
     """Complete statistics of all successors: copied rows, then rebuilt rows.
 
     ``replacements(old_id, new_id, kind, started_from_0)`` has one row per
     successor. Per kind: ``total_increasing`` fills state and sum, ``total`` also
     the reset mark, ``measurement`` state, mean, min and max. Nothing is removed
-    where copied and rebuilt rows share a bucket.
+    where copied and rebuilt rows share a bucket. Options as in ``rebuilt_runs``.
     """
-    return copied_rows(statistics, replacements, tables, last_reset_as=last_reset_as).unionByName(
-        rebuilt_rows(
-            states,
-            statistics,
-            replacements,
-            tables,
-            last_reset_as=last_reset_as,
-            strict_cutoff=strict_cutoff,
-            run_ts=run_ts,
-            chunking=chunking,
-        )
+    copied = copied_rows(statistics, replacements, tables, last_reset_as=last_reset_as)
+    return copied.unionByName(rebuilt_rows(states, statistics, replacements, tables, last_reset_as=last_reset_as, **options))
+
+
+def generate_runs(
+    states: DataFrame,
+    statistics: DataFrame,
+    replacements: DataFrame,
+    tables: Mapping[str, int] = INTERVALS,
+    *,
+    last_reset_as: str = "epoch",
+    **options,
+) -> DataFrame:
+    """What ``generate`` gives, as runs: ``plans.runs.expand`` of it has the same rows.
+
+    Where a successor begins before its predecessor ends, rebuilt rows are single ones up to
+    that end, so that no run reaches over a copied row.
+    """
+    copied = as_runs(copied_rows(statistics, replacements, tables, last_reset_as=last_reset_as))
+    rebuilt = rebuilt_runs(states, statistics, replacements, tables, last_reset_as=last_reset_as, **options)
+    rebuilt = rebuilt.join(ends_of_predecessors(statistics, replacements), ["series_id", "table"], "left")
+    step, shared = F.col("interval_s"), last_up_to(rebuilt, F.col("end_ts"))
+    piece = lambda begin, until: F.struct(begin.alias("start_ts"), until.alias(UNTIL))
+    single = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), ((shared - F.col("start_ts")) / step).cast("bigint")),
+        lambda k: piece(F.col("start_ts") + k * step, F.col("start_ts") + (k + 1) * step),
     )
+    rest = F.filter(F.array(piece(shared + step, F.col(UNTIL))), lambda p: p["start_ts"] < p[UNTIL])
+    whole = F.array(piece(F.col("start_ts"), F.col(UNTIL)))
+    pieces = rebuilt.withColumn("_piece", F.explode(F.when(shared.isNull(), whole).otherwise(F.concat(single, rest))))
+    rebuilt = pieces.withColumns({c: F.col(f"_piece.{c}") for c in ("start_ts", UNTIL)})
+    return copied.unionByName(rebuilt.select(*copied.columns))
 
 
 def generated_counts(generated: DataFrame) -> DataFrame:
     """Rows per series and table."""
-    return generated.groupBy("series_id", "table").agg(F.count("*").alias("row_count"))
+    return generated.groupBy("series_id", "table").agg(row_count(generated).alias("row_count"))
 
 
 def ends_of_predecessors(statistics: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -274,34 +294,43 @@ def preview(
     rebuilt rows appear when there are at most ``first + last`` of them.
 
     Rebuilt rows are one interval apart, so the position of a row follows from its
-    time and the first one's: one small aggregate, and no sorting of whole series.
+    time and the first one's: one small aggregate, and no sorting of whole series. Of
+    runs only the rows shown are expanded.
     """
     keys = ["series_id", "table"]
-    values = ["start_ts", "state", "sum", "mean", "min", "max"]
-    start = F.col("start_ts")
-    rows = generated.join(ends_of_predecessors(statistics, replacements), keys)
-    later = start > F.col("end_ts")
+    values = ["state", "sum", "mean", "min", "max"]
+    ends = ends_of_predecessors(statistics, replacements)
+    runs = as_runs(generated).where("start_ts is not null").select(*keys, "interval_s", "start_ts", UNTIL, *values).join(ends, keys)
+    end, start, step = F.col("end_ts"), F.col("start_ts"), F.col("interval_s")
+    skipped = F.greatest(F.floor((end - start) / step) + 1, F.lit(0))
+    later = F.when(start + skipped * step < F.col(UNTIL), start + skipped * step)
+    runs = runs.withColumns({"copied": last_up_to(runs, end), "later": later})
     place = lambda ts: F.round((ts - F.col("begin")) / F.col("step")).cast("bigint") + 1
     bounds = (
-        rows.groupBy(*keys)
+        runs.groupBy(*keys)
         .agg(
             F.max("interval_s").alias("step"),
-            F.max(F.when(~later, start)).alias("copied_ts"),
-            F.min(F.when(later, start)).alias("begin"),
-            F.max(F.when(later, start)).alias("finish"),
+            F.max("copied").alias("copied_ts"),
+            F.min("later").alias("begin"),
+            F.max(F.when(F.col("later").isNotNull(), F.col(UNTIL) - step)).alias("finish"),
         )
         .withColumn("total", F.coalesce(place(F.col("finish")), F.lit(0)))
     )
-    position = F.when(later, place(start)).otherwise(0)
-    beyond = F.col("total") - (first + last)
-    at_end = (F.col("position") <= first) | (F.col("position") > F.col("total") - last) | (beyond <= 0)
+    total, count = F.col("total"), lambda n: F.lit(n).cast("bigint")
+    beyond = total - (first + last)
+    from_to = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    wanted = F.concat(from_to(count(1), F.least(count(first), total)), from_to(F.greatest(count(first), total - last) + 1, total))
+    own = F.when(
+        F.col("later").isNotNull(), F.filter(wanted, lambda p: p.between(place(F.col("later")), place(F.col(UNTIL) - step)))
+    ).otherwise(F.array().cast("array<bigint>"))
+    copied = F.when(F.col("copied") == F.col("copied_ts"), F.array(count(0))).otherwise(F.array().cast("array<bigint>"))
     shown = (
-        rows.join(bounds, keys)
-        .withColumn("position", position)
-        .where((later & at_end) | (start == F.col("copied_ts")))
+        runs.join(bounds, keys)
+        .withColumn("position", F.explode(F.concat(copied, own)))
+        .withColumn("at", F.when(F.col("position") == 0, F.col("copied")).otherwise(F.col("begin") + (F.col("position") - 1) * F.col("step")))
         # Several copied rows may share the last time.
         .groupBy(*keys, "position")
-        .agg(F.max(F.struct(*values)).alias("row"))
+        .agg(F.max(F.struct(F.col("at").alias("start_ts"), *values)).alias("row"))
         .select(
             *keys,
             F.when(F.col("position") == 0, "copied").otherwise("generated").alias("part"),
@@ -313,7 +342,7 @@ def preview(
     marker = bounds.where(beyond > 0).select(
         *keys,
         F.lit("omitted").alias("part"),
-        *(F.lit(None).cast("double").alias(c) for c in values),
+        *(F.lit(None).cast("double").alias(c) for c in ("start_ts", *values)),
         F.lit(first + 1).cast("bigint").alias("position"),
         beyond.alias("omitted"),
     )

@@ -9,6 +9,7 @@ from ..functions.predicates import state_available
 from ..functions.text import number_text
 from ..functions.times import reset_instant, text_epoch
 from ..functions.variants import json_field
+from ..plans.runs import is_runs, last_start
 from ..plans.timeline import DEFAULT_CHUNKING, Chunking, with_previous
 from ..schema import TOTAL_KINDS, VALUE_COLUMNS
 
@@ -16,14 +17,16 @@ _EVENT = ("series_id", "table", "event_ts", "last_reset_ts", "before_ts", "befor
 
 
 def missing_rows(statistics: DataFrame, chunking: Chunking = DEFAULT_CHUNKING) -> DataFrame:
-    """Gaps in regular statistics: the rows around each gap and how many are missing."""
-    rows = statistics.select("series_id", "table", "interval_s", "start_ts", "row_id", "state", "sum")
+    """Gaps in regular statistics (rows or runs): the rows around each gap and how many are missing."""
+    rows = statistics.select(
+        "series_id", "table", "interval_s", "start_ts", last_start(statistics).alias("_last"), "row_id", "state", "sum"
+    )
     return (
         with_previous(
             rows,
             ["series_id", "table"],
             ["start_ts", "row_id"],
-            {"before": F.struct("start_ts", "state", "sum")},
+            {"before": F.struct(F.col("_last").alias("start_ts"), "state", "sum")},
             chunking=chunking,
         )
         .withColumn("missing", missing_between(F.col("before.start_ts"), F.col("start_ts"), F.col("interval_s")))
@@ -87,7 +90,7 @@ def statistics_resets(
     last_reset_as: str = "epoch",
     chunking: Chunking = DEFAULT_CHUNKING,
 ) -> DataFrame:
-    """Resets among the statistics rows of each series, per table.
+    """Resets among the statistics rows (or runs) of each series, per table.
 
     Mode ``total_increasing``: the value fell by more than a tenth; ``total``: the
     reset mark changed; anything else, or none: the value fell at all. The value of
@@ -105,6 +108,7 @@ def statistics_resets(
         "series_id",
         "table",
         F.col("start_ts").alias("ts"),
+        *([last_start(statistics).alias("last_ts")] if is_runs(statistics) else []),
         "row_id",
         number_text(value).alias("state"),
         value.alias("number"),
@@ -121,7 +125,7 @@ def _resets(rows: DataFrame, mode: str | Column, fall_mode: Column, chunking: Ch
         rows,
         ["series_id", "table"],
         ["ts", "row_id"],
-        {"before": F.struct("ts", "state", "number")},
+        {"before": F.struct(F.col("last_ts" if "last_ts" in rows.columns else "ts").alias("ts"), "state", "number")},
         {"known_mark": F.col("mark")} if by_mark else {},
         chunking,
     )

@@ -6,11 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.runs import expand
 from ..plans.timeline import DEFAULT_CHUNKING, Chunking
 from ..schema import INTERVALS, KINDS, TOTAL_KINDS
-from ..sources.sinks import replace_series
-from .diff import change_report, condense, planned_changes, snapshot
-from .generate import ends_of_predecessors, generate, generated_counts, preview
+from ..sources.sinks import replace_series, staged
+from .diff import change_report, planned_changes, planned_changes_condensed, versions
+from .generate import generate_runs, generated_counts, preview
 from .profile import latest_statistics, summarize_states
 from .quality import missing_rows, statistics_resets
 
@@ -102,10 +103,7 @@ def applied_changes(
     before: DataFrame, after: DataFrame, statistics: DataFrame, replacements: DataFrame
 ) -> DataFrame:
     """Changes between two stored versions, after the end of the predecessors in ``statistics``."""
-    cut = ends_of_predecessors(statistics, replacements).withColumnRenamed("end_ts", "cut_ts")
-    ids = replacements.select(F.col("new_id").alias("series_id"))
-    side = lambda df: snapshot(df.join(ids, "series_id", "left_semi"), cut, fold=False)
-    return change_report(side(before), side(after))
+    return change_report(*versions(before, after, statistics, replacements))
 
 
 def splice(
@@ -120,29 +118,40 @@ def splice(
     last_reset_as: str = "epoch",
     run_ts: float | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
+    stage: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run the job for all pairs and return its parts by name.
 
     ``eligibility``, ``generated``, ``counts``, ``gaps``, ``resets``, ``preview``,
     ``changes``, ``condensed`` and ``result``, the statistics after replacement
-    (see ``sources.sinks`` for writing them). Nothing runs here: to use several parts,
-    write ``generated`` first and build the others from it with the same functions.
+    (see ``sources.sinks`` for writing them).
+
+    With ``stage``, a new folder that all machines share, the rebuilt statistics are written
+    there once, as runs, and every part reads them: lost executors repeat a read, not the
+    rebuild. A stage that an earlier job finished is read again and not rebuilt, one that it left
+    unfinished is replaced. Without it nothing runs here, and every part rebuilds what it needs.
     """
     checked = eligibility(pairs, classes, states, statistics, statistics_meta)
     replacements = checked.where("eligible").select(
         "old_id", "new_id", "kind", F.lit(started_from_0).alias("started_from_0")
     )
-    generated = generate(
-        states, statistics, replacements, tables, last_reset_as=last_reset_as, run_ts=run_ts, chunking=chunking
-    )
-    changes = planned_changes(statistics, generated, replacements)
+    options = {"last_reset_as": last_reset_as, "run_ts": run_ts, "chunking": chunking}
+    if stage is not None:
+        checked = staged(checked, f"{stage}/eligibility")
+        replacements = checked.where("eligible").select(
+            "old_id", "new_id", "kind", F.lit(started_from_0).alias("started_from_0")
+        )
+    runs = generate_runs(states, statistics, replacements, tables, **options)
+    if stage is not None:
+        runs = staged(runs, f"{stage}/generated")
+    generated = expand(runs)
     return {
         "eligibility": checked,
         "generated": generated,
-        "counts": generated_counts(generated),
-        **quality_checks(generated, replacements, chunking),
-        "preview": preview(generated, statistics, replacements),
-        "changes": changes,
-        "condensed": condense(changes),
+        "counts": generated_counts(runs),
+        **quality_checks(runs, replacements, chunking),
+        "preview": preview(runs, statistics, replacements),
+        "changes": planned_changes(statistics, runs, replacements),
+        "condensed": planned_changes_condensed(statistics, runs, replacements),
         "result": replace_series(statistics, generated, replacements, list(tables)),
     }

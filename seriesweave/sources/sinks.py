@@ -80,6 +80,19 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "table", BUCKET)
 
 
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written once below ``path``; read back by whoever uses them.
+
+    A finished stage is marked by Spark's ``_SUCCESS`` file and read as it is; an unfinished one,
+    from a job that failed, is overwritten.
+    """
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def write_version(rows: DataFrame, path: str) -> None:
     """Write a complete version to a new path; fails if something is there already."""
     rows.write.mode("errorifexists").parquet(path)
