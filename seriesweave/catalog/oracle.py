@@ -284,6 +284,12 @@ edited AS (
                     CAST({RUN_TS} AS DOUBLE) AS created_ts)
   FROM stats WHERE NOT {NO_VALUE})"""
 
+# Edited in some series only.
+EDITED_FEW = """
+edited_few AS (
+  SELECT * FROM edited WHERE contains(series_id, '1_')
+  UNION ALL BY NAME SELECT * FROM stats WHERE NOT contains(series_id, '1_'))"""
+
 
 def condensed(rows: str) -> str:
     return f"""
@@ -509,6 +515,7 @@ SELECT series_id, tbl AS "table", 'copied' AS part, start_ts, state, sum, mean,
 UNION ALL SELECT series_id, tbl, 'generated', start_ts, state, sum, mean, mn, mx, pos, 0 FROM later WHERE pos <= 3 OR pos > n - 3 OR n <= 6
 UNION ALL SELECT DISTINCT series_id, tbl, 'omitted', NULL, NULL, NULL, NULL, NULL, NULL, 4, n - 6 FROM later WHERE n > 6""",
     "change_report": _with(F, EDITED, changes("stats", "edited")) + f"SELECT {FLAT_CHANGES} FROM changes",
+    "change_report_by_cells": _with(F, EDITED, EDITED_FEW, changes("stats", "edited_few")) + f"SELECT {FLAT_CHANGES} FROM changes",
     "change_report_text": _with(F, EDITED, changes("stats", "edited"))
     + f"""SELECT series_id, tbl AS "table", start_ts, {_time('start_ts')} AS start, {_change('state')} AS state, {_change('sum')} AS sum,
        CASE WHEN d_created_ts THEN coalesce({_time('created_ts_old')}, '(none)') || ' -> ' || coalesce({_time('created_ts_new')}, '(none)') ELSE '' END

@@ -276,6 +276,14 @@ def change_report(spark, sf_dir):
     return _flat_changes(_changes(spark, sf_dir))
 
 
+def change_report_by_cells(spark, sf_dir):
+    """Of two versions that differ in some series only."""
+    before = fx.statistics(spark, sf_dir)
+    touched = F.col("series_id").contains("1_")
+    after = _edited(before.where(touched)).unionByName(before.where(~touched))
+    return _flat_changes(diff.change_report_by_cells(before, after))
+
+
 def change_report_text(spark, sf_dir):
     return diff.change_cells(_changes(spark, sf_dir)).select(
         "series_id", "table", "start_ts", "start", "state", "sum", "created_ts"
@@ -551,6 +559,7 @@ QUERIES: dict[str, Query] = {
         generated_counts_by_table,
         generated_preview,
         change_report,
+        change_report_by_cells,
         change_report_text,
         changed_columns,
         change_report_condensed,

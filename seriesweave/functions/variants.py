@@ -31,10 +31,13 @@ def value_text(value: Column, kind: Column) -> Column:
 def compare_key(value: Column, kind: Column) -> Column:
     """Text that is equal for equal values: numbers by value, the rest by JSON.
 
-    Numbers that a double may not hold exactly are compared digit by digit.
+    Numbers that a double may not hold exactly are compared digit by digit, decimals with
+    their places.
     """
     number = F.try_variant_get(value, "$", "double")
-    digits = F.when(F.abs(number) >= 2.0**53, F.try_variant_get(value, "$", "decimal(38,0)").cast("string"))
+    whole = F.try_variant_get(value, "$", "decimal(38,0)").cast("string")
+    places = F.regexp_replace(F.regexp_replace(F.to_json(value), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    digits = F.when(F.abs(number) >= 2.0**53, F.when(kind.startswith("DECIMAL"), places).otherwise(whole))
     return F.when(is_number(kind), F.coalesce(digits, number.cast("string"))).otherwise(F.to_json(value))
 
 

@@ -89,3 +89,20 @@ def test_snapshot_without_a_cut_keeps_all_dated_rows(statistics):
     assert [r.state for r in diff.snapshot(rows).collect()] == [2.0]
     assert diff.snapshot(rows).columns == rows.columns
     assert diff.snapshot(rows, fold=False).count() == 2
+
+
+def test_only_unequal_cells_meet(spark, statistics):
+    day = 288 * 3600
+    rows = [{"start_ts": t, "state": t % 7, "sum": t} for t in range(0, 4 * day, 3600)]
+    before = statistics(rows + [{"start_ts": 5 * day, "state": 1}, {"start_ts": 5 * day, "state": None, "mean": 1}])
+    assert diff.unequal_cells(before, before.orderBy(F.desc("start_ts"))).count() == 0
+    assert diff.change_report_by_cells(before, before).count() == 0
+    at = F.col("start_ts")
+    after = before.withColumn("sum", F.when(at == 3600.0, 5.0).otherwise(F.col("sum"))).where(at != day + 7200.0)
+    # A NULL in one column is not a NULL in another one.
+    after = after.withColumns({c: F.when(at == 5 * day, F.col(o)).otherwise(F.col(c)) for c, o in (("state", "mean"), ("mean", "state"))})
+    assert sorted(r.cell for r in diff.unequal_cells(before, after).collect()) == [0, 1, 5]
+    whole, cells = diff.change_report(before, after), diff.change_report_by_cells(before, after)
+    assert sorted(map(str, cells.collect())) == sorted(map(str, whole.collect())) and whole.count() == 3
+    # Repeated rows count as often as they occur.
+    assert [r.cell for r in diff.unequal_cells(before, before.unionByName(before.where(at == 0.0))).collect()] == [0]

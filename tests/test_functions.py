@@ -137,3 +137,11 @@ def test_state_class(spark, json, expected):
 @pytest.mark.parametrize("json, depth", [("1", 0), ("{}", 1), ('{"a":{"b":[1]}}', 3), ('{"a":"}}{{[["}', 1), ('{"a":"\\"{"}', 1)])
 def test_nesting(spark, json, depth):
     assert one(spark, json, variants.nesting) == depth
+
+
+def test_large_decimals_are_compared_with_their_places(spark):
+    pairs = [("9007199254740993.25", "9007199254740993.40", False), ("9007199254740993.50", "9007199254740993.5", True),
+             ("9007199254740993.0", "9007199254740993", True), ("9007199254740993", "9007199254740992", False), ("1e16", "10000000000000000", True), ("0.10", "0.1", True)]
+    rows = spark.createDataFrame(pairs, "a string, b string, same boolean").selectExpr("same", "parse_json(a) a", "parse_json(b) b")
+    key = lambda c: variants.compare_key(F.col(c), F.schema_of_variant(c))
+    assert all(r.same == r.found for r in rows.select("same", key("a").eqNullSafe(key("b")).alias("found")).collect())
