@@ -275,3 +275,8 @@ def recorder_statistics(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame
             F.col("metadata_id").alias("id"), F.col("entity_id").alias("statistic_id")
         ),
     }
+
+
+def at_newer_site() -> Column:
+    """Series of users with an even number."""
+    return F.substring_index(F.substring("series_id", 9, 40), "_", 1).cast("bigint") % 2 == 0

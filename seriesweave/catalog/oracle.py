@@ -466,6 +466,12 @@ WHERE n.p IS NULL OR o.p IS NULL OR o.value IS NOT NULL OR n.value IS NOT NULL""
 FROM stats WHERE tbl = 'statistics' AND last_reset_ts IS NOT NULL""",
     "last_reset_rows_text_both": _with(F, STORED)
     + 'SELECT series_id, tbl AS "table", start_ts, last_reset FROM stored WHERE last_reset IS NOT NULL',
+    "last_reset_rows_two_ages": _with(F, STORED)
+    + """SELECT s.series_id, s.tbl AS "table", s.start_ts, CASE WHEN newer THEN s.last_reset_ts END AS last_reset_ts,
+       CASE WHEN NOT newer THEN t.last_reset END AS last_reset
+FROM (SELECT *, CAST(regexp_extract(series_id, 'u([0-9]+)_', 1) AS BIGINT) % 2 = 0 AS newer FROM stats WHERE last_reset_ts IS NOT NULL) s
+JOIN stored t USING (series_id, tbl, start_ts)""",
+    "statistics_resets_two_ages": _with(F, valued("stats")) + stat_events(MARKED_AGAIN),
     "state_resets_increasing": _with(F, numeric_states()) + state_events(FELL),
     "state_resets_dense": _with(fixture("type"), numeric_states()) + state_events(FELL),
     "state_resets_total": _with(F, numeric_states()) + state_events(MARKED_AGAIN, "mark AS last_reset_ts,"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -125,6 +126,28 @@ def last_reset_rows_text_both(spark, sf_dir):
     return profile.last_reset_rows(_stored(spark, sf_dir), "text")
 
 
+def _of_two_ages(spark, sf_dir) -> DataFrame:
+    """Statistics of two sites: tables of the one keep reset marks as epochs, those of the other as text."""
+    newer = fx.statistics(spark, sf_dir).where(fx.at_newer_site())
+    older = fx.recorder_statistics(spark, sf_dir)
+    tables = [
+        canonical_statistics(newer.where(F.col("table") == t).withColumnRenamed("series_id", "statistic_id"), table=t, layout=True)
+        for t in INTERVALS
+    ]
+    tables += [
+        canonical_statistics(older[t], older["statistics_meta"], table=t, layout=True).where(~fx.at_newer_site()) for t in INTERVALS
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def last_reset_rows_two_ages(spark, sf_dir):
+    return profile.last_reset_rows(_of_two_ages(spark, sf_dir))
+
+
+def statistics_resets_two_ages(spark, sf_dir):
+    return quality.statistics_resets(_of_two_ages(spark, sf_dir), "total")
+
+
 # --- resets -----------------------------------------------------------------
 
 
@@ -537,6 +560,8 @@ QUERIES: dict[str, Query] = {
         last_reset_rows,
         last_reset_rows_text,
         last_reset_rows_text_both,
+        last_reset_rows_two_ages,
+        statistics_resets_two_ages,
         state_resets_increasing,
         state_resets_dense,
         state_resets_total,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schema import UNAVAILABLE_TEXTS, VALUE_COLUMNS
+from ..schema import MARKS, UNAVAILABLE_TEXTS, VALUE_COLUMNS
 
 
 def state_unavailable(state: str | Column = "state") -> Column:
@@ -24,3 +24,10 @@ def statistics_unavailable() -> Column:
 
 def statistics_available() -> Column:
     return F.coalesce(*VALUE_COLUMNS).isNotNull()
+
+
+def text_marks(statistics: DataFrame, last_reset_as: str | None = None) -> Column:
+    """True for rows whose table keeps reset marks as text: as told, else by the rows' own layout, else epochs."""
+    if last_reset_as is not None:
+        return F.lit(last_reset_as == "text")
+    return F.col(MARKS) == "text" if MARKS in statistics.columns else F.lit(False)

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.predicates import (
     state_unavailable,
     statistics_unavailable,
+    text_marks,
 )
 from ..functions.text import number_text, value_with_sum
 from ..functions.times import local_time
 from ..plans.segments import segments
 from ..plans.timeline import DEFAULT_CHUNKING, Chunking
-from ..schema import DISPLAY_COLUMNS
+from ..schema import DISPLAY_COLUMNS, MARKS
 
 ENDS = ("earliest", "latest", "earliest_available", "latest_available")
 
@@ -148,9 +149,18 @@ def latest_statistics(statistics: DataFrame) -> DataFrame:
     return statistics.groupBy("series_id", "table").agg(F.max("start_ts").alias("ts"))
 
 
-def last_reset_rows(statistics: DataFrame, last_reset_as: str = "epoch") -> DataFrame:
-    """Statistics rows that carry a reset mark."""
-    mark = "last_reset_ts" if last_reset_as == "epoch" else "last_reset"
+def last_reset_rows(statistics: DataFrame, last_reset_as: str | None = None) -> DataFrame:
+    """Statistics rows that carry a reset mark, in the form that their table keeps it.
+
+    Rows read with ``layout`` say themselves which form that is, and the result has both columns,
+    one of them NULL. Otherwise it is ``epoch`` unless ``last_reset_as`` tells.
+    """
+    if last_reset_as is None and MARKS in statistics.columns:
+        text = text_marks(statistics)
+        marks = {"last_reset_ts": F.when(~text, F.col("last_reset_ts")), "last_reset": F.when(text, F.col("last_reset"))}
+        rows = statistics.select("series_id", "table", "start_ts", *(m.alias(n) for n, m in marks.items()))
+        return rows.where("last_reset_ts is not null or last_reset is not null")
+    mark = "last_reset" if last_reset_as == "text" else "last_reset_ts"
     return statistics.where(F.col(mark).isNotNull()).select("series_id", "table", "start_ts", mark)
 
 

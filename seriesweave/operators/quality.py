@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import falls, missing_rows as missing_between, whole_number
-from ..functions.predicates import state_available
+from ..functions.predicates import state_available, text_marks
 from ..functions.text import number_text
 from ..functions.times import reset_instant, text_epoch
 from ..functions.variants import json_field
 from ..plans.runs import is_runs, last_start
 from ..plans.timeline import DEFAULT_CHUNKING, Chunking, with_previous
-from ..schema import TOTAL_KINDS, VALUE_COLUMNS
+from ..schema import MARKS, TOTAL_KINDS, VALUE_COLUMNS
 
 _EVENT = ("series_id", "table", "event_ts", "last_reset_ts", "before_ts", "before_value", "after_ts", "after_value")
 
@@ -87,7 +87,7 @@ def state_resets(
 def statistics_resets(
     statistics: DataFrame,
     mode: str | Column | None = "total_increasing",
-    last_reset_as: str = "epoch",
+    last_reset_as: str | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
 ) -> DataFrame:
     """Resets among the statistics rows (or runs) of each series, per table.
@@ -95,15 +95,21 @@ def statistics_resets(
     Mode ``total_increasing``: the value fell by more than a tenth; ``total``: the
     reset mark changed; anything else, or none: the value fell at all. The value of
     a row is its state if it has one (a sum may be free of resets by design), else
-    its sum, mean, min or max. ``last_reset_as`` says whether the tables keep reset
-    marks as ``epoch`` (``last_reset_ts``) or only as ``text`` (``last_reset``).
+    its sum, mean, min or max. Whether a row's table keeps reset marks as epochs
+    (``last_reset_ts``) or only as text (``last_reset``) is known from its layout (see
+    ``canonical_statistics``), told by ``last_reset_as``, or else ``epoch``.
     """
     mode = "any" if mode is None else mode
+    mixed = last_reset_as is None and MARKS in statistics.columns
+    as_text, parsed = text_marks(statistics, last_reset_as), text_epoch(F.col("last_reset"))
     # A column renamed to its own name would keep Spark from sharing the shuffle below.
-    epoch = F.col("last_reset_ts") if last_reset_as == "epoch" else text_epoch(F.col("last_reset")).alias("last_reset_ts")
+    epoch = parsed if last_reset_as == "text" else F.when(as_text, parsed).otherwise(F.col("last_reset_ts"))
+    epoch = epoch.alias("last_reset_ts") if mixed or last_reset_as == "text" else F.col("last_reset_ts")
     value = F.coalesce(*VALUE_COLUMNS)
     text_mark = F.coalesce(whole_number("last_reset").cast("string"), F.col("last_reset"))
-    mark = F.col("last_reset_ts").cast("string") if last_reset_as == "epoch" else text_mark
+    mark = text_mark if last_reset_as == "text" else F.col("last_reset_ts").cast("string")
+    if mixed:
+        mark = F.when(as_text, text_mark).otherwise(mark)
     rows = statistics.where(value.isNotNull()).select(
         "series_id",
         "table",
@@ -152,7 +158,7 @@ def reset_report(
     statistics: DataFrame,
     classes: DataFrame,
     tables: tuple[str, ...] = ("statistics", "statistics_short_term"),
-    last_reset_as: str = "epoch",
+    last_reset_as: str | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
 ) -> DataFrame:
     """Resets of states next to those of each statistics table, one report per table.

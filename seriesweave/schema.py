@@ -96,6 +96,9 @@ STATISTICS = T.StructType(
     ]
 )
 
+# Optional column of statistics rows: ``epoch`` or ``text``, how their table keeps reset marks.
+MARKS = "marks"
+
 REPLACEMENTS = T.StructType(
     [
         T.StructField("old_id", T.StringType()),

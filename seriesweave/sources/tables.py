@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.times import text_epoch, text_epoch_utc
 from ..schema import (
     INTERVALS,
+    MARKS,
     STATE_TIME_COLUMNS,
     STATES,
     STATISTICS,
@@ -146,8 +147,14 @@ def canonical_statistics(
     interval_s: int | None = None,
     text_zone: str = "local",
     strict: bool = False,
+    layout: bool = False,
 ) -> DataFrame:
-    """One statistics table as ``schema.STATISTICS``; union both for all operators."""
+    """One statistics table as ``schema.STATISTICS``; union both for all operators.
+
+    With ``layout`` rows also carry ``marks``, the form in which their table keeps reset marks:
+    ``epoch`` where it has ``last_reset_ts``, else ``text``. Operators that look at marks go by it,
+    so that tables of different ages can be united.
+    """
     time = _first_of(statistics, STATISTICS_TIME_COLUMNS)
     by_dictionary = "metadata_id" in statistics.columns and statistics_meta is not None
     usable = time is not None and (
@@ -158,7 +165,8 @@ def canonical_statistics(
     if not usable:
         if strict:
             raise TableError(f"{table} has no usable time or id column")
-        return _empty(statistics.sparkSession, STATISTICS)
+        empty = _empty(statistics.sparkSession, STATISTICS)
+        return empty.withColumn(MARKS, F.lit("epoch")) if layout else empty
 
     rows = statistics.select(
         F.col("metadata_id") if by_dictionary else F.col("statistic_id").cast("string").alias("series_id"),
@@ -177,7 +185,8 @@ def canonical_statistics(
             F.col("id").alias("metadata_id"), F.col("statistic_id").cast("string").alias("series_id")
         )
         rows = rows.join(names, "metadata_id").drop("metadata_id")
-    return rows.where(F.col("series_id").isNotNull()).select(*STATISTICS.fieldNames())
+    rows = rows.where(F.col("series_id").isNotNull()).select(*STATISTICS.fieldNames())
+    return rows.withColumn(MARKS, F.lit("epoch" if "last_reset_ts" in statistics.columns else "text")) if layout else rows
 
 
 def only_series(df: DataFrame, wanted: DataFrame, column: str = "series_id") -> DataFrame:

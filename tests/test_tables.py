@@ -1,6 +1,7 @@
 import pytest
 
 from seriesweave.schema import STATES, STATISTICS
+from seriesweave.operators import profile, quality
 from seriesweave.sources.tables import TableError, canonical_states, canonical_statistics, jdbc_options, only_series
 
 
@@ -87,3 +88,26 @@ def test_jdbc_reads_are_split_by_key():
     options = jdbc_options("jdbc:x", "states", "state_id", 1, 10**9, 400, fetchsize="10000")
     assert options["partitionColumn"] == "state_id" and options["numPartitions"] == "400"
     assert options["dbtable"] == "states" and options["fetchsize"] == "10000"
+
+
+def test_reset_marks_go_by_the_layout_of_their_table(spark):
+    """A table with epochs may still hold texts from before; they are not its marks."""
+    newer = spark.createDataFrame(
+        [(1, "sensor.a", 0.0, 1.0, "2024-01-01T00:00:00+00:00", None), (2, "sensor.a", 3600.0, 2.0, None, 10.0), (3, "sensor.a", 7200.0, 3.0, None, 20.0)],
+        "id long, statistic_id string, start_ts double, state double, last_reset string, last_reset_ts double",
+    )
+    older = spark.createDataFrame(
+        [(1, "sensor.b", 0.0, 1.0, "2024-01-01T00:00:00+00:00"), (2, "sensor.b", 3600.0, 2.0, "2024-01-02T00:00:00+00:00"), (3, "sensor.b", 7200.0, 3.0, None)],
+        "id long, statistic_id string, start_ts double, state double, last_reset string",
+    )
+    both = canonical_statistics(newer, layout=True).unionByName(canonical_statistics(older, layout=True))
+    found = {(r.series_id, r.start_ts): (r.last_reset_ts, r.last_reset) for r in profile.last_reset_rows(both).collect()}
+    assert found == {
+        ("sensor.a", 3600.0): (10.0, None), ("sensor.a", 7200.0): (20.0, None),
+        ("sensor.b", 0.0): (None, "2024-01-01T00:00:00+00:00"), ("sensor.b", 3600.0): (None, "2024-01-02T00:00:00+00:00"),
+    }
+    resets = {(r.series_id, r.event_ts, r.last_reset_ts) for r in quality.statistics_resets(both, "total").collect()}
+    assert resets == {("sensor.a", 7200.0, 20.0), ("sensor.b", 3600.0, 1704153600.0)}
+    # Without the layout the caller tells, as before.
+    plain = canonical_statistics(older)
+    assert profile.last_reset_rows(plain).count() == 0 and profile.last_reset_rows(plain, "text").count() == 2
