@@ -365,7 +365,7 @@ def eligibility_without_target(spark, sf_dir):
     return found.select("old_id", "new_id", "eligible", "reason")
 
 
-def _spliced(spark, sf_dir) -> dict[str, DataFrame]:
+def _spliced(spark, sf_dir):
     pairs = fx.replacements(spark, sf_dir).select("old_id", "new_id")
     return splice(
         pairs, fx.classes(spark, sf_dir), fx.states(spark, sf_dir), fx.statistics(spark, sf_dir), run_ts=fx.RUN_TS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -106,6 +106,24 @@ def applied_changes(
     return change_report(*versions(before, after, statistics, replacements))
 
 
+class Parts(Mapping):
+    """Frames by name; a plan is built once, on first use."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 def splice(
     pairs: DataFrame,
     classes: DataFrame,
@@ -119,8 +137,8 @@ def splice(
     run_ts: float | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
     stage: str | None = None,
-) -> dict[str, DataFrame]:
-    """Run the job for all pairs and return its parts by name.
+) -> Mapping[str, DataFrame]:
+    """Run the job for all pairs and return its parts by name, each planned when it is first asked for.
 
     ``eligibility``, ``generated``, ``counts``, ``gaps``, ``resets``, ``preview``,
     ``changes``, ``condensed`` and ``result``, the statistics after replacement
@@ -145,13 +163,17 @@ def splice(
     if stage is not None:
         runs = staged(runs, f"{stage}/generated")
     generated = expand(runs)
-    return {
-        "eligibility": checked,
-        "generated": generated,
-        "counts": generated_counts(runs),
-        **quality_checks(runs, replacements, chunking),
-        "preview": preview(runs, statistics, replacements),
-        "changes": planned_changes(statistics, runs, replacements),
-        "condensed": planned_changes_condensed(statistics, runs, replacements),
-        "result": replace_series(statistics, generated, replacements, list(tables)),
-    }
+    checks = lambda name: lambda: quality_checks(runs, replacements, chunking)[name]
+    return Parts(
+        {
+            "eligibility": lambda: checked,
+            "generated": lambda: generated,
+            "counts": lambda: generated_counts(runs),
+            "gaps": checks("gaps"),
+            "resets": checks("resets"),
+            "preview": lambda: preview(runs, statistics, replacements),
+            "changes": lambda: planned_changes(statistics, runs, replacements),
+            "condensed": lambda: planned_changes_condensed(statistics, runs, replacements),
+            "result": lambda: replace_series(statistics, generated, replacements, list(tables)),
+        }
+    )
