@@ -75,9 +75,14 @@ def with_bucket(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn(BUCKET, F.pmod(F.xxhash64("series_id"), F.lit(buckets)).cast("int"))
 
 
+def _layout(rows: DataFrame) -> list[str]:
+    """Partition columns: states have no ``table``."""
+    return [c for c in ("table", BUCKET) if c in (*rows.columns, BUCKET)]
+
+
 def _gathered(rows: DataFrame) -> DataFrame:
     """Rows of a partition in few tasks, so that it gets few files; adaptive execution splits large ones."""
-    return rows.hint("rebalance", "table", BUCKET)
+    return rows.hint("rebalance", *_layout(rows))
 
 
 def staged(rows: DataFrame, path: str) -> DataFrame:
@@ -99,9 +104,9 @@ def write_version(rows: DataFrame, path: str) -> None:
 
 
 def write_bucketed(rows: DataFrame, path: str, buckets: int) -> None:
-    """Write a new table laid out by series bucket, so that later swaps touch few files."""
+    """Write states or statistics laid out by series bucket, so that a few series are found and swapped in few files."""
     placed = _gathered(with_bucket(rows, buckets))
-    placed.write.mode("errorifexists").partitionBy("table", BUCKET).parquet(path)
+    placed.write.mode("errorifexists").partitionBy(*_layout(rows)).parquet(path)
 
 
 def swap_in_place(

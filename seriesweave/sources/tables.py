@@ -20,6 +20,7 @@ from ..schema import (
     STATISTICS,
     STATISTICS_TIME_COLUMNS,
 )
+from .sinks import BUCKET, with_bucket
 
 
 class TableError(ValueError):
@@ -189,9 +190,18 @@ def canonical_statistics(
     return rows.withColumn(MARKS, F.lit("epoch" if "last_reset_ts" in statistics.columns else "text")) if layout else rows
 
 
-def only_series(df: DataFrame, wanted: DataFrame, column: str = "series_id") -> DataFrame:
-    """Rows of the wanted series; Catalyst broadcasts ``wanted`` when it is small enough."""
-    return df.join(wanted.select(F.col(column).alias("series_id")), "series_id", "left_semi")
+def only_series(df: DataFrame, wanted: DataFrame, column: str = "series_id", buckets: int | None = None) -> DataFrame:
+    """Rows of the wanted series; Catalyst broadcasts ``wanted`` when it is small enough.
+
+    With ``buckets``, the number that ``write_bucketed`` laid ``df`` out by, the wanted series' buckets are
+    partition filters too: where ``wanted`` is broadcast, no file of another bucket is read.
+    """
+    ids = wanted.select(F.col(column).alias("series_id"))
+    if buckets is None:
+        return df.join(ids, "series_id", "left_semi")
+    # Spark prunes partitions only by a side that has a filter of its own; all bucket numbers pass this one.
+    ids = with_bucket(ids, buckets).where(F.col(BUCKET) >= 0)
+    return df.join(ids, [BUCKET, "series_id"], "left_semi")
 
 
 def jdbc_options(url: str, table: str, key: str, low: int, high: int, partitions: int, **more: str) -> dict:

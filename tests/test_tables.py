@@ -1,7 +1,8 @@
 import pytest
 
-from seriesweave.schema import STATES, STATISTICS
 from seriesweave.operators import profile, quality
+from seriesweave.schema import STATES, STATISTICS
+from seriesweave.sources.sinks import BUCKET, with_bucket, write_bucketed
 from seriesweave.sources.tables import TableError, canonical_states, canonical_statistics, jdbc_options, only_series
 
 
@@ -111,3 +112,32 @@ def test_reset_marks_go_by_the_layout_of_their_table(spark):
     # Without the layout the caller tells, as before.
     plain = canonical_statistics(older)
     assert profile.last_reset_rows(plain).count() == 0 and profile.last_reset_rows(plain, "text").count() == 2
+
+
+def _files_read(df):
+    """Files that the scan of a frame opened, once it has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan
+    leaves = plan.collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    scans = [s.plan() if hasattr(s, "plan") and "Stage" in s.nodeName() else s for s in scans]
+    return sum(s.metrics().apply("numFiles").value() for s in scans if s.nodeName().startswith("Scan parquet"))
+
+
+@pytest.mark.parametrize("kind", ["states", "statistics"])
+def test_a_few_series_are_found_in_their_buckets_only(spark, tmp_path, states, statistics, kind):
+    if kind == "states":
+        rows = states(*((f"sensor.s{i}", 10 * i, "1") for i in range(200)))
+    else:
+        rows = statistics([{"series_id": f"sensor.s{i}", "start_ts": 3600} for i in range(200)])
+    write_bucketed(rows, f"{tmp_path}/t", 32)
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    wanted = spark.createDataFrame([("sensor.s7",), ("sensor.s11",), ("sensor.none",)], "series_id string")
+    found = only_series(stored, wanted, buckets=32)
+    assert sorted(r.series_id for r in found.collect()) == ["sensor.s11", "sensor.s7"]
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert f"dynamicpruningexpression({BUCKET}" in text
+    buckets = with_bucket(wanted, 32).select(BUCKET).distinct().count()
+    files, every = _files_read(found), _files_read(stored)
+    assert files <= buckets < every
