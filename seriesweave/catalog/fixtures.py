@@ -18,6 +18,7 @@ from ..schema import INTERVALS, STATISTICS
 CHANGE = "2024-01-16 00:00:00"
 RUN_TS = 1_706_745_600.0
 FIRST_DAY = 1_704_067_200
+ZONES = ("America/New_York", "Asia/Kolkata", "Europe/Berlin")
 
 
 # Naming the columns saves a job that looks them up.

@@ -606,6 +606,10 @@ FROM p WHERE position <= 5""",
     "states_from_legacy": _with(F)
     + """SELECT series_id, floor(ts) AS ts, row_id, CAST(cents AS VARCHAR) AS state, e.props AS attrs
 FROM readings r JOIN events e ON e.event_id = r.row_id""".replace("floor(ts)", "floor(r.ts)"),
+    "states_from_legacy_zones": _with(F)
+    # In January the zones are 5 hours behind, 5.5 and 1 hours ahead of UTC.
+    + """SELECT series_id, floor(ts) - CASE row_id % 3 WHEN 0 THEN -18000 WHEN 1 THEN 19800 ELSE 3600 END AS ts, row_id,
+       CAST(cents AS VARCHAR) AS state FROM readings""",
     "statistics_from_dictionary": _with(F)
     + """SELECT series_id, tbl AS "table", i AS interval_s, start_ts, row_id, state, sum, CAST(NULL AS DOUBLE) AS mean,
        CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max,

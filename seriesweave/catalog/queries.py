@@ -498,6 +498,15 @@ def states_from_legacy(spark, sf_dir):
     return canonical_states(fx.legacy_states(spark, sf_dir), text_zone="utc").drop("attrs_fallback")
 
 
+def states_from_legacy_zones(spark, sf_dir):
+    """Three sites that wrote local times, each in its own zone."""
+    rows = fx.legacy_states(spark, sf_dir)
+    sites = [
+        canonical_states(rows.where(F.col("state_id") % len(fx.ZONES) == n), text_zone=zone) for n, zone in enumerate(fx.ZONES)
+    ]
+    return reduce(DataFrame.unionByName, sites).select("series_id", "ts", "row_id", "state")
+
+
 def statistics_from_dictionary(spark, sf_dir):
     stored = fx.recorder_statistics(spark, sf_dir)
     return canonical_statistics(stored["statistics"], stored["statistics_meta"])
@@ -612,6 +621,7 @@ QUERIES: dict[str, Query] = {
         states_from_dictionary,
         states_for_detection,
         states_from_legacy,
+        states_from_legacy_zones,
         statistics_from_dictionary,
         statistics_from_dictionaries,
         statistics_of_successors,

@@ -27,9 +27,19 @@ def _naive_seconds(text: Column) -> Column:
     ).cast("double")
 
 
-def text_epoch(text: Column) -> Column:
-    """ISO text to epoch seconds; text without a zone is in the session's zone."""
-    return _micros(_iso(text).try_cast("timestamp"))
+def text_epoch(text: Column, zone: str | None = None) -> Column:
+    """ISO text to epoch seconds; text without a zone is in the named zone, else in the session's.
+
+    A local time that the clocks pass twice in autumn is the first of the two.
+    """
+    iso = _iso(text)
+    zoned = _micros(iso.try_cast("timestamp"))
+    if zone is None:
+        return zoned
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), iso.try_cast("timestamp_ntz"))
+    naive = F.timestamp_diff("MICROSECOND", start, utc) / F.lit(1e6)
+    return F.when(iso.rlike(r"\d{2}:\d{2}.*" + _HAS_ZONE), zoned).otherwise(naive)
 
 
 def text_epoch_utc(text: Column) -> Column:

@@ -46,7 +46,7 @@ def _epoch(df: DataFrame, name: str, text_zone: str) -> Column:
         return F.unix_micros(name) / F.lit(1e6)
     if name.endswith("_ts") or not isinstance(field, T.StringType):
         return F.col(name).try_cast("double")
-    return text_epoch_utc(F.col(name)) if text_zone == "utc" else text_epoch(F.col(name))
+    return text_epoch_utc(F.col(name)) if text_zone == "utc" else text_epoch(F.col(name), None if text_zone == "local" else text_zone)
 
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -73,7 +73,8 @@ def canonical_states(
     - ``none``: no payload
 
     ``text_zone`` says how legacy text timestamps without a zone are read:
-    ``local`` (the session zone) or ``utc``. A table without a usable id or time
+    ``local`` (the session zone), ``utc``, or the name of the zone of the site that wrote
+    the table, so that sites of several zones can be united. A table without a usable id or time
     column gives no rows, or a ``TableError`` when ``strict``.
     """
     time = _first_of(states, STATE_TIME_COLUMNS)

@@ -1,4 +1,6 @@
 import math
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +147,21 @@ def test_large_decimals_are_compared_with_their_places(spark):
     rows = spark.createDataFrame(pairs, "a string, b string, same boolean").selectExpr("same", "parse_json(a) a", "parse_json(b) b")
     key = lambda c: variants.compare_key(F.col(c), F.schema_of_variant(c))
     assert all(r.same == r.found for r in rows.select("same", key("a").eqNullSafe(key("b")).alias("found")).collect())
+
+
+@pytest.mark.parametrize("session", ["UTC", "Asia/Tokyo"])
+def test_local_times_of_named_zones(spark, session):
+    """Against zoneinfo, over a year with both changes of the clocks, whatever the session's zone is."""
+    texts = [f"2024-{month:02d}-{day:02d}T{hour:02d}:30:00" for month, day in ((1, 5), (3, 10), (3, 31), (7, 1), (10, 27), (11, 3)) for hour in (0, 1, 4, 13)]
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        for zone in ("America/New_York", "Europe/Berlin", "Asia/Kolkata", "UTC"):
+            rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", times.text_epoch(F.col("x"), zone).alias("y")).collect()
+            assert all(r.y == datetime.fromisoformat(r.x).replace(tzinfo=ZoneInfo(zone)).timestamp() for r in rows)
+        assert one(spark, "2024-01-05T12:00:00+02:00", lambda c: times.text_epoch(c, "America/New_York")) == 1704448800.0
+        assert one(spark, "2024-01-05 12:00:00.25", lambda c: times.text_epoch(c, "UTC")) == 1704456000.25
+        assert one(spark, "not a time", lambda c: times.text_epoch(c, "UTC")) is None
+        local = one(spark, "2024-01-05T12:00:00", times.text_epoch)
+        assert local == datetime(2024, 1, 5, 12, tzinfo=ZoneInfo(session)).timestamp()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
