@@ -131,6 +131,20 @@ def _fill(rolled: DataFrame, strict_cutoff: bool) -> DataFrame:
     )
 
 
+def predecessors(statistics: DataFrame, replacements: DataFrame, tables: Mapping[str, int] = INTERVALS) -> DataFrame:
+    """Per successor and table what is looked up in its predecessor, from one pass over the statistics.
+
+    ``base`` is the newest sum, from which sums go on, and ``end_ts`` the time of the last row.
+    """
+    summed = F.when(F.col("sum").isNotNull(), F.struct("start_ts", "row_id", "sum"))
+    found = (
+        statistics.where(F.col("table").isin(*tables))
+        .groupBy(F.col("series_id").alias("old_id"), "table")
+        .agg(F.max(summed)["sum"].alias("base"), F.max("start_ts").alias("end_ts"))
+    )
+    return replacements.join(found, "old_id").select(F.col("new_id").alias("series_id"), "table", "base", "end_ts")
+
+
 def rebuilt_runs(
     states: DataFrame,
     statistics: DataFrame,
@@ -141,19 +155,18 @@ def rebuilt_runs(
     strict_cutoff: bool = False,
     run_ts: float | None = None,
     chunking: Chunking = DEFAULT_CHUNKING,
+    with_end: bool = False,
 ) -> DataFrame:
-    """The rows rebuilt from the successors' states: ``schema.STATISTICS`` with ``until_ts``, see ``plans.runs``."""
+    """The rows rebuilt from the successors' states: ``schema.STATISTICS`` with ``until_ts``, see ``plans.runs``.
+
+    ``with_end`` adds ``end_ts``, the time of the predecessor's last row.
+    """
     # Buckets of every table are made of whole buckets of this length.
     finest = math.gcd(*tables.values())
     rolled = _roll_up(_chain(_fold_buckets(states, replacements, finest, chunking)), tables)
-
-    # Sums continue from the newest sum of the predecessor.
-    newest = (
-        statistics.where(F.col("sum").isNotNull() & F.col("table").isin(*tables))
-        .groupBy(F.col("series_id").alias("old_id"), "table")
-        .agg(F.max(F.struct("start_ts", "row_id", "sum"))["sum"].alias("base"))
-    )
-    base = replacements.join(newest, "old_id").select(F.col("new_id").alias("series_id"), "table", "base")
+    base = predecessors(statistics, replacements, tables)
+    if not with_end:
+        base = base.drop("end_ts")
 
     counting = F.col("kind").isin(*TOTAL_KINDS)
     total = F.col("kind") == "total"
@@ -172,7 +185,8 @@ def rebuilt_runs(
     }
     # Joined before filling, while there is a row for every occupied bucket only.
     filled = _fill(rolled.join(base, ["series_id", "table"], "left"), strict_cutoff)
-    return filled.select("series_id", "table", "interval_s", *(c.alias(n) for n, c in columns.items()))
+    more = ["end_ts"] if with_end else []
+    return filled.select("series_id", "table", "interval_s", *(c.alias(n) for n, c in columns.items()), *more)
 
 
 def rebuilt_rows(
@@ -249,8 +263,7 @@ def generate_runs(
     that end, so that no run reaches over a copied row.
     """
     copied = as_runs(copied_rows(statistics, replacements, tables, last_reset_as=last_reset_as))
-    rebuilt = rebuilt_runs(states, statistics, replacements, tables, last_reset_as=last_reset_as, **options)
-    rebuilt = rebuilt.join(ends_of_predecessors(statistics, replacements), ["series_id", "table"], "left")
+    rebuilt = rebuilt_runs(states, statistics, replacements, tables, last_reset_as=last_reset_as, with_end=True, **options)
     step, shared = F.col("interval_s"), last_up_to(rebuilt, F.col("end_ts"))
     piece = lambda begin, until: F.struct(begin.alias("start_ts"), until.alias(UNTIL))
     single = F.transform(
