@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,18 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 16 << 20
 
 
+def size_in_bytes(text: str) -> int:
+    """A size as Spark's settings write it: `64m`, `1g`, `262144b`; bytes without a unit."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << (10 * " kmgtp".index(unit or " "))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python at most 16 MB at a time, so that a task's memory does not grow with their length.
 
     A session that asks for less is left as it is.
     """
-    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+    if not 0 < size_in_bytes(spark.conf.get(BATCH)) <= BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
