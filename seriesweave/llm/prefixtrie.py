@@ -39,8 +39,9 @@ from seriesweave.llm.ordering import in_order
 from seriesweave.llm.tables import written
 from seriesweave.plans.timeline import Chunking, with_previous
 
-#: Positions, depths and siblings per cell, and nodes per block of the tour.
+#: Positions and depths per cell, node numbers of siblings per cell, and nodes per block of the tour.
 CELL = 1 << 16
+SIBLINGS = 1 << 11
 BLOCK = 1 << 15
 CHUNK = 1 << 17
 FAMILY = 5
@@ -186,7 +187,7 @@ def _members(prefixes: DataFrame, convs: DataFrame) -> DataFrame:
 def _tour(nodes: DataFrame) -> DataFrame:
     """node, its n_children, and next_in and next_out, the arcs after its enter arc 2 * node and its exit arc 2 * node + 1 (-1: none)."""
     below = nodes.filter("parent is not null").select("node", "parent").withColumn("_back", -F.col("node"))
-    below = with_previous(below, ["parent"], ["_back"], {"_next": F.struct("node")}, chunking=Chunking(CELL))
+    below = with_previous(below, ["parent"], ["_back"], {"_next": F.struct("node")}, chunking=Chunking(SIBLINGS))
     last = F.col("parent") * 2 + 1
     sideways = below.select("node", F.coalesce(F.col("_next.node") * 2, last).alias("next_out"))
     children = below.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"), F.min(F.col("_back") * -1).alias("_first"))

@@ -62,7 +62,7 @@ def test_trie_equals_brute_force(spark):
     checked(spark, conversations(1, 120, 9))
 
 
-@pytest.mark.parametrize("sizes", [{"CELL": 4, "BLOCK": 5, "CHUNK": 3}])
+@pytest.mark.parametrize("sizes", [{"CELL": 4, "SIBLINGS": 4, "BLOCK": 5, "CHUNK": 3}])
 def test_links_between_blocks_and_cells(spark, monkeypatch, sizes):
     rows = conversations(2, 60, 25)
     rows += [(1000 + i, t, "user", f"same {t}") for i in range(40) for t in range(3)]  # a very common conversation
