@@ -95,6 +95,34 @@ def test_no_group_within_a_quota_is_split(make_docs, hot):
     assert all(abs(sizes[s] - quota) < 0.1 * quota for s in range(16))
 
 
+@pytest.mark.parametrize("copies", [3, 30])
+def test_copies_move_to_their_hub(make_docs, copies):
+    """Documents start apart; propagation, not the start, brings the copies together."""
+    texts = random_texts(400, seed=8, words=30)
+    rows = list(enumerate(texts)) + [(1000 + 100 * g + k, texts[g]) for g in range(20) for k in range(copies - 1)]
+    text, groups = dict(rows), defaultdict(list)
+    got = {r.doc_id: r for r in sharding.shard(make_docs(rows)).collect()}
+    for d in got:
+        groups[text[d]].append(d)
+    linked = [sorted(g) for g in groups.values() if len(g) > 1]
+    assert all((got[d].start_shard is None) == (len(groups[t]) == 1) for d, t in text.items())
+    links = [(d, g[0]) for g in linked for d in g[1:]]
+    before = sum(got[a].start_shard != got[b].start_shard for a, b in links)
+    assert before > 0.8 * len(links)
+    assert sum(got[a].shard != got[b].shard for a, b in links) == 0
+    assert sum(r.start_shard not in (None, r.shard) for r in got.values()) >= before
+
+
+def test_hubs_without_room_move(spark):
+    """All hubs start in one shard that cannot hold their groups."""
+    nodes = spark.createDataFrame([(i, 10, 0 if i % 5 == 0 else i % 4) for i in range(400)], "node long, size long, shard int")
+    links = spark.createDataFrame([(g * 5 + k, g * 5) for g in range(80) for k in range(1, 5)], "src long, dst long")
+    got = sharding.propagate(nodes, links, 4, 1050.0).collect()
+    shard = {r.node: r.shard for r in got}
+    assert max(Counter(shard.values()).values()) <= 109
+    assert sum(len({shard[g * 5 + k] for k in range(5)}) > 1 for g in range(80)) <= 2
+
+
 def test_full_shards_change_places(spark):
     """Every document has links and quotas leave no room: what leaves makes room for what comes."""
     nodes = spark.createDataFrame([(i, 10) for i in range(800)], "node long, size long")
