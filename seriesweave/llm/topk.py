@@ -38,6 +38,7 @@ class Tree:
 
     vectors: np.ndarray  # in the order of leaves
     ids: np.ndarray
+    rows: np.ndarray  # numbers that tell rows of one id apart
     centre: np.ndarray
     norm: np.ndarray
     radius: np.ndarray
@@ -46,7 +47,8 @@ class Tree:
     children: list[list[int]]
 
     @staticmethod
-    def build(vectors: np.ndarray, ids: np.ndarray) -> Tree:
+    def build(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> Tree:
+        numbers = ids if rows is None else rows
         order, centres, radii, starts, stops, children = np.arange(len(ids)), [], [], [], [], []
 
         def node(rows: np.ndarray, start: int) -> int:
@@ -80,7 +82,7 @@ class Tree:
         node(np.arange(len(ids)), 0)
         centre = np.array(centres)
         return Tree(
-            vectors[order], ids[order], centre, np.sqrt((centre**2).sum(axis=1)), np.array(radii) * (1 + SLACK),
+            vectors[order], ids[order], numbers[order], centre, np.sqrt((centre**2).sum(axis=1)), np.array(radii) * (1 + SLACK),
             np.array(starts), np.array(stops), children,
         )
 
@@ -133,7 +135,7 @@ def search(queries: Tree, data: Tree, best: Best) -> None:
                 scores = a.astype(np.int64) @ b.astype(np.int64).T
             else:
                 scores = (a @ b.T).astype(np.int64)
-            scores[queries.ids[rows, None] == data.ids[own]] = NONE
+            scores[queries.rows[rows, None] == data.rows[own]] = NONE
             best.add(rows, scores, data.ids[own])
             continue
         pending.extend(sorted(pairs, key=lambda p: p[2]))
@@ -161,35 +163,35 @@ def _pivot(pivots: np.ndarray):
     return run
 
 
-def _tree_of(ids: bytes, vectors: bytes) -> Tree:
-    numbers = np.frombuffer(ids, np.int64)
-    return Tree.build(np.frombuffer(vectors[1:], f"<i{vectors[0]}").reshape(len(numbers), -1).astype(np.float64), numbers)
+def _tree_of(ids: bytes, rows: bytes, vectors: bytes) -> Tree:
+    ids, rows = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
+    return Tree.build(np.frombuffer(vectors[1:], f"<i{vectors[0]}").reshape(len(ids), -1).astype(np.float64), ids, rows)
 
 
 def _block(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row for a block: its distinct rows by id, and the ball around them."""
-    ids, first = np.unique(rows["vec_id"].to_numpy(), return_index=True)
-    v = _matrix(rows["v"])[first]
+    """One row for a block: its rows in order, and the ball around them."""
+    order = np.argsort(rows["row"].to_numpy())
+    ids, numbers, v = rows["vec_id"].to_numpy()[order], rows["row"].to_numpy()[order], _matrix(rows["v"])[order]
     centre = v.mean(axis=0)
     radius = np.sqrt(((v - centre) ** 2).sum(axis=1)).max() * (1 + SLACK)
     width = 2 if np.abs(v).max() < 2**15 else 8
     return pa.table({
         "block": [key[0].as_py()], "n": [len(ids)], "centre": [centre.tolist()], "norm": [float(np.sqrt((centre**2).sum()))], "radius": [float(radius)],
-        "ids": [ids.tobytes()], "vectors": [bytes([width]) + v.astype(f"<i{width}").tobytes()],
+        "ids": [ids.tobytes()], "rows": [numbers.tobytes()], "vectors": [bytes([width]) + v.astype(f"<i{width}").tobytes()],
     }, schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("centre", pa.list_(pa.float64())), ("norm", pa.float64()), ("radius", pa.float64()),
-                         ("ids", pa.binary()), ("vectors", pa.binary())]))
+                         ("ids", pa.binary()), ("rows", pa.binary()), ("vectors", pa.binary())]))
 
 
-BLOCK = "block long, n long, centre array<double>, norm double, radius double, ids binary, vectors binary"
-FOUND = "q_block long, query_id long, vec_id long, score long"
+BLOCK = "block long, n long, centre array<double>, norm double, radius double, ids binary, rows binary, vectors binary"
+FOUND = "q_block long, query_row long, query_id long, vec_id long, score long"
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (vec_id, v, pivot) in blocks of about `size`, large pivots split by a hash of the id."""
+    """Rows (vec_id, v, pivot, row) in blocks of about `size`, large pivots split by a hash of the row."""
     pieces = rows.groupBy("pivot").agg(F.ceil(F.count("*") / size).alias("pieces"))
     dealt = rows.join(F.broadcast(pieces), "pivot")  # one row per pivot, MOST_PIVOTS at most
-    block = F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))
-    blocks = dealt.select("vec_id", "v", block.alias("block")).groupBy("block").applyInArrow(_block, BLOCK)
+    block = F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("row"), F.col("pieces"))
+    blocks = dealt.select("vec_id", "row", "v", block.alias("block")).groupBy("block").applyInArrow(_block, BLOCK)
     return written(blocks.select(*(F.col(c).alias(f"{name}_{c}") for c in blocks.columns)), name)
 
 
@@ -199,15 +201,15 @@ def _search(k: int):
         for table in tables:
             for row in table.to_pylist():
                 if held != row["d_block"]:
-                    held, data = row["d_block"], _tree_of(row["d_ids"], row["d_vectors"])
-                queries = _tree_of(row["q_ids"], row["q_vectors"])
+                    held, data = row["d_block"], _tree_of(row["d_ids"], row["d_rows"], row["d_vectors"])
+                queries = _tree_of(row["q_ids"], row["q_rows"], row["q_vectors"])
                 known = dict(row["floors"] or ())
-                floor = np.array([known.get(i, NONE) for i in queries.ids.tolist()], dtype=np.int64)
+                floor = np.array([known.get(i, NONE) for i in queries.rows.tolist()], dtype=np.int64)
                 best = Best(len(queries.ids), k, floor)
                 search(queries, data, best)
                 q, j = np.nonzero((best.scores > NONE) & (best.scores >= floor[:, None]))
-                columns = [np.full(len(q), row["q_block"]), queries.ids[q], best.ids[q, j], best.scores[q, j]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q_block", "query_id", "vec_id", "score"])
+                columns = [np.full(len(q), row["q_block"]), queries.rows[q], queries.ids[q], best.ids[q, j], best.scores[q, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q_block", "query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -226,8 +228,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, data_block: int = DAT
     """query_id, rank, vec_id, score: the k best other rows of each query in vectors(vec_id, embedding, ...).
 
     Queries are the rows whose id is divisible by `every`. Vectors that are null, empty or
-    hold null or non-finite components take no part, nor do null ids; rows that repeat an id
-    count once, with one of its vectors. Vectors have the most common length; others cannot
+    hold null or non-finite components take no part, nor do null ids. Rows that repeat an id are
+    rows of their own: as candidates of each other, and as queries with k results each. Vectors have the most common length; others cannot
     be multiplied with them and take no part. Ties go to the smaller id.
     """
     rows = vectors.select("vec_id", quantized(F.col("embedding")).alias("v")).filter("vec_id is not null and v is not null")
@@ -237,28 +239,29 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, data_block: int = DAT
     rows, count = rows.filter(F.size("v") == sizes["size"]), sizes["n"]
     wanted = min(MOST_PIVOTS, max(1, -(-count // data_block)))
     share = int(min(1.0, 4 * wanted / count) * (1 << 40))
-    near = rows.filter(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(1 << 40)) <= share)
-    sample = near.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()
+    near = rows.filter(F.pmod(F.xxhash64(F.lit(7), "vec_id", "v"), F.lit(1 << 40)) <= share)
+    sample = near.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(wanted).collect()
     pivots = np.array([r["v"] for r in sample or [rows.first()]], dtype=np.float64)
-    dealt = written(rows.mapInArrow(_pivot(pivots), "vec_id long, v array<long>, pivot int"), "vectors")
+    dealt = rows.mapInArrow(_pivot(pivots), "vec_id long, v array<long>, pivot int")
+    dealt = written(dealt.withColumn("row", F.monotonically_increasing_id()), "vectors")
     data = _blocks(dealt, data_block, "d")
     queries = _blocks(dealt.filter(F.col("vec_id") % every == 0), query_block, "q")
     pairs = written(_pairs(queries, data), "pairs")
     find = _search(k)
-    asked = queries.select("q_block", "q_n", "q_ids", "q_vectors")
-    held = data.select("d_block", "d_ids", "d_vectors")
+    asked = queries.select("q_block", "q_n", "q_ids", "q_rows", "q_vectors")
+    held = data.select("d_block", "d_ids", "d_rows", "d_vectors")
 
     first = pairs.groupBy("q_block").agg(F.max(F.struct("most", "d_block")).alias("best")).select("q_block", "best.d_block")
     met = first.join(asked, "q_block").withColumn("floors", F.lit(None).cast("map<bigint,bigint>"))
     found = written(met.join(held, "d_block").mapInArrow(find, FOUND), "first")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     kth = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k)
     floors = kth.groupBy("q_block").agg(
-        F.map_from_entries(F.collect_list(F.struct("query_id", "score"))).alias("floors"), F.min("score").alias("least"), F.count("*").alias("known")
+        F.map_from_entries(F.collect_list(F.struct("query_row", "score"))).alias("floors"), F.min("score").alias("least"), F.count("*").alias("known")
     )
     rest = pairs.join(first, ["q_block", "d_block"], "left_anti").join(asked, "q_block").join(floors, "q_block", "left")
     rest = rest.filter(F.col("least").isNull() | (F.col("known") < F.col("q_n")) | (F.col("most") >= F.col("least")))
-    more = rest.select("d_block", "q_block", "q_ids", "q_vectors", "floors").join(held, "d_block").mapInArrow(find, FOUND)
+    more = rest.select("d_block", "q_block", "q_ids", "q_rows", "q_vectors", "floors").join(held, "d_block").mapInArrow(find, FOUND)
     ranked = found.unionByName(more).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -13,15 +13,16 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def brute_top(rows, every, k):
-    fine = {}
+    fine = []
     for i, v, *_ in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            fine[i] = np.floor(np.array(v, dtype=np.float32).astype(float) * 256).astype(np.int64)
+            fine.append((i, np.floor(np.array(v, dtype=np.float32).astype(float) * 256).astype(np.int64)))
     out = []
-    for q in sorted(x for x in fine if x % every == 0):
-        best = sorted(((-int(fine[q] @ fine[i]), i) for i in fine if i != q))[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return out
+    for n, (q, v) in enumerate(fine):
+        if q % every == 0:
+            best = sorted((-int(v @ w), i) for m, (i, w) in enumerate(fine) if m != n)[:k]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("blocks", [(4096, 256), (40, 5)])
@@ -36,6 +37,16 @@ def test_top_k_is_exact(spark, blocks):
     assert sorted(map(tuple, got)) == brute_top(rows, 50, 5)
 
 
+@pytest.mark.parametrize("blocks", [(4096, 256), (40, 5)])
+def test_rows_that_repeat_an_id(spark, blocks):
+    """Different vectors of one id are rows of their own, also where one id holds a third of all rows."""
+    rows = [(1, [1.0, 1.0], 0), (1, [5.0, 5.0], 0), (50, [1.0, 1.0], 0), (50, [2.0, -1.0], 0)]
+    rows += [(100, [float(i % 7), float(i % 5)], 0) for i in range(40)] + [(200 + i, [float(-i), 1.0], 0) for i in range(1, 80)]
+    extra = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 as row", "2 as pivot", "3 as v", "4 as score")
+    got = topk.top_k(extra, 50, 5, *blocks).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 50, 5)
+
+
 def test_top_k_of_few_and_of_large_vectors(spark):
     make = lambda rows: spark.createDataFrame(rows, VECTORS)
     assert topk.top_k(make([])).collect() == []
