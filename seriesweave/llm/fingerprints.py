@@ -130,8 +130,9 @@ def within_radius(found: DataFrame, radius: int = 3, extra: int = 3) -> DataFram
     one = found.filter(F.col("fingerprint").isNotNull()).select("fingerprint").distinct().withColumn("bits", bits)
     tables = F.array(*(F.struct(F.lit(i).alias("table"), F.col("bits").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)))
     keyed = one.select("bits", F.explode(tables).alias("key"))
-    left, right = keyed.withColumnRenamed("bits", "a"), keyed.withColumnRenamed("bits", "b")
+    left, right = keyed.select(F.col("bits").alias("a"), "key"), keyed.select(F.col("bits").alias("b"), F.col("key").alias("same"))
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    near = (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (distance <= radius)
+    pairs = left.join(right, near).select("a", "b", distance.alias("distance")).distinct()
     text = lambda c: F.lower(F.lpad(F.hex(c), BITS // 4, "0"))
     return pairs.select(F.least(text("a"), text("b")).alias("a"), F.greatest(text("a"), text("b")).alias("b"), "distance")
