@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from seriesweave.llm import lines, mixing, neardup, packing, toxicity
 from seriesweave.llm.tables import read, written
 
+#: Pieces that one training sequence may hold, and the weights of tokens, pieces and attention cost in the choice.
+MOST_PIECES = 32
+WEIGHTS = (1.0, 0.25, 0.01)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score says toxic go (operator 8)."""
@@ -38,8 +42,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 ids, packed into sequences (operator 2); a repeated document has its pieces again."""
-    return packing.packed(docs)
+    """Pieces of at most 4096 ids, packed into sequences of at most 4096 ids and 32 pieces (operator 2).
+
+    A repeated document has its pieces again. The attention cost has its weight in the choice; its
+    capacity is one full piece's, as that is the least that takes every piece.
+    """
+    return packing.pack(packing.token_pieces(docs), docs.count(), most_pieces=MOST_PIECES, weights=WEIGHTS)
 
 
 STAGES = [
