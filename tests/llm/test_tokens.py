@@ -126,3 +126,49 @@ def test_one_part_is_near_the_bound():
     lengths = -np.sort(-np.random.default_rng(1).integers(1, 3000, 3000))
     bins, _ = packing.best_fit(lengths, 4096, 4096, 4096**2, (1.0, 0.01, 0.01), "norm")
     assert len(np.unique(bins)) <= np.ceil(lengths.sum() / 4096) * 1.01 + 1
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_every_capacity_binds_on_a_table(spark, score):
+    """Against a plain best fit; without any one of the capacities the result is another."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(np.concatenate([rng.integers(1, 40, 300), rng.integers(300, 1000, 200)]))]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    limits, weights = (4096, 12, 3_000_000), (1.0, 0.5, 0.5)
+
+    def plain(tokens, most, cost):
+        bins = []
+        for doc_id, _, _, n, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+            need, best = (n, 1, n * n), None
+            for room, held in bins:
+                if all(r >= x for r, x in zip(room, need)):
+                    scaled = [((r - x) / c, r * x / c**2) for r, x, c in zip(room, need, (tokens, most, cost))]
+                    value = sum(w * a * a for w, (a, _) in zip(weights, scaled)) if score == "norm" else -sum(w * b for w, (_, b) in zip(weights, scaled))
+                    if best is None or value < best[0] - 1e-12:
+                        best = value, room, held
+            if best is None:
+                bins.append(([tokens, most, cost], []))
+                best = 0, *bins[-1]
+            best[1][:] = [r - x for r, x in zip(best[1], need)]
+            best[2].append(doc_id)
+        return bins
+
+    def got(tokens, most, cost):
+        found = {}
+        for r in packing.pack(pieces, len(rows), tokens, most, cost, weights, score).collect():
+            found.setdefault(r.sequence_id, []).append(r)
+        return list(found.values())
+
+    found = got(*limits)
+    for held in found:
+        lengths = [r.length for r in held]
+        assert sum(lengths) <= 4096 and len(held) <= 12 and sum(n * n for n in lengths) <= 3_000_000
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+    assert sum(len(held) for held in found) == len(rows)
+    want = plain(*limits)
+    assert abs(len(found) - len(want)) <= 1
+    for loose in ((10**6, 12, 3_000_000), (4096, 10**6, 3_000_000), (4096, 12, 10**9)):
+        assert sorted(map(len, got(*loose))) != sorted(map(len, found))
