@@ -23,15 +23,17 @@ from seriesweave.llm.components import components
 from seriesweave.llm.setsketch import REGISTERS, bands, digests, likely_similarity, registers, shingle_sets
 from seriesweave.llm.tables import small_batches, written
 from seriesweave.llm.tokens import release
+from seriesweave.llm.words import tidy
 
 ROUNDS = 2
 BLOCK = 1024
-BROADCAST_ROWS = 1_000_000  # of at most 16 bytes; above, a shuffle
+BATCH_BYTES = 4 << 20  # of texts, registers or sets handed to Python at once
 
 
 def _sketch(size: int):
     names = ["doc_id", "text_key", "n", "node", "registers"]
 
+    @tidy
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for table in tables:
@@ -52,6 +54,7 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
 
 
+@tidy
 def _bands(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in tables:
         keys = bands(_rows(table.column(1))) if table.num_rows else np.zeros((0, 1), np.uint64)
@@ -62,6 +65,7 @@ def _bands(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _likely(least: float):
     """Keep pairs (a, b, n_a, n_b, r_a, r_b) whose most likely similarity is at least `least`."""
 
+    @tidy
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             if table.num_rows:
@@ -75,6 +79,7 @@ def _likely(least: float):
 def _sets(size: int):
     """node and set of those texts that are of that class."""
 
+    @tidy
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for table in tables:
@@ -101,6 +106,7 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(percent: int):
+    @tidy
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             keep = []
@@ -145,13 +151,16 @@ def _text_key(docs: DataFrame) -> Column:
 
 class _Search:
     def __init__(self, docs: DataFrame, size: int, percent: int):
-        small_batches(docs.sparkSession)
+        small_batches(docs.sparkSession, BATCH_BYTES)
         self.docs, self.size, self.percent = docs, size, percent
         self.least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
         kind = "doc_id long, text_key long, n long, node long, registers binary"
-        self.sketches = written(docs.select("doc_id", "text", _text_key(docs)).mapInArrow(_sketch(size), kind), "sketches")
-        filled = self.sketches.filter("n > 0")
-        self.classes = written(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
+        sketches = docs.select("doc_id", "text", _text_key(docs)).mapInArrow(_sketch(size), kind)
+        self.sketches = written(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
+        # Only numbers are aggregated, in hash tables; registers come from one row of each class.
+        longs = self.sketches.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("row").alias("row"))
+        of_row = self.sketches.select("row", "registers")
+        self.classes = written(written(longs, "longs").join(of_row, "row").drop("row"), "classes")
         keyed = self.classes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
         shared = keyed.groupBy("bucket").agg(F.count("*").alias("classes")).filter("classes > 1")
         # Written, as are other sums that rows of hot keys are joined to: a join of two shuffles can be split.
@@ -210,7 +219,6 @@ class _Search:
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node and set of classes, from the text of one member each."""
         reps = written(nodes.join(self.classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id"), "involved")
-        reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
         texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"])).select("node", "text")
         return written(texts.mapInArrow(_sets(self.size), "node long, set binary").dropDuplicates(["node"]), "sets")
 
@@ -276,7 +284,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     def of(some: DataFrame) -> tuple[DataFrame, Column]:
         some = some.select("_id", "_key")
-        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
         return some, (docs["doc_id"] == some["_id"]) & (_text_key(docs) == some["_key"])
 
     again = keys.filter("stays")

@@ -13,6 +13,7 @@ import numpy as np
 from seriesweave.llm.words import Words, batches, mix, words
 
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 all bands miss with a chance of 3e-6
+RUN = 200_000  # characters sketched at once; a longer text is a run of its own
 REGISTERS = 163  # a prime, so that every step walks through all of them; bands use 160
 BASE = 1.02
 _STEP = 0x9E3779B97F4A7C15
@@ -52,7 +53,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str | None], size: int):
     """(first text, hashes, starts) for runs of texts."""
-    for a, b in batches(texts):
+    for a, b in batches(texts, RUN):
         yield a, *shingles(words(texts[a:b]), size)
 
 

@@ -24,13 +24,13 @@ def size_in_bytes(text: str) -> int:
     return int(number) << (10 * " kmgtp".index(unit or " "))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python at most 16 MB at a time, so that a task's memory does not grow with their length.
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Hand texts to Python at most `most` bytes at a time, so that a task's memory does not grow with their length.
 
     A session that asks for less is left as it is.
     """
-    if not 0 < size_in_bytes(spark.conf.get(BATCH)) <= BATCH_BYTES:
-        spark.conf.set(BATCH, str(BATCH_BYTES))
+    if not 0 < size_in_bytes(spark.conf.get(BATCH)) <= most:
+        spark.conf.set(BATCH, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

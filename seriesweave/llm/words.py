@@ -5,10 +5,13 @@ A word is a run of bytes that are no ASCII white space (`[^\\x20\\x09-\\x0D]+`).
 
 from __future__ import annotations
 
+import ctypes
 import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _SPACE = np.zeros(256, dtype=bool)
@@ -83,3 +86,23 @@ def batches(texts: list[str | None], most: int = 500_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over batches, after which the worker gives the memory it needs no more back to the machine.
+
+    Workers are used again by later tasks and otherwise keep what their largest batch took.
+    """
+
+    @functools.wraps(run)
+    def over(tables: Iterator) -> Iterator:
+        try:
+            yield from run(tables)
+        finally:
+            _powers.cache_clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return over

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesweave.llm import neardup, setsketch
 from seriesweave.llm.components import components
-from seriesweave.llm.words import words
+from seriesweave.llm.words import tidy, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -69,13 +69,38 @@ def test_against_brute_force(make_docs, copies, size, monkeypatch):
     assert len({r.component_id for r in got}) < len(rows) - 30
 
 
-def test_shuffle_join_gives_the_same(make_docs, copies, monkeypatch):
+@pytest.fixture
+def only_shuffles(spark):
+    """Joins like those of tables that are too large to be broadcast."""
+
+    def start():
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    yield start
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffle_join_gives_the_same(make_docs, copies, only_shuffles):
     docs = make_docs(copies[:60])
     want = neardup.near_duplicates(docs, size=2).collect()
-    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    only_shuffles()
     assert sorted(neardup.near_duplicates(docs, size=2).collect()) == sorted(want)
 
 
+def test_batches_end_with_memory_given_back():
+    closed = []
+
+    def run(tables):
+        try:
+            yield from tables
+        finally:
+            closed.append(True)
+
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2] and closed == [True]
+    with pytest.raises(ZeroDivisionError):
+        list(tidy(lambda tables: (1 // x for x in tables))(iter([0])))
+
+
 def test_keep_one(edge_docs, no_docs):
     rows = neardup.keep_one(edge_docs, size=2).collect()
     assert sorted((r.doc_id or -1) for r in rows) == [-1, 1, 2, 3, 4, 6, 7, 7, 8]
@@ -83,14 +108,14 @@ def test_keep_one(edge_docs, no_docs):
     assert neardup.keep_one(no_docs).collect() == [] and neardup.near_duplicates(no_docs).collect() == []
 
 
-def test_keep_one_decides_by_row(make_docs, monkeypatch):
+def test_keep_one_decides_by_row(make_docs, only_shuffles):
     """A repeated id whose texts fall in different components, equal rows, and equal rows without an id."""
     base, other, third = random_texts(3, seed=31, words=400, vocabulary=3000, lines=False)
     rows = [(3, base), (7, base + " end"), (7, other), (8, other), (9, third), (9, third), (None, "no id here"), (None, "no id here"), (5, None), (5, None)]
     want = sorted([(3, base), (7, other), (9, third), (None, "no id here"), (None, "no id here"), (5, None)], key=str)
     docs = make_docs(rows, clashing=True)
     assert sorted(((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()), key=str) == want
-    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    only_shuffles()
     assert sorted(((r.doc_id, r.text) for r in neardup.keep_one(docs).collect()), key=str) == want
 
 

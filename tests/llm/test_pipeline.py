@@ -45,9 +45,11 @@ def test_stages(spark, tables, tmp_path):
     assert third == {d for d, _, first_id in brute(list(second.items()), 5) if d == first_id} and third < first
     fourth = Counter(r.doc_id for r in kept["source_mixing"])
     assert fourth.keys() <= third and max(fourth.values()) <= 3 and len(fourth) < len(third)
-    pieces = defaultdict(int)
+    pieces, held = defaultdict(int), Counter()
     for r in kept["best_fit_packing"]:
         pieces[r.sequence_id] += r.length
+        held[r.sequence_id] += 1
+    assert max(held.values()) <= corpus_pipeline.MOST_PIECES
     assert {r.doc_id for r in kept["best_fit_packing"]} == set(fourth) and max(pieces.values()) <= 4096
     assert sum(r.piece == 0 for r in kept["best_fit_packing"]) == sum(fourth.values())
     whole = corpus_pipeline.run(spark, folder).drop("sequence_id", "offset")
@@ -61,4 +63,4 @@ def test_empty_tables(spark, tmp_path, no_docs):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and ORACLE.keys() <= QUERIES.keys()
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and ORACLE.keys() <= QUERIES.keys()
