@@ -17,14 +17,20 @@ from ..schema import LEADING_ATTRIBUTES
 from .profile import summary_paths
 
 
-def flatten(entities: DataFrame, *keys: str) -> DataFrame:
+def depth_of(entities: DataFrame) -> int:
+    """How deep the attributes nest at most."""
+    return entities.agg(F.max(nesting(F.to_json("attrs")))).first()[0] or 0
+
+
+def flatten(entities: DataFrame, *keys: str, depth: int | None = None) -> DataFrame:
     """``(keys, path, value)``: nested objects become ``a/b`` paths; lists and empty objects stay whole.
 
     Every level of nesting is one more explode in a single chain, in which values
-    that are no objects pass through. How deep the data goes is looked up first.
+    that are no objects pass through. How deep the data goes, at most, is looked up first
+    unless it is given.
     """
     keys = list(keys or ("site", "entity_id"))
-    depth = entities.agg(F.max(nesting(F.to_json("attrs")))).first()[0] or 0
+    depth = depth_of(entities) if depth is None else depth
     cells = entities.select(*keys, F.lit(None).cast("string").alias("path"), F.col("attrs").alias("value"))
     for _ in range(depth):
         fields = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>"))
@@ -53,7 +59,12 @@ def compare_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     paths that are null on both sides are left out.
     """
     site = [c for c in ("site",) if c in pairs.columns and c in cells.columns]
-    sides = pairs.select(
+    return _compare_sides(_sides(pairs, *site).join(cells, [*site, "entity_id"]), *site)
+
+
+def _sides(pairs: DataFrame, *site: str) -> DataFrame:
+    """Two rows per pair: ``(site, old_id, new_id, side, entity_id)``."""
+    return pairs.select(
         *site,
         "old_id",
         "new_id",
@@ -64,11 +75,14 @@ def compare_paths(cells: DataFrame, pairs: DataFrame) -> DataFrame:
             )
         ).alias("of"),
     ).select(*site, "old_id", "new_id", "of.side", "of.entity_id")
+
+
+def _compare_sides(cells: DataFrame, *site: str) -> DataFrame:
+    """``compare_paths`` of ``cells(site, old_id, new_id, side, path, text, match)``."""
     cell = F.struct(F.col("match").alias("match"), F.col("text").alias("text"))
     old, new = F.col("old"), F.col("new")
     return (
-        sides.join(cells, [*site, "entity_id"])
-        .groupBy(*site, "old_id", "new_id", "path")
+        cells.groupBy(*site, "old_id", "new_id", "path")
         .agg(
             F.max(F.when(F.col("side") == "old", cell)).alias("old"),
             F.max(F.when(F.col("side") == "new", cell)).alias("new"),
@@ -97,24 +111,26 @@ def compare_attributes(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     ``pairs(site, old_id, new_id)``; pairs without ``site`` hold for every site that
     has one of their entities.
     """
-    if "site" not in pairs.columns:
-        named = pairs.select("old_id", "new_id", F.explode(F.array("old_id", "new_id")).alias("entity_id"))
-        pairs = entities.select("site", "entity_id").join(named, "entity_id").select("site", "old_id", "new_id").distinct()
-    ids = pairs.select("site", F.explode(F.array("old_id", "new_id")).alias("entity_id"))
-    wanted = entities.join(ids, ["site", "entity_id"], "left_semi")
+    site = [c for c in ("site",) if c in pairs.columns]
+    # Sizes are unknown before documents are parsed: a small file may hold more entities than a broadcast could.
+    met = entities.where("site is not null").join(_sides(pairs, *site).hint("merge"), [*site, "entity_id"])
+    # One id may be at every site. Both documents of a pair meet here, as they are; their cells stay in the task.
+    partitions = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["site", "old_id", "new_id"]
+    met = met.select(*keys, "side", "attrs").repartition(partitions, *keys)
     value, kind = F.col("value"), F.col("kind")
     cells = (
-        flatten(wanted, "site", "entity_id")
+        flatten(met, *keys, "side", depth=depth_of(entities))
         .withColumn("kind", F.schema_of_variant("value"))
         .select(
-            "site",
-            "entity_id",
+            *keys,
+            "side",
             "path",
             value_text(value, kind).alias("text"),
             F.when(kind != NULL_KIND, compare_key(value, kind)).alias("match"),
         )
     )
-    return compare_paths(cells, pairs)
+    return _compare_sides(cells, "site")
 
 
 def compare_summaries(summary: DataFrame, pairs: DataFrame, tables: tuple[str, ...]) -> DataFrame:
