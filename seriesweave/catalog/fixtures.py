@@ -188,7 +188,10 @@ def registry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     keep = {"ignoreNullFields": "false"}
     doc = F.to_json(F.struct(F.struct(F.array(entry("old"), entry("new")).alias("entities")).alias("data")), keep)
-    return _read(spark, sf_dir, "customer").select(
+    # Documents are some hundred times as long as the stored rows that they are made of: few files make many of them.
+    customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    customers = customers.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return customers.select(
         text_key.alias("site"),
         F.when(key % 50 == 17, F.substring(doc, 1, 40))
         .when(key % 50 == 18, F.lit('{"data":{}}'))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from seriesweave.catalog import fixtures as fx
 from seriesweave.operators.attributes import compare_attributes
 
 
@@ -43,3 +44,11 @@ def test_pairs_at_all_sites_and_at_their_own(spark):
     )
     own = pairs.select(F.lit("s").alias("site"), "*")
     assert {row(r) for r in compare_attributes(entities, own).collect()} == {r for r in at_all if r[0] == "s"}
+
+
+def test_documents_are_spread_before_they_are_made(spark, tmp_path):
+    customers = [(i, f"C{i}", i % 25, 1.0, "BUILDING") for i in range(100)]
+    columns = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(customers, columns).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    documents = fx.registry_documents(spark, str(tmp_path))
+    assert documents.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
