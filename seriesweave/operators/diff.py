@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import change_text, number_text
 from ..functions.times import local_time
-from ..plans.runs import SPAN, UNTIL, as_runs, dealt, expand, later_than
+from ..plans.runs import SPAN, STRETCH, UNTIL, as_runs, dealt, expand, from_stretches, is_runs, later_than, stretches
 from ..plans.timeline import CELL
 from ..schema import BLOCK_EDGE, TRIVIAL_CHANGES
 from .generate import ends_of_predecessors
@@ -48,13 +48,18 @@ def _same(name: str, before: Column, after: Column) -> Column:
 def _compared(before: DataFrame, after: DataFrame, columns: Sequence[str], reach: int) -> DataFrame:
     """The changed rows of ``change_report``, still dealt out by cell: with ``_cell`` and ``_own``, see ``plans.runs.dealt``.
 
+    Of runs they are stretches, see ``plans.runs.stretches``: rows of one stretch change alike.
+
     Rows of both versions are dealt out once. Within a cell they are sorted by start and
     version, and the last row of every start looks back at the last old one: no aggregate over
     structs, and what follows finds its rows in order.
     """
     own = [*_KEYS, "interval_s", "row_id", *columns, UNTIL]
     side = lambda df, n: as_runs(df.where(F.col("start_ts").isNotNull())).select(*own, F.lit(n).alias("_side"))
-    rows = dealt(side(before, 0).unionByName(side(after, 1)), reach)
+    both = side(before, 0).unionByName(side(after, 1))
+    of_runs = is_runs(before) or is_runs(after)
+    rows = stretches(both, reach) if of_runs else dealt(both, reach)
+    place = STRETCH if of_runs else ("_own",)
     order = Window.partitionBy("series_id", "table", CELL).orderBy("start_ts", "_side", "row_id", *columns)
     version = F.struct("start_ts", *columns)
     rows = rows.withColumns(
@@ -68,7 +73,7 @@ def _compared(before: DataFrame, after: DataFrame, columns: Sequence[str], reach
         *_KEYS,
         "interval_s",
         CELL,
-        "_own",
+        *place,
         F.when(F.col("_side") == 1, F.struct(*columns)).alias("new"),
         F.when(F.col("old.start_ts") == F.col("start_ts"), F.col("old")).alias("old"),
     )
@@ -81,7 +86,12 @@ def _compared(before: DataFrame, after: DataFrame, columns: Sequence[str], reach
         found = F.struct(old(name).alias("old"), new(name).alias("new"), delta.alias("delta"))
         return F.when(~_same(name, old(name), new(name)), found).alias(name)
 
-    return rows.select(*_KEYS, "interval_s", CELL, "_own", *(change(c) for c in columns))
+    return rows.select(*_KEYS, "interval_s", CELL, *place, *(change(c) for c in columns))
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    """Single rows of what ``_compared`` gives, with ``_own``."""
+    return from_stretches(found) if "_from" in found.columns else found
 
 
 def unequal_cells(before: DataFrame, after: DataFrame, columns: Sequence[str] = COMPARED) -> DataFrame:
@@ -132,7 +142,7 @@ def change_report(before: DataFrame, after: DataFrame, columns: Sequence[str] =
     exist on one side only compare against NULLs. Of several rows with one start
     the one with the highest row id stands. Either version may consist of runs.
     """
-    return _compared(before, after, columns, 0).drop(CELL, "_own")
+    return _rows(_compared(before, after, columns, 0)).drop(CELL, "_own").select(*_KEYS, "interval_s", *columns)
 
 
 def condensed_report(
@@ -143,7 +153,29 @@ def condensed_report(
     Every cell gets the few rows beyond its borders that its decisions look at before rows are
     shuffled, so changes are compared and condensed where they lie.
     """
-    return _kept(_compared(before, after, columns, BLOCK_EDGE + 1), trivial, columns)
+    found = _compared(before, after, columns, BLOCK_EDGE + 1)
+    if "_from" not in found.columns:
+        return _kept(found, trivial, columns)
+    kept = _kept(_ends_apart(found), trivial, columns)
+    return from_stretches(kept.drop("_inner")).where("_own").select(*_KEYS, "interval_s", *columns, "omitted_before")
+
+
+def _ends_apart(found: DataFrame) -> DataFrame:
+    """Stretches with the rows at their ends as single ones, and ``_inner`` where a row's whole neighbourhood is in its stretch.
+
+    Decisions look at BLOCK_EDGE + 1 rows either side, so those of inner rows do not depend on others; what is
+    left of the stretch in the middle stays one row.
+    """
+    edge = BLOCK_EDGE + 1
+    first, end = F.col("_from"), F.col("_to")
+    piece = lambda a, b, inner: F.struct(a.alias("_from"), b.alias("_to"), inner.alias("_inner"))
+    inner = lambda k: (k >= first + edge) & (k < end - edge)
+    single = lambda a, b: F.transform(F.sequence(a, b - 1), lambda k: piece(k, k + 1, inner(k)))
+    low, high = first + 2 * edge, end - 2 * edge
+    middle = F.array(piece(low, high, F.lit(True)))
+    pieces = F.when(low < high, F.concat(single(first, low), middle, single(high, end))).otherwise(single(first, end))
+    rows = found.withColumn("_piece", F.explode(pieces)).withColumns({c: F.col(f"_piece.{c}") for c in ("_from", "_to", "_inner")})
+    return rows.drop("_piece").withColumns({"start_ts": F.col("_base") + F.col("_from") * F.col("interval_s"), "_own": F.lit(True)})
 
 
 def _any_change(columns: Sequence[str]) -> Column:
@@ -202,8 +234,13 @@ def condense(
 
 
 def _kept(rows: DataFrame, trivial: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The rows that ``condense`` keeps, of rows with ``_cell`` and ``_own``."""
-    names = [c for c in rows.columns if c not in (CELL, "_own")]
+    """The rows that ``condense`` keeps, of rows with ``_cell`` and ``_own``.
+
+    With ``_inner``, such rows stand in the middle of a block, after rows that change as they do.
+    """
+    of_stretches = "_inner" in rows.columns
+    names = [c for c in rows.columns if c not in ("_own", *(() if of_stretches else (CELL,)))]
+    is_inner = F.col("_inner") if of_stretches else F.lit(False)
     start, interval = F.col("start_ts"), F.col("interval_s")
     rows = rows.withColumn("_matters", _any_change([c for c in columns if c not in trivial]))
 
@@ -225,8 +262,8 @@ def _kept(rows: DataFrame, trivial: Sequence[str], columns: Sequence[str]) -> Da
     middle = every([*(f"_back{k}" for k in range(BLOCK_EDGE)), *(f"_ahead{k}" for k in range(1, BLOCK_EDGE + 1))])
     middle_before = every([*(f"_back{k}" for k in range(BLOCK_EDGE + 1)), *(f"_ahead{k}" for k in range(1, BLOCK_EDGE))])
     return (
-        rows.where(F.col("_own") & (~middle | F.col("_matters")))
-        .withColumn("omitted_before", middle_before & ~F.col("_mattered"))
+        rows.where(F.col("_own") & (F.col("_matters") | ~(is_inner | middle)))
+        .withColumn("omitted_before", F.when(is_inner, ~F.col("_matters")).otherwise(middle_before & ~F.col("_mattered")))
         .select(*names, "omitted_before")
     )
 
