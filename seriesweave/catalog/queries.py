@@ -344,7 +344,7 @@ def planned_changes_condensed(spark, sf_dir):
 def applied_changes_after_swap(spark, sf_dir):
     before = fx.statistics(spark, sf_dir)
     pairs = fx.replacements(spark, sf_dir, None, True)
-    after = replace_series(before, _generated(spark, sf_dir, None, INTERVALS, True), pairs)
+    after = replace_series(before, _runs(spark, sf_dir), pairs)
     return _flat_changes(applied_changes(before, after, before, pairs))
 
 

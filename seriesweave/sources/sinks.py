@@ -6,6 +6,8 @@ from collections.abc import Collection
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.runs import as_runs, is_runs
+
 BUCKET = "series_bucket"
 
 
@@ -15,11 +17,14 @@ def replace_series(
     """The target with all rows of the replaced series swapped for the generated ones.
 
     ``replaced(new_id)``; generated rows of other series are not taken. Rows of
-    statistics tables other than ``tables`` stay as they are.
+    statistics tables other than ``tables`` stay as they are. If the generated rows are runs, so
+    is the result.
     """
     ids = replaced.select(F.col("new_id").alias("_replaced"))
     hit = F.col("series_id") == F.col("_replaced")
     gone = hit if tables is None else hit & F.col("table").isin(*tables)
+    if is_runs(generated):
+        target = as_runs(target)
     kept = target.join(ids, gone, "left_anti")
     added = generated.join(ids, hit, "left_semi").select(*target.columns)
     return kept.unionByName(added)
