@@ -4,10 +4,15 @@ Documents with one set of shingles are a class, sketched once. Classes that shar
 registers are candidates. In each bucket of a band one representative of every component
 found so far, the class that meets most others, meets the main one of them, so a bucket of n
 classes gives n pairs, not n^2; after ROUNDS rounds, what is still apart in a bucket is
-compared in blocks, by registers and then by full sets, emitting only links, each from the
-first band that its ends share. Pairs
+compared in blocks, by registers, and those classes that may have a link in their block once
+more by full sets, emitting only links, each from the first band that its ends share. Pairs
 whose most likely similarity is far below the threshold are left out (5 standard
 deviations); all others are confirmed on full sets. Links go through connected components.
+
+Texts are read again for full sets. A bitmap of at most BITS bits, whatever the input, tells
+most rows that are not wanted before the rest is shuffled: texts, classes that meet no other,
+bands that one class has. Joins of sets and registers are shuffled at every size, so that disk
+grows as the input does.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from seriesweave.llm.words import tidy
 ROUNDS = 2
 BLOCK = 1024
 BATCH_BYTES = 4 << 20  # of texts, registers or sets handed to Python at once
+BITS = 1 << 25  # of the bitmap of wanted rows: 4 MB
 
 
 def _sketch(size: int):
@@ -117,28 +123,49 @@ def _confirm(percent: int):
     return run
 
 
+def _meeting(key: tuple, table: pa.Table, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Row i and rows j of one block (or two) that are likely similar to it, in another component and first meet in this bucket."""
+    n, part, component = (table[c].to_numpy() for c in ("n", "part", "component"))
+    rows = _rows(table["registers"].combine_chunks())
+    keys, own = bands(rows), key[0].as_py() % 2**64
+    for i in range(len(n)):
+        other = (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        other &= (np.arange(len(n)) > i) if key[1] == key[2] else (part > part[i])
+        j = np.flatnonzero(other)
+        if len(j):
+            shared = keys[j] == keys[i]
+            j = j[keys[j, shared.argmax(axis=1)] == np.uint64(own)]
+            likely = likely_similarity(np.broadcast_to(rows[i], rows[j].shape), rows[j], np.full(len(j), n[i], float), n[j].astype(float))
+            yield i, j[likely >= least]
+
+
+HOPEFUL = "bucket long, low int, high int, part int, node long, n long, component long"
+
+
+def _hopeful(percent: int, least: float):
+    """Rows of a block that may have a link in it."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for i, j in _meeting(key, table, percent, least):
+            keep[j] = True
+            keep[i] |= len(j) > 0
+        return table.select([c.split()[0] for c in HOPEFUL.split(", ")]).filter(pa.array(keep))
+
+    return run
+
+
 def _compare(percent: int, least: float):
     """Similar pairs of one block (or two) that are in different components, by full sets where likely."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        node, n, part, component = (table[c].to_numpy() for c in ("node", "n", "part", "component"))
-        rows = _rows(table["registers"].combine_chunks())
+        node = table["node"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
-        keys, own = bands(rows), key[0].as_py() % 2**64
         a, b = [], []
-        whole = part.min() == part.max()
-        for i in range(len(node)):
-            other = (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            other &= (np.arange(len(node)) > i) if whole else (part > part[i])
-            j = np.flatnonzero(other)
-            if len(j):
-                shared = keys[j] == keys[i]
-                j = j[keys[j, shared.argmax(axis=1)] == np.uint64(own)]
-                likely = likely_similarity(np.broadcast_to(rows[i], rows[j].shape), rows[j], np.full(len(j), n[i], float), n[j].astype(float))
-                j = j[likely >= least]
-                j = np.array([k for k in j.tolist() if _similar(sets[i], sets[k], percent)], dtype=np.int64)
-                a.extend(np.minimum(node[i], node[j]).tolist())
-                b.extend(np.maximum(node[i], node[j]).tolist())
+        for i, j in _meeting(key, table, percent, least):
+            j = np.array([k for k in j.tolist() if _similar(sets[i], sets[k], percent)], dtype=np.int64)
+            a.extend(np.minimum(node[i], node[j]).tolist())
+            b.extend(np.maximum(node[i], node[j]).tolist())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -149,6 +176,17 @@ def _text_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"]).alias("text_key")
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key, a hash, is among those of wanted, and a few others. Rows are not shuffled."""
+    at = F.pmod(key, F.lit(BITS))
+    part, bit = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = wanted.select(part.alias("_part"), bit.alias("_bit")).repartition("_part")
+    bits = bits.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = rows.withColumns({"_part": part, "_bit": bit}).join(F.broadcast(bits), "_part")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 class _Search:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         small_batches(docs.sparkSession, BATCH_BYTES)
@@ -157,18 +195,19 @@ class _Search:
         kind = "doc_id long, text_key long, n long, node long, registers binary"
         sketches = docs.select("doc_id", "text", _text_key(docs)).mapInArrow(_sketch(size), kind)
         self.sketches = written(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
-        # Only numbers are aggregated, in hash tables; registers come from one row of each class.
+        # Only numbers are aggregated, in hash tables; registers and the spot, which finds a text again, come from one row of each class.
         longs = self.sketches.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("row").alias("row"))
-        of_row = self.sketches.select("row", "registers")
+        of_row = self.sketches.select("row", "registers", F.xxhash64("doc_id", "text_key").alias("spot"))
         self.classes = written(written(longs, "longs").join(of_row, "row").drop("row"), "classes")
         keyed = self.classes.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
         shared = keyed.groupBy("bucket").agg(F.count("*").alias("classes")).filter("classes > 1")
         # Written, as are other sums that rows of hot keys are joined to: a join of two shuffles can be split.
         shared = written(shared, "shared")
-        buckets = written(keyed.join(shared, "bucket"), "buckets")
+        buckets = written(_maybe(keyed, shared, "bucket").join(shared, "bucket"), "buckets")
         # How many classes a class meets: the original of a group of copies meets the most.
         met = written(buckets.groupBy("node").agg(F.sum("classes").alias("met")), "met")
         self.buckets = written(buckets.join(met, "node"), "buckets")
+        self.meeting = written(_maybe(self.classes.select("node", "n", "registers", "spot"), met, "node"), "meeting")
         self.labels = None  # node, component of linked classes
 
     def labelled(self) -> DataFrame:
@@ -189,8 +228,8 @@ class _Search:
         return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        of = lambda end: self.classes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("registers").alias(f"r_{end}"))
-        met = pairs.join(of("a"), "a").join(of("b"), "b")
+        of = lambda end: self.meeting.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("registers").alias(f"r_{end}"))
+        met = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
         met = met.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         return met.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely(self.least), "a long, b long")
 
@@ -201,10 +240,16 @@ class _Search:
         mixed = written(mixed, "mixed")
         parts = F.ceil(F.col("classes") / BLOCK).cast("int")
         rows = written(rows.drop("met").join(mixed, "bucket"), "rows")
-        rows = rows.join(self.sets(rows.select("node").distinct()), "node").join(self.classes.select("node", "n", "registers"), "node")
+        registers = self.meeting.select("node", "n", "registers")
+        rows = rows.join(registers.hint("merge"), "node")
         rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+        hopeful = rows.groupBy("bucket", "low", "high").applyInArrow(_hopeful(self.percent, self.least), HOPEFUL)
+        # Sets are many times as long as registers, and a class lies in many buckets.
+        hopeful = written(hopeful, "hopeful")
+        full = self.sets(hopeful.select("node").distinct()).join(registers.drop("n").hint("merge"), "node")
+        rows = hopeful.join(full.hint("merge"), "node")
         found = rows.groupBy("bucket", "low", "high").applyInArrow(_compare(self.percent, self.least), "a long, b long")
         return written(found.distinct(), "confirmed")
 
@@ -213,14 +258,19 @@ class _Search:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = self.sets(nodes)
         of = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"s_{end}"))
-        met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b")
+        met = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", "s_a", "s_b")
         return written(met.mapInArrow(_confirm(self.percent), "a long, b long"), "confirmed")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node and set of classes, from the text of one member each."""
-        reps = written(nodes.join(self.classes.select("node", F.col("rep").alias("doc_id")), "node").select("node", "doc_id"), "involved")
-        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["doc_id"])).select("node", "text")
-        return written(texts.mapInArrow(_sets(self.size), "node long, set binary").dropDuplicates(["node"]), "sets")
+        reps = written(nodes.join(self.meeting.select("node", "spot"), "node"), "involved")
+        # Rows that repeat an id and its text meet here, before sets are made.
+        texts = self.wanted(reps).join(reps.hint("merge"), "spot").distinct().select("node", "text")
+        return written(texts.mapInArrow(_sets(self.size), "node long, set binary"), "sets")
+
+    def wanted(self, reps: DataFrame) -> DataFrame:
+        """spot and text of the rows that reps(spot, ...) need, and of few others."""
+        return _maybe(self.docs.select(F.xxhash64("doc_id", _text_key(self.docs)).alias("spot"), "text"), reps, "spot")
 
     def link(self, links: DataFrame) -> None:
         """Join the components that links connect."""

@@ -87,6 +87,36 @@ def test_shuffle_join_gives_the_same(make_docs, copies, only_shuffles):
     assert sorted(neardup.near_duplicates(docs, size=2).collect()) == sorted(want)
 
 
+def test_few_texts_are_shuffled_for_sets(make_docs, copies, only_shuffles):
+    """Also by repeated ids and rows without one."""
+    only_shuffles()
+    rows = copies + [(None, "no id and no copy"), (None, copies[0][1]), (copies[0][0], "an id that comes twice"), copies[1], copies[1]]
+    search = neardup._Search(make_docs(rows), 2, 80)
+    texts = [copies[1][1], "no id and no copy", "an id that comes twice"]
+    of = F.xxhash64(F.lit(0)).isNull()
+    for text in texts:
+        of = of | (F.col("text_key") == F.xxhash64(F.lit(text)))
+    nodes = search.sketches.filter(of).select("node").distinct()
+    found = [r.text for r in search.wanted(search.classes.join(nodes, "node")).collect()]
+    assert sorted(set(found)) == sorted(texts) and len(found) == 5
+
+
+def test_sets_are_made_where_links_are_likely(make_docs, monkeypatch):
+    """Texts that share bands by chance ask for no sets."""
+    rng, base = random.Random(7), random_texts(1, seed=8, words=900, vocabulary=3000, lines=False)[0]
+    docs = make_docs(list(enumerate(edited(base, 0.25, rng) for _ in range(40))))
+    asked, sets = [], neardup._Search.sets
+
+    def counted(self, nodes):
+        asked.append(nodes.count())
+        return sets(self, nodes)
+
+    monkeypatch.setattr(neardup._Search, "sets", counted)
+    search = neardup._Search(docs, 2, 80)
+    assert search.buckets.select("node").distinct().count() > 10
+    assert search.run().filter("not kept").isEmpty() and sum(asked) == 0
+
+
 def test_batches_end_with_memory_given_back():
     closed = []
 
