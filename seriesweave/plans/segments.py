@@ -5,6 +5,9 @@ with equal values folds to one segment: its first and last time and its number o
 neighbouring segments with equal values merge into one, and that merge is associative, so the
 rows are not needed again: inner segments of a cell are final, and only its first and last one,
 at most two per cell, are merged along the series.
+
+Both shuffles have a fixed number of partitions. Shuffled rows are packed far below what they take
+in sorts and hash tables, so tasks that are joined by packed size take gigabytes.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ def segments(
     ``order`` begins with the time; rows without one come first, and ``start_ts`` is the first
     time that is known. Rows with equal order columns keep an arbitrary order among themselves.
     """
-    split = split_cells(rows.select(*keys, *order, *values), keys, order, chunking)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = split_cells(rows.select(*keys, *order, *values), keys, order, chunking, partitions=partitions)
     inside = Window.partitionBy(*keys, CELL).orderBy(*order)
     begins = F.when(_same(values, F.lag(F.struct(*values)).over(inside)), 0).otherwise(1)
     numbered = split.withColumn("_begins", begins).withColumn(
@@ -49,7 +53,7 @@ def segments(
     along = Window.partitionBy(*keys).orderBy(CELL, "_segment")
     # Only the first segment of a cell may go on from the one before it, the last one of another cell.
     goes_on = (F.col("_segment") == 1) & _same(values, F.lag(F.struct(*values)).over(along))
-    border = folded.where(~inner).withColumn("_begins", F.when(goes_on, 0).otherwise(1))
+    border = folded.where(~inner).repartition(partitions, keys[0]).withColumn("_begins", F.when(goes_on, 0).otherwise(1))
     border = border.withColumn("_run", F.sum("_begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     merged = border.groupBy(*keys, "_run", *values).agg(
         F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("row_count").alias("row_count")

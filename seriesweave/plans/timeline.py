@@ -39,14 +39,15 @@ def cell_of(time: str | Column, chunking: Chunking) -> Column:
 
 
 def split_cells(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunking: Chunking, cell: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunking: Chunking, cell: Column | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Add ``_cell`` (spans of time, or the finer ``cell``) and deal rows out by first key and cell.
 
-    Further keys stay together: one that is a literal would make the planner shuffle again.
+    Further keys stay together: one that is a literal would make the planner shuffle again. Without a number of
+    ``partitions`` Spark joins small ones.
     """
     cell = cell_of(order[0], chunking) if cell is None else F.coalesce(cell, F.lit(_NO_TIME))
-    return df.withColumn(CELL, cell).repartition(keys[0], CELL)
+    return df.withColumn(CELL, cell).repartition(*([partitions] if partitions else []), keys[0], CELL)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, chunking: Chunking) -> DataFrame:

@@ -96,6 +96,24 @@ def test_outage_runs_read_and_shuffle_rows_once(spark, tables, name):
     assert "Join" not in text and "SortAggregate" not in text
 
 
+@pytest.mark.parametrize("name", ["state_outages", "statistics_outages"])
+def test_tasks_of_outage_runs_are_not_joined_by_packed_size(spark, tables, name):
+    """Rows are unpacked into sorts and hash tables, so tasks of some 64 MB each would take gigabytes."""
+    text = plan(spark, lambda: NEIGHBOURS[name](*tables))
+    shuffles = [l for l in text.splitlines() if re.search(r"- Exchange hashpartitioning", l)]
+    assert shuffles and all("REPARTITION_BY_NUM" in l for l in shuffles)
+
+
+@pytest.mark.parametrize("name", ["state_outages", "statistics_outages"])
+def test_outage_runs_keep_their_partitions(spark, states, statistics, name):
+    rows = states(*(("sensor.a", i * 40_000, None) for i in range(40)))
+    long = statistics([{"series_id": "sensor.a", "start_ts": i * 36_000} for i in range(40)])
+    runs = profile.state_outages(rows) if name == "state_outages" else profile.statistics_outages(long)
+    # Those of inner segments and those of merged ones; none are joined, small as they are.
+    assert runs.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [r.row_count for r in runs.collect()] == [40]
+
+
 def test_planning_starts_no_job(spark, tables):
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
     for build in JOINED.values():
