@@ -245,12 +245,14 @@ class _Search:
         rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-        hopeful = rows.groupBy("bucket", "low", "high").applyInArrow(_hopeful(self.percent, self.least), HOPEFUL)
+        # Blocks cost time by their pairs, not their bytes: Spark is not to join them by size.
+        block, partitions = ("bucket", "low", "high"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hopeful = rows.repartition(partitions, *block).groupBy(*block).applyInArrow(_hopeful(self.percent, self.least), HOPEFUL)
         # Sets are many times as long as registers, and a class lies in many buckets.
         hopeful = written(hopeful, "hopeful")
         full = self.sets(hopeful.select("node").distinct()).join(registers.drop("n").hint("merge"), "node")
         rows = hopeful.join(full.hint("merge"), "node")
-        found = rows.groupBy("bucket", "low", "high").applyInArrow(_compare(self.percent, self.least), "a long, b long")
+        found = rows.repartition(partitions, *block).groupBy(*block).applyInArrow(_compare(self.percent, self.least), "a long, b long")
         return written(found.distinct(), "confirmed")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
