@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from seriesweave.llm.tables import small_batches
 from seriesweave.llm.tokens import default_tokenizer, encoder
+from seriesweave.llm.words import tidy
 
 END_ID = 1
+ROWS = 1000  # tokenized at once
+BATCH_BYTES = 4 << 20  # of texts handed to Python at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -32,13 +35,14 @@ def _pieces(path: str, length: int, end_id: int, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
+    @tidy
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for table in tables:
-            doc_ids, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
-            for at in range(0, len(texts), 1000):
+            for at in range(0, table.num_rows, ROWS):
+                doc_ids, texts = (c.to_pylist() for c in table.slice(at, ROWS).columns)
                 rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[at : at + 1000], encode(texts[at : at + 1000])):
+                for doc_id, ids in zip(doc_ids, encode(texts)):
                     raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                     for piece, start in enumerate(range(0, len(raw) // 4, length)):
                         part = raw[start * 4 : (start + length) * 4]
@@ -56,7 +60,7 @@ def token_pieces(
     A null text is an empty one: its only piece is the end id. Repeated rows give their
     pieces again. with_ids adds the ids as little-endian unsigned 32-bit bytes.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     run = _pieces(tokenizer or default_tokenizer(), length, end_id, with_ids)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids binary" * with_ids)
 

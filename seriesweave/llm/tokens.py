@@ -17,6 +17,7 @@ import numpy as np
 
 from seriesweave.llm.words import Words, batches, words
 
+RUN = 200_000  # characters encoded at once; a longer text is a run of its own
 #: Letters followed by one of these are two pre-tokens, whatever the letters are.
 _TAILS = np.zeros(256, dtype=bool)
 _TAILS[list(b".,;:!?")] = True
@@ -99,8 +100,12 @@ class Encoder:
         return self.ids[place + np.arange(len(place))], lengths
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 1000):  # the library's answers take far more memory than the ids
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+            ids.append(np.array([i for x in found for i in x], dtype=np.uint32))
+            lengths.append(np.array([len(x) for x in found], dtype=np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As _encode, for words of letters only: many in one call, as each ends in one closing token."""
@@ -176,7 +181,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; a null text is an empty one."""
-        return [ids for a, b in batches(texts) for ids in self._batch(texts[a:b])]
+        return [ids for a, b in batches(texts, RUN) for ids in self._batch(texts[a:b])]
 
 
 @functools.lru_cache(maxsize=2)

@@ -88,21 +88,32 @@ def batches(texts: list[str | None], most: int = 500_000):
         yield start, len(texts)
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """`run` over batches, after which the worker gives the memory it needs no more back to the machine.
+    """`run` over batches, where the worker gives the memory it needs no more back to the machine after each batch and at the end.
 
-    Workers are used again by later tasks and otherwise keep what their largest batch took.
+    Workers are used again by later tasks and otherwise keep what all their batches left in pieces.
     """
 
+    def each(tables: Iterator) -> Iterator:
+        for table in tables:
+            yield table
+            del table
+            give_back()
+
     @functools.wraps(run)
     def over(tables: Iterator) -> Iterator:
         try:
-            yield from run(tables)
+            yield from run(each(tables))
         finally:
             _powers.cache_clear()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back()
 
     return over

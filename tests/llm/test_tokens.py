@@ -172,3 +172,45 @@ def test_every_capacity_binds_on_a_table(spark, score):
     assert abs(len(found) - len(want)) <= 1
     for loose in ((10**6, 12, 3_000_000), (4096, 10**6, 3_000_000), (4096, 12, 10**9)):
         assert sorted(map(len, got(*loose))) != sorted(map(len, found))
+
+
+def test_memory_goes_back_after_every_batch(monkeypatch):
+    """A worker tokenizes many batches: what one of them took must not add up to the end of its task."""
+    import pyarrow as pa
+
+    from seriesweave.llm import words
+
+    given = []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(len(asked)))
+    asked, taken = [], []
+    monkeypatch.setattr(packing, "ROWS", 2)
+    monkeypatch.setattr(packing, "encoder", lambda path: lambda texts: taken.append(texts) or [np.array([len(t or "")], np.uint32) for t in texts])
+
+    def batches():
+        for i in range(3):
+            asked.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([i, None, i]), pa.array(["a" * i, None, "bb"])], names=["doc_id", "text"])
+
+    rows = [r for b in packing._pieces("", 4096, 1, False)(batches()) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["length"], r["ids_crc32"]) for r in rows] == [x for i in range(3) for x in ((i, 2, crc([i, 1])), (None, 2, crc([0, 1])), (i, 2, crc([2, 1])))]
+    assert taken == [x for i in range(3) for x in (["a" * i, None], ["bb"])]
+    assert given == [1, 2, 3, 3]
+
+
+def test_odd_words_are_encoded_a_few_at_a_time(encoders):
+    """Answers of the library are large: a text of many numbers must not have all of its at once."""
+    sizes, own = [], encoders[0].tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            sizes.append(len(texts))
+            return own.encode_batch_fast(texts, **kw)
+
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+    text = " ".join(f"{i}-{i * 7}" for i in range(5000))
+    encoder = Encoder(default_tokenizer())
+    encoder.tokenizer = Counting()
+    assert encoder([text])[0].tolist() == whole(encoders[0], [text])[0] and 0 < max(sizes) <= 1000
+    assert [x.tolist() for x in encoder._encode([])] == [[], []]
