@@ -26,8 +26,8 @@ from seriesweave.llm.tokens import default_tokenizer, encoder
 from seriesweave.llm.words import tidy
 
 END_ID = 1
-ROWS = 1000  # tokenized at once
-BATCH_BYTES = 4 << 20  # of texts handed to Python at once
+ROWS = 250  # tokenized at once
+BATCH_BYTES = 1 << 20  # of texts handed to Python at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

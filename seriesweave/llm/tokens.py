@@ -3,7 +3,8 @@
 The library spends most of its time on words it has met before. The vocabulary used here
 never joins text over white space, so a text's ids are those of its words, one after
 another. `Encoder` asks the library for each distinct word once and keeps the answers, at
-most `keep` of them per Python worker, in numpy arrays found by 64-bit word hashes.
+most `keep` of them per Python worker, in numpy arrays found by 64-bit word hashes; when
+they are full, words that were not met again go and are asked for anew if they come back.
 `tests/llm/test_tokens.py` holds it against the library's own whole-text encoding.
 """
 
@@ -15,9 +16,10 @@ import unicodedata
 
 import numpy as np
 
-from seriesweave.llm.words import Words, batches, words
+from seriesweave.llm.words import Words, batches, give_back, words
 
 RUN = 200_000  # characters encoded at once; a longer text is a run of its own
+KEEP = 500_000  # words that a worker keeps: with their ids about 25 MB
 #: Letters followed by one of these are two pre-tokens, whatever the letters are.
 _TAILS = np.zeros(256, dtype=bool)
 _TAILS[list(b".,;:!?")] = True
@@ -36,7 +38,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts, as arrays of unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = KEEP):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,11 +54,21 @@ class Encoder:
         self.keys = np.zeros(self.size, dtype=np.uint64)  # open addressing; 0 is free
         self.slots = np.zeros(self.size, dtype=np.int32)
         self.count = 0
-        self.at = np.zeros(1024, dtype=np.int64)
-        self.length = np.zeros(1024, dtype=np.int64)
-        self.ids = np.zeros(4096, dtype=np.uint32)
+        self.at = np.zeros(1024, dtype=np.uint32)
+        self.length = np.zeros(1024, dtype=np.uint32)
+        self.again = np.zeros(1024, dtype=bool)  # met after the run that brought it
+        self.ids = np.zeros(4096, dtype=np.min_scalar_type(len(self.closing) - 1))
         self.used = 0
 
+    def _forget_rare(self) -> None:
+        """Keep only the words that were met again since the last time."""
+        slot = np.flatnonzero(self.keys)
+        slot = slot[self.again[self.slots[slot]]]
+        hashes, numbers = self.keys[slot], self.slots[slot]
+        ids, lengths = self._gather(numbers)
+        self._forget()
+        self._add(hashes, lengths, ids)
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each known word, -1 of others."""
         found = np.full(len(hashes), -1, dtype=np.int64)
@@ -76,6 +88,7 @@ class Encoder:
         while self.count + n > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.at[self.count : self.count + n] = self.used + np.cumsum(lengths) - lengths
@@ -94,10 +107,10 @@ class Encoder:
 
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known words one after another, and how many each has."""
-        lengths = self.length[numbers]
+        lengths = self.length[numbers].astype(np.int64)
         ends = np.cumsum(lengths)
         place = np.repeat(self.at[numbers] - (ends - lengths), lengths)
-        return self.ids[place + np.arange(len(place))], lengths
+        return self.ids[place + np.arange(len(place))].astype(np.uint32), lengths
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -167,12 +180,15 @@ class Encoder:
         hashes = w.hashes(w.starts, w.ends)
         numbers = self._find(hashes)
         new = numbers < 0
+        self.again[numbers[~new]] = True
         if new.any():
             if self.count + 2 * len(np.unique(hashes[new])) > self.keep:
-                self._forget()
-                new[:] = True
-                if 2 * len(np.unique(hashes)) > self.keep:  # more words in one text than are kept
-                    return [self._encode([text or ""])[0] for text in texts]
+                self._forget_rare()  # the words of this run that were known have been met again
+                if self.count + 2 * len(np.unique(hashes[new])) > self.keep // 2:  # else rare words would be sought out at every run
+                    self._forget()
+                    new[:] = True
+                    if 2 * len(np.unique(hashes)) > self.keep:  # more words in one text than are kept
+                        return [self._encode([text or ""])[0] for text in texts]
             self._learn(w, w.starts[new], w.ends[new], hashes[new])
             numbers = self._find(hashes)
         ids, lengths = self._gather(numbers)
@@ -192,4 +208,6 @@ def encoder(path: str) -> Encoder:
 
 def release() -> None:
     """Forget encoders and their words; for a worker that goes on to another operator."""
-    encoder.cache_clear()
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        give_back()

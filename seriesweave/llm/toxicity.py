@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from seriesweave.llm.tables import small_batches, written
 from seriesweave.llm.tokens import release
-from seriesweave.llm.words import NO_LETTER, batches, mix, words
+from seriesweave.llm.words import NO_LETTER, batches, mix, tidy, words
 
 EXAMPLES = 10_000
 VOCABULARY = 4096
@@ -36,6 +36,7 @@ PRECISION, SIGMAS = 0.4, 3.0  # a feature's share of toxic examples must surely
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 2.0
 BLOCK = 128
+BATCH_BYTES = 4 << 20  # of texts handed to Python at once
 THRESHOLD = 0.3
 
 
@@ -65,6 +66,7 @@ def _counted(text: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text[first], feature[first], np.diff(np.append(first, len(text)))
 
 
+@tidy
 def _sketch(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, toxic, text and two minima over hashes of word pairs, alike for near copies."""
     for table in tables:
@@ -80,6 +82,7 @@ def _sketch(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*table.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "toxic", "text", "k0", "k1"])
 
 
+@tidy
 def _label_counts(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """feature, texts and toxic texts with it, summed for each batch."""
     for table in tables:
@@ -201,6 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     best = marking.orderBy(F.desc("sure"), "feature", "level").limit(VOCABULARY).select("feature", "level").collect()
     vocabulary = Vocabulary([tuple(r) for r in best])
 
+    @tidy
     def frequencies(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         total, rows = np.zeros(vocabulary.size, dtype=np.int64), 0
@@ -214,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     df = {r["feature"]: r["n"] for r in df}
     idf = np.array([1 + np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) for i in range(vocabulary.size)])
 
+    @tidy
     def sparse(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             text, feature, count = vocabulary.vectors(table.column(2).to_pylist())
@@ -236,10 +241,11 @@ def score(docs: DataFrame, labels: DataFrame, index: Index | None = None) -> Dat
 
     A null or empty text has no features. Without labels every score is 0.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     index = fit(docs, labels) if index is None else index
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    @tidy
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         model = shared.value

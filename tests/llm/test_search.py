@@ -167,3 +167,21 @@ def test_block_tables_find_all_within_the_radius(spark):
     values = sorted({f"{x:016x}" for x in found})
     want = {(a, b, bin(int(a, 16) ^ int(b, 16)).count("1")) for i, a in enumerate(values) for b in values[i + 1 :]}
     assert got == {w for w in want if w[2] <= 3}
+
+
+def test_toxicity_gives_memory_back_after_every_batch(monkeypatch):
+    """Workers of the pipeline's first stage go on to the others."""
+    import pyarrow as pa
+
+    from seriesweave.llm import toxicity, words
+
+    given, asked = [], []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(len(asked)))
+
+    def batches():
+        for i in range(3):
+            asked.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([1, 0]), pa.array(["bad words here", None])], names=["toxic", "text"])
+
+    rows = [r for b in toxicity._label_counts(batches()) for r in b.to_pylist()]
+    assert given == [1, 2, 3, 3] and sum(r["toxic"] for r in rows if r["level"] == 1) == 3 * 4  # bad, words, word, here

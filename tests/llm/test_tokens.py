@@ -214,3 +214,50 @@ def test_odd_words_are_encoded_a_few_at_a_time(encoders):
     encoder.tokenizer = Counting()
     assert encoder([text])[0].tolist() == whole(encoders[0], [text])[0] and 0 < max(sizes) <= 1000
     assert [x.tolist() for x in encoder._encode([])] == [[], []]
+
+
+def test_a_full_cache_loses_only_words_that_were_not_met_again(encoders):
+    """Common words are asked for once, however many rare ones pass; the ids stay those of the whole texts."""
+    common = ["alpha", "beta", "gamma", "delta"]
+    texts = [" ".join(common + [f"w{i}x{j}" for j in range(40)]) for i in range(30)]
+    encoder, asked = Encoder(default_tokenizer(), keep=300), []
+    letters = encoder._letters
+    encoder._letters = lambda spans: asked.extend(spans) or letters(spans)
+    got = [encoder([text])[0].tolist() for text in texts]
+    assert got == [x.tolist() for x in encoders[0](texts)] == [whole(encoders[0], [text])[0] for text in texts]
+    assert sorted(asked) == sorted(common) and encoder.count <= 300
+    rare = [encoder([text])[0].tolist() for text in texts]  # gone in the meantime, so asked for anew
+    assert rare == got
+
+
+def test_an_encoder_is_small(encoders):
+    """A worker keeps its encoder while it is idle, beside the JVM."""
+    encoder = Encoder(default_tokenizer())
+    arrays = lambda: sum(x.nbytes for x in vars(encoder).values() if isinstance(x, np.ndarray))
+    assert arrays() < 16 << 20
+    n = encoder.keep - 1
+    encoder._add(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.full(n, 4), np.zeros(4 * n, np.uint32))
+    assert arrays() < 32 << 20
+
+
+def test_forgotten_encoders_give_their_memory_back(monkeypatch):
+    from seriesweave.llm import tokens
+
+    given = []
+    monkeypatch.setattr(tokens, "give_back", lambda: given.append(tokens.encoder.cache_info().currsize))
+    tokens.encoder(default_tokenizer())
+    tokens.release()
+    tokens.release()  # nothing left
+    assert given == [0]
+
+
+def test_tokenizing_is_handed_a_megabyte_at_once(spark, edge_docs):
+    from seriesweave.llm.tables import BATCH, size_in_bytes
+
+    before = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, "64m")
+        packing.token_pieces(edge_docs)
+        assert size_in_bytes(spark.conf.get(BATCH)) <= 1 << 20
+    finally:
+        spark.conf.set(BATCH, before)
